@@ -1,4 +1,6 @@
 """All queries of the document operators by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from folio.operators import documents
+
+QUERIES = dict(documents.QUERIES)
+SQL = dict(documents.SQL)
