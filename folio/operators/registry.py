@@ -1,6 +1,6 @@
 """All queries of the document operators by name, and their SQL."""
 
-from folio.operators import documents
+from folio.operators import documents, records, structure
 
-QUERIES = dict(documents.QUERIES)
-SQL = dict(documents.SQL)
+QUERIES = documents.QUERIES | records.QUERIES | structure.QUERIES
+SQL = documents.SQL | records.SQL | structure.SQL
