@@ -25,9 +25,11 @@ PREFIXES = (4, 5, 6)
 #: About so many labelled rows are learned from, picked by a hash of their id.
 TRAINING_ROWS = 12_000
 #: Terms in fewer of these are left out; of the others those stay whose rows' labels differ most from all rows', in standard deviations.
-LEAST_ROWS = 12
+LEAST_ROWS = 5
 TERMS = 3000
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.03, 0.01, 9
+#: Passes are added over a small sample, up to so many steps.
+LEAST_STEPS = 1500
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -98,7 +100,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     place = np.full(BINS, -1)
     place[terms] = np.arange(len(terms))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
-    for _ in range(EPOCHS if len(labels) else 0):
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // max(1, len(labels))) if len(labels) >= BATCH else EPOCHS * bool(len(labels))):
         for batch in np.array_split(random.permutation(len(rows)), max(1, len(rows) // BATCH)):
             at = np.concatenate([rows[i] for i in batch]) if len(batch) else np.zeros(0, np.int64)
             if not len(at):
