@@ -289,7 +289,7 @@ def _added(base: list[tuple[int, int, int]], found: list[tuple[int, int, int]])
     return sorted(base + free)
 
 
-def _finder(shared):
+def _finder(shared, name: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             text = batch.column("text")
@@ -301,17 +301,17 @@ def _finder(shared):
                 mine = {(k, a) for k, a, _ in base}
                 lists.append([{"kind": KINDS[k], "start": a, "end": b, "base": (k, a) in mine} for k, a, b in _added(base, found)])
             spans = pa.array(lists, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, name])
 
     return find
 
 
-def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with `spans`: kind, start, end, and whether a pattern found it. Null text becomes empty; a column `spans` is replaced."""
-    rows = docs.drop("spans")
+def find(docs: DataFrame, field: Field | None = None, name: str = "spans") -> DataFrame:
+    """docs with `spans`: kind, start, end, and whether a pattern found it. Null text becomes empty; a column of that name is replaced."""
+    rows = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(field or train(*labelled_table()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_finder(shared), f"{schema}, spans array<struct<kind: string, start: long, end: long, base: boolean>>")
+    return rows.mapInArrow(_finder(shared, name), f"{schema}, `{name}` array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for t, spans in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist(), strict=True):
                 parts, at = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= at:
@@ -332,9 +332,9 @@ def redact(docs: DataFrame) -> DataFrame:
             if (c := out.schema.get_field_index("n_chars")) >= 0:
                 kind = out.schema.field(c).type
                 out = out.set_column(c, out.schema.field(c), pa.array(map(len, texts), kind))
-            yield out.drop_columns(["spans"])
+            yield out.drop_columns(["_found"])
 
-    return find(docs).mapInArrow(replace, docs.schema)
+    return find(docs, name="_found").mapInArrow(replace, docs.schema)
 
 
 def _joined(spans: Column, keep=lambda s: F.lit(True)) -> Column:
