@@ -24,7 +24,7 @@ WINDOW = 1024
 #: Documents in a block; the padding of a block is about a window.
 BLOCK_DOCS = 4096
 #: Chunks of text whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 400_000
 END_ID = 0
 
 _WHITE = np.zeros(256, bool)

@@ -31,6 +31,8 @@ LENGTH = 200
 SEED_BYTES = 16
 #: Bytes of bucket text that one task works on at a time, and of all buckets of a group.
 SORT_BYTES = 3 << 20
+#: Text that is dealt at once: the more, the better its runs compress.
+DEAL_BYTES = 4 << 20
 GROUP_BYTES = 12 << 20
 #: Text that goes to buckets for each byte of a document, about.
 SPREAD = 3.2
@@ -137,7 +139,7 @@ def _deal(groups: int, length: int):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=DEAL_BYTES):
             data, offsets = utf8(batch.column("text"))
             row, start, many, name = bucket_runs(data, offsets, length)
             if not len(row):
