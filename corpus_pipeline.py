@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import jaccard, language, mixing, packing, personal
-from folio.llm.common import checkpointed, documents
+from folio.llm.common import bounded_batches, checkpointed, documents
 
 #: A document is rejected if it has no letters, or its language is less sure than this.
 LEAST_SCORE = 0.5
@@ -20,6 +20,7 @@ LEAST_SCORE = 0.5
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; `lang` becomes that language."""
+    bounded_batches(spark)
     model = language.fit(docs.select("doc_id", "text", "lang"))
     found = language.identify(docs.withColumn("_row", F.struct(*docs.columns)), model, key="_row")
     kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
@@ -28,6 +29,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near or exact copies: that of the group's least id. Of rows that repeat an id, one."""
+    bounded_batches(spark)
     groups = jaccard.similarity_join(docs.select("doc_id", "text"))
     keep = groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
@@ -35,16 +37,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
+    bounded_batches(spark)
     return personal.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    bounded_batches(spark)
     return mixing.mixed_texts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
+    bounded_batches(spark)
     pieces = packing.token_pieces(docs.select("doc_id", "text")).withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
     return packing.pack(pieces, blocks=-(-docs.count() // packing.BLOCK_DOCS))
 

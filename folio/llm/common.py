@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Rows that Spark hands a Python worker at once; texts are long.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the buffers between Spark and its Python workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -48,12 +48,12 @@ class Encoder:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, h: int, chunk: str) -> int:
         ids, k = self.encode(chunk), len(self.known)
@@ -72,7 +72,7 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         if len(self.known) > CACHE:
-            self._reset()
+            self.forget()
         white = _WHITE[data]
         cut = np.zeros(len(data), bool)
         cut[1:] = white[1:] & ~white[:-1]
@@ -125,6 +125,7 @@ def _pieces(window: int):
             length = np.minimum(window, total[row] - start)
             tokens = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.append(0, np.cumsum(length) * 4).astype(np.int32)), pa.py_buffer(every)])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(row)), "start": pa.array(start), "length": pa.array(length), "doc_tokens": pa.array(total[row]), "tokens": tokens})
+        encoder().forget()  # the worker may go on to other work
 
     return cut
 
