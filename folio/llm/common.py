@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about so many bytes, which bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 #: Rows that Spark hands a Python worker at once; texts are long.
