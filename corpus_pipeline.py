@@ -22,9 +22,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; `lang` becomes that language."""
     bounded_batches(spark)
     model = language.fit(docs.select("doc_id", "text", "lang"))
-    found = language.identify(docs.withColumn("_row", F.struct(*docs.columns)), model, key="_row")
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.col("lang_pred" if c == "lang" else f"_row.{c}").alias(c) for c in docs.columns))
+    return language.with_language(docs, model, LEAST_SCORE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about so many bytes, which bounds a Python worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Rows that Spark hands a Python worker at once; texts are long.
@@ -59,6 +59,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()  # the worker may go on to other work
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -84,12 +84,12 @@ def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarr
     return langs, np.vstack([matrix, np.zeros(len(langs)), np.log(priors / priors.sum())]).astype(np.float32)
 
 
-def _scorer(langs: list[str], shared):
+def _scorer(langs: list[str], shared, column: str, keep_text: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, column):
             n = batch.num_rows
-            row, bins, letters = _grams(batch.column("text").to_pylist())
+            row, bins, letters = _grams(batch.column(column).to_pylist())
             total = np.tile(matrix[BINS + 1].astype(float), (n, 1))
             for b in bins:
                 total += row_sums(matrix[b], row, n)
@@ -100,19 +100,34 @@ def _scorer(langs: list[str], shared):
                 found = np.where(letters, np.array(langs, object)[best], UNDETERMINED)
             else:
                 sure, found = np.zeros(n), np.full(n, UNDETERMINED, object)
-            keep = [(k, batch.column(k)) for k in batch.schema.names if k != "text"]
+            keep = [(k, batch.column(k)) for k in batch.schema.names if keep_text or k != column]
             yield pa.RecordBatch.from_pydict(dict(keep) | {"lang_pred": pa.array(found, pa.string()), "score": pa.array(sure, pa.float64())})
 
     return score
 
 
+def _shared(docs: DataFrame, model: tuple[list[str], np.ndarray]):
+    return model[0], docs.sparkSession.sparkContext.broadcast(model[1])
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id") -> DataFrame:
     """key, lang_pred and score of each row; the text column is `text`."""
-    langs, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
     rows = docs.select(F.col(key), F.col("text"))
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_scorer(langs, shared), f"`{key}` {kind}, lang_pred string, score double")
+    return rows.mapInArrow(_scorer(*_shared(docs, model), "text", False), f"`{key}` {kind}, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.0) -> DataFrame:
+    """The rows of docs with letters whose language is told with a score of `least` or more; their `lang` becomes that language.
+
+    Each row goes to Python and back once. Columns travel under names of their own, so that docs may have any.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
+    text = names[docs.columns.index("text")]
+    found = rows.mapInArrow(_scorer(*_shared(docs, model), text, True), schema).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*(F.col("lang_pred" if c == "lang" else n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,7 +334,8 @@ def redact(docs: DataFrame) -> DataFrame:
                 out = out.set_column(c, out.schema.field(c), pa.array(map(len, texts), kind))
             yield out.drop_columns(["_found"])
 
-    return find(docs, name="_found").mapInArrow(replace, docs.schema)
+    finder = _finder(docs.sparkSession.sparkContext.broadcast(train(*labelled_table())), "_found")
+    return docs.mapInArrow(lambda batches: replace(finder(batches)), docs.schema)
 
 
 def _joined(spans: Column, keep=lambda s: F.lit(True)) -> Column:

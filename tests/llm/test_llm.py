@@ -338,6 +338,11 @@ def test_language(spark, docs, edges, empty):
     assert language.identify(empty, model).count() == 0
     nothing = language.identify(edges, language.fit(empty)).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+    clashing = edges.withColumnsRenamed({"score": "lang_pred", "key": "_c0"})
+    kept = language.with_language(clashing, model)
+    assert kept.columns == clashing.columns and kept.where("text is null or text = ''").count() == 0
+    assert sorted(r["lang_pred"] or "" for r in kept.collect()) == sorted(r["lang_pred"] or "" for r in clashing.where("text rlike '[a-z]'").collect())
+    assert language.with_language(empty, model).count() == 0
 
 
 def test_toxicity(spark, edges, empty):
