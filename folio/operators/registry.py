@@ -1,6 +1,6 @@
 """All queries of the document operators by name, and their SQL."""
 
-from folio.operators import documents, records, structure
+from folio.operators import documents, editing, records, structure
 
-QUERIES = documents.QUERIES | records.QUERIES | structure.QUERIES
-SQL = documents.SQL | records.SQL | structure.SQL
+QUERIES = documents.QUERIES | records.QUERIES | structure.QUERIES | editing.QUERIES
+SQL = documents.SQL | records.SQL | structure.SQL | editing.SQL

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import editing as E
 from folio.functions import text as X
 
 
@@ -41,3 +42,15 @@ def test_phrases_do_not_overlap(spark):
 def test_truncation(spark):
     assert value(spark, X.truncate_at_sentence(F.lit("甲乙。丙丁"), 4)) == "甲乙。"
     assert value(spark, X.truncate_visible(F.lit("a b c d"), 2)) == "a b"
+
+
+def test_typography(spark):
+    assert value(spark, E.typography(F.lit('使用GPU训练"模型"3次'))) == "使用 GPU 训练“模型”3 次"
+    assert value(spark, E.typography(F.lit("`中a` \x01 https://a.b/c'd' ```中b```"))) == "`中a` \x01 https://a.b/c‘d’ ```中b```"
+    assert value(spark, E.typography(F.lit(None).cast("string"))) == ""
+
+
+def test_institutions(spark):
+    assert value(spark, E.institutions(F.lit("Google Research and Google, Stanford University"))) == "Google Research、Stanford University"
+    assert value(spark, E.institutions(F.lit(None).cast("string"))) == ""
+    assert value(spark, E.institutions(F.lit("x" * 3000 + " IBM"))) == "" and value(spark, E.institutions(F.lit("x" * 3000 + " IBM"), front=None)) == "IBM"
