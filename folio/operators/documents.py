@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import style as S
 from folio.functions import text as X
 
 BUDGET = 1600
 TOP_TERMS = 24
+# Marks that style counts.
+STYLE_MARKS = {"periods": "[。]", "commas": "[，,]", "exclaims": "[!！]", "questions": "[？?]", "dashes": "——|—", "first_person": "我们|我"}
+BOLD = r"\*\*[^*\n]+\*\*"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,23 +79,41 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_term.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3").select("item_id", "rank", "doc_id", "score")
 
 
-def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
+def style_of(text: Column) -> list[Column]:
+    """Metrics of one text: its words without Markdown are counted; marks of emphasis are counted as written."""
+    t = S.words_only(text)
     paragraphs = F.filter(F.transform(F.split(t, r"\n\s*\n"), X.style_length), lambda n: n > 0)
     parts = F.filter(F.transform(F.split(t, r"[。！？!?；;\n]+"), X.style_length), lambda n: n > 1)
     mean = lambda a: F.when(F.size(a) == 0, 0.0).otherwise(F.floor(F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y) / F.size(a) * 10 + 0.5) / 10)
-    rows = table(spark, sf_dir, "documents").select("doc_id", t, paragraphs.alias("p"), parts.alias("s"))
-    return rows.select(
-        "doc_id",
-        F.size("p").cast("long").alias("paragraphs"),
-        mean(F.col("p")).cast("double").alias("paragraph_mean"),
-        F.coalesce(F.array_max("p"), F.lit(0)).cast("long").alias("paragraph_max"),
-        F.size("s").cast("long").alias("sentences"),
-        mean(F.col("s")).cast("double").alias("sentence_mean"),
-        F.coalesce(F.array_max("s"), F.lit(0)).cast("long").alias("sentence_max"),
-        X.count_matches(t, "[!！]").alias("exclaims"),
-        X.count_matches(t, "——|—").alias("dashes"),
-    )
+    lengths = []
+    for name, a in (("paragraph", paragraphs), ("sentence", parts)):
+        lengths += [F.size(a).cast("long").alias(name + "s"), mean(a).cast("double").alias(name + "_mean"), F.coalesce(F.array_max(a), F.lit(0)).cast("long").alias(name + "_max")]
+    return [
+        X.style_length(t).alias("chars"),
+        *lengths,
+        *(X.count_matches(t, pattern).alias(name) for name, pattern in STYLE_MARKS.items()),
+        X.count_matches(X.text_or_empty(text), BOLD).alias("bold"),
+        *(S.total(S.word_hits(t, name)).alias(name) for name in S.WORD_LISTS),
+    ]
+
+
+def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", *style_of(F.col("text")))
+    per = lambda n, unit, digits: F.when(F.col("chars") == 0, 0.0).otherwise(F.floor(n / F.col("chars") * unit * digits + 0.5) / digits)
+    rows = rows.withColumn("voice", sum((F.col(c) for c in S.VOICE), F.lit(0).cast("long")))
+    return rows.withColumns({"first_person_per_100": per(F.col("first_person"), 100, 10), "voice_per_1k": per(F.col("voice"), 1000, 100)})
+
+
+def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each list in each text, most frequent first."""
+    return hits_of(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def hits_of(rows: DataFrame, key: str) -> DataFrame:
+    lists = F.array(*(F.struct(F.lit(name).alias("list"), S.word_hits(F.col("t"), name).alias("hits")) for name in S.WORD_LISTS))
+    each = rows.select(key, S.words_only(F.col("text")).alias("t")).select(key, F.explode(lists).alias("l"))
+    each = each.select(key, "l.list", F.posexplode("l.hits").alias("pos", "h"))
+    return each.select(key, "list", (F.col("pos") + 1).cast("long").alias("rank"), "h.word", "h.n")
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +180,52 @@ def _date_sql(t: str) -> str:
     return f"coalesce({month(r'(20[0-9]{2})\s*年\s*([0-9]{1,2})\s*月')}, {by_name}, {month(r'(20[0-9]{2})[-/.]([0-9]{1,2})')}, '')"
 
 
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def rules_sql(t: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, by in rules:
+        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(by.replace('$', chr(92)))}, 'g')"
+    return t
+
+
+def _counts_sql(name: str) -> tuple[str, list[str]]:
+    """Select list that takes the words of a list from w0 one after the other, and how often each was there."""
+    steps, counts, at = [], [], "w0"
+    for i, w in enumerate(S.in_order(name)):
+        counts.append(f"((length({at}) - length(replace({at}, {quoted(w)}, ''))) // {len(w)})")
+        if name != S.OVERLAPPING:
+            steps.append(f"replace({at}, {quoted(w)}, chr(1)) w{i + 1}")
+            at = f"w{i + 1}"
+    return "".join(", " + x for x in steps), counts
+
+
+def hits_sql(source: str, key: str) -> str:
+    out = []
+    for name in S.WORD_LISTS:
+        steps, counts = _counts_sql(name)
+        hits = ", ".join(f"{{'word': {quoted(w)}, 'n': {n}, 'pos': {i}}}" for i, (w, n) in enumerate(zip(S.in_order(name), counts, strict=True)))
+        out.append(f"select {key}, '{name}' list, unnest([{hits}]) h from (select {key}, w0{steps} from w)")
+    ranked = f"select {key}, list, row_number() over (partition by {key}, list order by h.n desc, h.pos) rank, h.word word, h.n::bigint n from ({' union all '.join(out)}) where h.n > 0"
+    return f"with w as (select {key}::bigint {key}, {rules_sql("coalesce(text, '')", S.PLAIN_RULES)} w0 from {source}) {ranked}"
+
+
+def _metrics_sql() -> str:
+    style = lambda q: _STYLE.format(t=q)
+    mean = lambda a: f"case when len({a}) = 0 then 0.0 else floor(list_sum({a}) / len({a}) * 10 + 0.5) / 10 end::double"
+    marks = ", ".join(f"len(regexp_extract_all(w0, {quoted(p)}))::bigint {name}" for name, p in STYLE_MARKS.items())
+    lists = ", ".join(f"coalesce((select sum(n) from h where h.doc_id = x.doc_id and list = '{name}'), 0)::bigint {name}" for name in S.WORD_LISTS)
+    return rf"""with h as ({hits_sql("documents", "doc_id")}), x as (select doc_id, text, w0, list_filter(list_transform(string_split_regex(w0, '\n\s*\n'), lambda q: {style("q")}), lambda n: n > 0) p,
+        list_filter(list_transform(string_split_regex(w0, '[。！？!?；;\n]+'), lambda q: {style("q")}), lambda n: n > 1) s from (select doc_id, text, {rules_sql("coalesce(text, '')", S.PLAIN_RULES)} w0 from documents)),
+      m as (select doc_id, {style("w0")}::bigint chars, len(p)::bigint paragraphs, {mean("p")} paragraph_mean, coalesce(list_max(p), 0)::bigint paragraph_max, len(s)::bigint sentences, {mean("s")} sentence_mean, coalesce(list_max(s), 0)::bigint sentence_max,
+        {marks}, len(regexp_extract_all(coalesce(text, ''), {quoted(BOLD)}))::bigint bold, {lists} from x)
+      select *, {" + ".join(S.VOICE)} voice, case when chars = 0 then 0.0 else floor(first_person / chars * 100 * 10 + 0.5) / 10 end::double first_person_per_100,
+        case when chars = 0 then 0.0 else floor(({" + ".join(S.VOICE)}) / chars * 1000 * 100 + 0.5) / 100 end::double voice_per_1k from m"""
+
+
 _STYLE = r"length(regexp_replace({t}, '[\s*_#>`~|]', '', 'g'))"
-QUERIES = {f.__name__: f for f in (normalized, lengths, number_mentions, top_terms, chunks, chunk_terms, structure_stats, glossary, related, style_metrics, mentions, manifest, source_summary)}
+QUERIES = {f.__name__: f for f in (normalized, lengths, number_mentions, top_terms, chunks, chunk_terms, structure_stats, glossary, related, style_metrics, word_hits, mentions, manifest, source_summary)}
 SQL = {
     "normalized": f"select doc_id, length(t)::bigint chars, md5(t) text_md5 from (select doc_id, {NORM.format(t='text')} t from documents)",
     "lengths": rf"select doc_id, length(regexp_replace(text, '\s', '', 'g'))::bigint visible, {_STYLE.format(t='text')}::bigint style, len(regexp_extract_all(text, '[一-鿿]'))::bigint chinese from documents",
@@ -172,11 +238,8 @@ SQL = {
     "related": f"""with a as ({_terms_sql('benchmark', 'item_id', TOP_TERMS)}), b as ({_terms_sql('documents', 'doc_id', TOP_TERMS)}),
       s as (select item_id, doc_id, 2 * count(*) score from a join b using (term) group by all)
       select item_id, rank, doc_id, score::bigint score from (select *, row_number() over (partition by item_id order by score desc, doc_id desc) rank from s) where rank <= 3""",
-    "style_metrics": rf"""with x as (select doc_id, text, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda q: {_STYLE.format(t='q')}), lambda n: n > 0) p,
-      list_filter(list_transform(string_split_regex(text, '[。！？!?；;\n]+'), lambda q: {_STYLE.format(t='q')}), lambda n: n > 1) s from documents)
-      select doc_id, len(p)::bigint paragraphs, case when len(p) = 0 then 0.0 else floor(list_sum(p) / len(p) * 10 + 0.5) / 10 end::double paragraph_mean, coalesce(list_max(p), 0)::bigint paragraph_max,
-      len(s)::bigint sentences, case when len(s) = 0 then 0.0 else floor(list_sum(s) / len(s) * 10 + 0.5) / 10 end::double sentence_mean, coalesce(list_max(s), 0)::bigint sentence_max,
-      len(regexp_extract_all(text, '[!！]'))::bigint exclaims, len(regexp_extract_all(text, '——|—'))::bigint dashes from x""",
+    "style_metrics": _metrics_sql(),
+    "word_hits": hits_sql("documents", "doc_id"),
     "mentions": rf"""with x as (select doc_id, text, regexp_extract(text, '^(?:\s*\S){{0,100}}') h, regexp_extract(text, '^(?:\s*\S){{0,300}}') c, {_date_sql('text')} as date from documents)
       select doc_id, date, regexp_extract(text, '([0-9]{{4}}\.[0-9]{{4,5}})(?:v[0-9]+)?', 1) paper, md5(h) head_md5, md5(case when c = text then text when regexp_extract(c, '(?s)^.*[。！？!?；;\n]') <> '' and length(c) - length(regexp_extract(c, '(?s)^.*[。！？!?；;\n]')) < 80 then regexp_extract(c, '(?s)^.*[。！？!?；;\n]') else c end) lead_md5 from x""",
     "manifest": "select doc_id, source, length(text)::bigint text_length from documents where doc_id in (select doc_id from labels where quality = 1) and doc_id not in (select doc_id from labels where toxic = 1)",

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from folio.functions import editing as E
 from folio.operators import documents
-from folio.operators.documents import table
+from folio.operators.documents import hits_of, hits_sql, quoted, rules_sql, table
 from folio.operators.structure import _values
 
 TYPOGRAPHY = [(1, '使用GPU训练"模型"3次'), (2, "见`GPU训练`与https://example.com/a训练 \"x\""), (3, "```\n\"a\"中b\n``` 'q' ![图a](b\"c\") 中1"), (4, "")]
+WORDS = [
+    (1, "真正的问题在于，真正关键的是首次做到。SOTA 与最强，被认为是被认为"),
+    (2, "需要被认为是。随着不仅能更能闭环闭环\n\n> ## 标题\n- 希望对你有帮助，见[里程碑](http://a.b)"),
+    (3, "```\n随着\n```\n## 首次\n$$赋能$$ the best method and ranking"),
+    (4, ""),
+]
 INSTITUTIONS = [(1, "Google Research and Google, Stanford University"), (2, "在google工作 a.b@mit.edu Email: x 北京大学，清华大学 University of Old York"), (3, "none"), (4, "OpenAI openai IBM Intel Apple")]
 
 # Limits of each profile, and how grave it is to pass them.
 PROFILES = {
-    "copy": {"paragraph_max": 150, "paragraph_mean": 110, "sentence_mean": 80, "exclaims": 1, "dashes": 2},
-    "deepread": {"paragraph_max": 180, "paragraph_mean": 130, "sentence_mean": 90, "exclaims": 2, "dashes": 3},
-    "podcast": {"paragraph_max": 130, "paragraph_mean": 120, "sentence_mean": 70, "exclaims": 1, "dashes": 2},
+    "copy": {"paragraph_max": 150, "paragraph_mean": 110, "sentence_mean": 80, "exclaims": 1, "dashes": 2, "stock": 0},
+    "deepread": {"paragraph_max": 180, "paragraph_mean": 130, "sentence_mean": 90, "exclaims": 2, "dashes": 3, "stock": 1},
+    "podcast": {"paragraph_max": 130, "paragraph_mean": 120, "sentence_mean": 70, "exclaims": 1, "dashes": 2, "stock": 0},
 }
-LEVELS = {"paragraph_max": "warn", "paragraph_mean": "info", "sentence_mean": "info", "exclaims": "warn", "dashes": "info"}
+LEVELS = {"paragraph_max": "warn", "paragraph_mean": "info", "sentence_mean": "info", "exclaims": "warn", "dashes": "info", "stock": "warn", "caution": "info", "boundary": "info", "voice": "info", "voice_per_1k": "info"}
+# Limits that all profiles share, and the least length for which the last one holds.
+SHARED = {"caution": 3, "boundary": 0, "voice": 2, "voice_per_1k": 2}
+DENSE_FROM = 400
 
 
 def typography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +49,18 @@ def institution_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(INSTITUTIONS, "id long, text string").select("id", E.institutions(F.col("text")).alias("institutions"))
 
 
+def word_hit_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits_of(spark.createDataFrame(WORDS, "id long, text string"), "id")
+
+
 def warned(metrics: DataFrame) -> DataFrame:
     """doc_id, profile and `warnings` (rule, level, value, bound) of style metrics: one row for each profile, without a shuffle."""
 
     def rule(name: str, bound: int):
-        row = F.struct(F.lit(name).alias("rule"), F.lit(LEVELS[name]).alias("level"), F.col(name).cast("double").alias("value"), F.lit(float(bound)).alias("bound"))
-        return row
+        value = F.when(F.col("chars") >= DENSE_FROM, F.col(name)).otherwise(0.0) if name == "voice_per_1k" else F.col(name).cast("double")
+        return F.struct(F.lit(name).alias("rule"), F.lit(LEVELS[name]).alias("level"), value.alias("value"), F.lit(float(bound)).alias("bound"))
 
-    profiles = F.array(*(F.struct(F.lit(p).alias("profile"), F.array(*(rule(*x) for x in limits.items())).alias("rules")) for p, limits in PROFILES.items()))
+    profiles = F.array(*(F.struct(F.lit(p).alias("profile"), F.array(*(rule(*x) for x in (limits | SHARED).items())).alias("rules")) for p, limits in PROFILES.items()))
     each = metrics.select("doc_id", F.explode(profiles).alias("p"))
     return each.select("doc_id", "p.profile", F.filter("p.rules", lambda r: r["value"] > r["bound"]).alias("warnings"))
 
@@ -62,38 +75,33 @@ def style_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "profile", F.size("warnings").cast("long").alias("warnings"), (~F.exists("warnings", lambda w: w["level"] == "warn")).alias("ok"))
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 def _typography_sql(key: str, source: str) -> str:
-    bare = f"regexp_replace(t, {_quoted(E.PROTECTED)}, chr(1), 'g')"
-    for pattern, by in E.TYPOGRAPHY:
-        bare = f"regexp_replace({bare}, {_quoted(pattern)}, {_quoted(by.replace('$', chr(92)))}, 'g')"
+    bare = rules_sql(f"regexp_replace(t, {quoted(E.PROTECTED)}, chr(1), 'g')", E.TYPOGRAPHY)
     return f"""(select {key}, list_aggregate(list_transform(list_zip(string_split(bare, chr(1)), kept), lambda z: z[1] || coalesce(z[2], '')), 'string_agg', '') t
-      from (select {key}, regexp_extract_all(t, {_quoted(E.PROTECTED)}) kept, {bare} bare from (select {key}, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') t from {source})))"""
+      from (select {key}, regexp_extract_all(t, {quoted(E.PROTECTED)}) kept, {bare} bare from (select {key}, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') t from {source})))"""
 
 
 def _institutions_sql(key: str, source: str, front: str) -> str:
     clean = "coalesce(text, '')"
     for pattern in E.CONTACTS:
-        clean = f"regexp_replace({clean}, {_quoted(pattern)}, ' ', 'g')"
-    found = " || ".join(f"regexp_extract_all(t, {_quoted(p)})" for p in E.INSTITUTIONS)
+        clean = f"regexp_replace({clean}, {quoted(pattern)}, ' ', 'g')"
+    found = " || ".join(f"regexp_extract_all(t, {quoted(p)})" for p in E.INSTITUTIONS)
     return f"""with f as (select {key}, {found} names from (select {key}, {front.format(t=clean)} t from {source})),
       u as (select {key}, list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i) names from f)
       select {key}::bigint {key}, array_to_string(list_filter(names, lambda x: len(list_filter(names, lambda o: o <> x and contains(lower(o), lower(x)))) = 0)[1:3], '、') institutions from u"""
 
 
-_LIMITS = "(values " + ", ".join(f"('{p}', '{rule}', '{LEVELS[rule]}', {bound}::double)" for p, limits in PROFILES.items() for rule, bound in limits.items()) + ") l(profile, rule, level, bound)"
-_WARNED = f"""with m as ({documents.SQL["style_metrics"]}), v as (unpivot (select doc_id, {", ".join(f"{c}::double {c}" for c in LEVELS)} from m) on {", ".join(LEVELS)} into name rule value value),
+_LIMITS = "(values " + ", ".join(f"('{p}', '{rule}', '{LEVELS[rule]}', {bound}::double)" for p, limits in PROFILES.items() for rule, bound in (limits | SHARED).items()) + ") l(profile, rule, level, bound)"
+_WARNED = f"""with m as ({documents.SQL["style_metrics"]}), v as (unpivot (select doc_id, {", ".join(f"{c}::double {c}" for c in LEVELS if c != "voice_per_1k")}, case when chars >= {DENSE_FROM} then voice_per_1k else 0 end::double voice_per_1k from m) on {", ".join(LEVELS)} into name rule value value),
   w as (select doc_id, profile, rule, level, value, bound from v join {_LIMITS} using (rule))
 """
-QUERIES = {f.__name__: f for f in (typography, typography_forms, institutions, institution_forms, style_warnings, style_reports)}
+QUERIES = {f.__name__: f for f in (typography, typography_forms, institutions, institution_forms, word_hit_forms, style_warnings, style_reports)}
 SQL = {
     "typography": f"select doc_id, length(t)::bigint chars, md5(t) text_md5 from {_typography_sql('doc_id', 'documents')}",
     "typography_forms": f"select id::bigint id, t as text from {_typography_sql('id', _values(TYPOGRAPHY, 'id, text'))}",
     "institutions": _institutions_sql("doc_id", "documents", "{t}"),
     "institution_forms": _institutions_sql("id", _values(INSTITUTIONS, "id, text"), f"substr({{t}}, 1, {E.FRONT})"),
+    "word_hit_forms": hits_sql(_values(WORDS, "id, text"), "id"),
     "style_warnings": _WARNED + "select * from w where value > bound",
     "style_reports": _WARNED + "select doc_id, profile, (count(*) filter (value > bound))::bigint warnings, coalesce(not bool_or(value > bound and level = 'warn'), true) ok from w group by all",
 }

@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import editing as E
+from folio.functions import style as S
 from folio.functions import text as X
+from folio.operators import documents as D
+from folio.operators.editing import warned
 
 
 def value(spark, column):
@@ -54,3 +57,25 @@ def test_institutions(spark):
     assert value(spark, E.institutions(F.lit("Google Research and Google, Stanford University"))) == "Google Research、Stanford University"
     assert value(spark, E.institutions(F.lit(None).cast("string"))) == ""
     assert value(spark, E.institutions(F.lit("x" * 3000 + " IBM"))) == "" and value(spark, E.institutions(F.lit("x" * 3000 + " IBM"), front=None)) == "IBM"
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "want"),
+    [("真正的问题在于，真正关键的是首次做到。", "caution", [("真正", 2), ("首次", 1)]), ("能够被视为", "passive", [("被视为", 1)]), ("更能不仅能", "stock", [("不仅能", 1), ("更能", 1)]), (None, "voice", None)],
+)
+def test_word_hits(spark, text, name, want):
+    if want is None:
+        assert value(spark, S.word_hits(F.lit(None).cast("string"), "chatbot")) == []
+    else:
+        assert sorted(map(tuple, value(spark, S.word_hits(F.lit(text), name)))) == sorted(want)
+
+
+def test_words_only(spark):
+    assert value(spark, S.words_only(F.lit("## Head\n> a **b** [c](d)\n- `e` $x$"))) == "\na b c\ne  "
+
+
+def test_warnings_of_a_profile(spark):
+    rows = [(1, "真正。"), (2, "真正首次尤其革命。"), (3, "首次。"), (4, "随着赋能闭环抓手。")]
+    metrics = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", *D.style_of(F.col("text"))).withColumn("voice", F.lit(0)).withColumn("voice_per_1k", F.lit(0.0))
+    found = {r.doc_id: {(w.rule, w.level) for w in r.warnings} for r in warned(metrics).where("profile = 'deepread'").collect()}
+    assert found == {1: set(), 2: {("caution", "info"), ("boundary", "info")}, 3: {("boundary", "info")}, 4: {("stock", "warn")}}
