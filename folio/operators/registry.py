@@ -1,6 +1,7 @@
 """All queries of the document operators by name, and their SQL."""
 
-from folio.operators import documents, editing, records, structure
+from folio.operators import documents, editing, extracts, records, structure
 
-QUERIES = documents.QUERIES | records.QUERIES | structure.QUERIES | editing.QUERIES
-SQL = documents.SQL | records.SQL | structure.SQL | editing.SQL
+PARTS = (documents, records, structure, editing, extracts)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
