@@ -50,7 +50,9 @@ def institutions(text: Column, front: int | None = FRONT, most: int = 3) -> Colu
     for pattern in CONTACTS:
         t = F.regexp_replace(t, _ascii_edges(pattern), " ")
     t = t if front is None else F.substring(t, 1, front)
-    found = F.flatten(F.array(*(F.regexp_extract_all(t, F.lit(_ascii_edges(p)), F.lit(0)) for p in INSTITUTIONS)))
+    # Bound to a variable, the cleaned text is computed once rather than for each pattern.
+    in_text = lambda x: F.flatten(F.array(*(F.regexp_extract_all(x, F.lit(_ascii_edges(p)), F.lit(0)) for p in INSTITUTIONS)))
+    found = F.transform(F.array(t), in_text)[0]
     return F.array_join(F.slice(F.aggregate(found, F.array().cast("array<string>"), _add_name, _longest), 1, most), "、")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +67,8 @@ def word_hits(text: Column, name: str) -> Column:
 
     listed = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(w).alias("word")) for i, w in enumerate(words)))
     found = F.aggregate(listed, start, take, lambda s: F.transform(F.sort_array(s["hits"]), lambda h: F.struct(h["word"].alias("word"), (-h["less"]).alias("n"))))
-    # Most texts hold none of the words, which one pass tells.
-    return F.when(t.rlike("|".join(words)), found).otherwise(F.array().cast("array<struct<word:string,n:bigint>>"))
+    # Most texts hold none of the words: plain searches tell so at a fraction of a fold's time.
+    return F.when(reduce(or_, (F.contains(t, F.lit(w)) for w in words)), found).otherwise(F.array().cast("array<struct<word:string,n:bigint>>"))
 
 
 def total(hits: Column) -> Column:

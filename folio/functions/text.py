@@ -53,12 +53,17 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts behind sentence signs, and behind a full stop before a capital or bracket."""
-    parts = F.split(normalize_text(text), r"(?<=[。！？!?；;：:])\s*|(?<=\.)\s+(?=[A-Z(])")
+    return clean_sentences(normalize_text(text))
+
+
+def clean_sentences(text: Column) -> Column:
+    """As above, of text in normal form."""
+    parts = F.split(text, r"(?<=[。！？!?；;：:])\s*|(?<=\.)\s+(?=[A-Z(])")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
 def pack_sentences(text: Column, budget: int) -> Column:
-    """Consecutive sentences joined into pieces of at most `budget` characters; a longer sentence is cut."""
+    """Consecutive sentences of text in normal form joined into pieces of at most `budget` characters; a longer sentence is cut."""
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("out"), F.lit("").alias("buf"))
 
@@ -72,7 +77,7 @@ def pack_sentences(text: Column, budget: int) -> Column:
             .otherwise(F.struct(out.alias("out"), F.concat(buf, s).alias("buf")))
         )
 
-    return F.aggregate(sentences(text), start, add, lambda z: F.when(z["buf"] != "", F.concat(z["out"], F.array(z["buf"]))).otherwise(z["out"]))
+    return F.aggregate(clean_sentences(text), start, add, lambda z: F.when(z["buf"] != "", F.concat(z["out"], F.array(z["buf"]))).otherwise(z["out"]))
 
 
 def join_pieces(pieces: Column, budget: int) -> Column:
@@ -91,7 +96,11 @@ def join_pieces(pieces: Column, budget: int) -> Column:
 
 
 def split_by_budget(text: Column, budget: int) -> Column:
-    clean = normalize_text(text)
+    return split_clean(normalize_text(text), budget)
+
+
+def split_clean(clean: Column, budget: int) -> Column:
+    """As above, of text in normal form: name that in a projection of its own first, or it is computed for each use."""
     blocks = F.filter(F.split(clean, "\n{2,}"), lambda b: b != "")
     cut = join_pieces(F.flatten(F.transform(blocks, lambda b: pack_sentences(b, budget))), budget)
     return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= budget, F.array(clean)).otherwise(cut)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import style as S
@@ -47,7 +47,8 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    pieces = rows.select("doc_id", F.posexplode(X.split_by_budget(F.col("text"), budget)).alias("idx", "text"))
+    clean = rows.select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
+    pieces = clean.select("doc_id", F.posexplode(X.split_clean(F.col("clean"), budget)).alias("idx", "text"))
     return pieces.select("doc_id", F.col("idx").cast("long").alias("idx"), "text")
 
 
@@ -79,29 +80,32 @@ def related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_term.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3").select("item_id", "rank", "doc_id", "score")
 
 
-def style_of(text: Column) -> list[Column]:
-    """Metrics of one text: its words without Markdown are counted; marks of emphasis are counted as written."""
-    t = S.words_only(text)
-    paragraphs = F.filter(F.transform(F.split(t, r"\n\s*\n"), X.style_length), lambda n: n > 0)
-    parts = F.filter(F.transform(F.split(t, r"[。！？!?；;\n]+"), X.style_length), lambda n: n > 1)
+def with_style(rows: DataFrame) -> DataFrame:
+    """Metrics of texts by doc_id. Words without Markdown are counted; marks of emphasis are counted as written."""
+    # Each step names what the next one uses several times, so that it is computed once.
+    t = F.col("words")
+    parts = lambda pattern, least: F.filter(F.transform(F.split(t, pattern), X.style_length), lambda n: n > least)
+    words = rows.select("doc_id", X.text_or_empty(F.col("text")).alias("text"), S.words_only(F.col("text")).alias("words"))
+    split = words.select("*", parts(r"\n\s*\n", 0).alias("p"), parts(r"[。！？!?；;\n]+", 1).alias("s"))
     mean = lambda a: F.when(F.size(a) == 0, 0.0).otherwise(F.floor(F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y) / F.size(a) * 10 + 0.5) / 10)
     lengths = []
-    for name, a in (("paragraph", paragraphs), ("sentence", parts)):
+    for name, a in (("paragraph", F.col("p")), ("sentence", F.col("s"))):
         lengths += [F.size(a).cast("long").alias(name + "s"), mean(a).cast("double").alias(name + "_mean"), F.coalesce(F.array_max(a), F.lit(0)).cast("long").alias(name + "_max")]
-    return [
+    counted = split.select(
+        "doc_id",
         X.style_length(t).alias("chars"),
         *lengths,
         *(X.count_matches(t, pattern).alias(name) for name, pattern in STYLE_MARKS.items()),
-        X.count_matches(X.text_or_empty(text), BOLD).alias("bold"),
+        X.count_matches(F.col("text"), BOLD).alias("bold"),
         *(S.total(S.word_hits(t, name)).alias(name) for name in S.WORD_LISTS),
-    ]
+    )
+    per = lambda n, unit, digits: F.when(F.col("chars") == 0, 0.0).otherwise(F.floor(n / F.col("chars") * unit * digits + 0.5) / digits)
+    counted = counted.withColumn("voice", sum((F.col(c) for c in S.VOICE), F.lit(0).cast("long")))
+    return counted.withColumns({"first_person_per_100": per(F.col("first_person"), 100, 10), "voice_per_1k": per(F.col("voice"), 1000, 100)})
 
 
 def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", *style_of(F.col("text")))
-    per = lambda n, unit, digits: F.when(F.col("chars") == 0, 0.0).otherwise(F.floor(n / F.col("chars") * unit * digits + 0.5) / digits)
-    rows = rows.withColumn("voice", sum((F.col(c) for c in S.VOICE), F.lit(0).cast("long")))
-    return rows.withColumns({"first_person_per_100": per(F.col("first_person"), 100, 10), "voice_per_1k": per(F.col("voice"), 1000, 100)})
+    return with_style(table(spark, sf_dir, "documents"))
 
 
 def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

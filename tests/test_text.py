@@ -76,6 +76,6 @@ def test_words_only(spark):
 
 def test_warnings_of_a_profile(spark):
     rows = [(1, "真正。"), (2, "真正首次尤其革命。"), (3, "首次。"), (4, "随着赋能闭环抓手。")]
-    metrics = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", *D.style_of(F.col("text"))).withColumn("voice", F.lit(0)).withColumn("voice_per_1k", F.lit(0.0))
+    metrics = D.with_style(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {r.doc_id: {(w.rule, w.level) for w in r.warnings} for r in warned(metrics).where("profile = 'deepread'").collect()}
     assert found == {1: set(), 2: {("caution", "info"), ("boundary", "info")}, 3: {("boundary", "info")}, 4: {("stock", "warn")}}
