@@ -1,0 +1,73 @@
+"""Column functions over HTML: its blocks in order, formulas as TeX. Null markup counts as empty."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from folio.functions.text import normalize_text, text_or_empty
+
+# Elements that are no content, elements that are a block, and how much of a table is kept.
+NO_CONTENT = [r"(?is)<!--.*?-->", *(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in "script style nav header footer aside noscript".split())]
+BLOCKS = "h1 h2 h3 h4 h5 h6 table figure p ul ol".split()
+TABLE_CHARS = 1200
+
+MATH = r"(?is)<math\b.*?</math\s*>"
+MARK = "\x01"
+#: A paragraph without an end tag ends where another block starts or its parent ends.
+OPENS = r"(?i)(<(?:p|h[1-6]|ul|ol|table|figure|div|section|article)\b|</(?:article|section|div|body)\s*>)"
+#: Formulas stand between marks by then; one outside all blocks is a block of its own.
+ELEMENT = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in BLOCKS) + "|" + MARK + "[^" + MARK + "]*" + MARK
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
+def unescaped(t: Column) -> Column:
+    for entity, char in ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return t
+
+
+def bare(t: Column) -> Column:
+    """Text of markup in normal form, formulas between dollar signs."""
+    return normalize_text(unescaped(F.regexp_replace(F.regexp_replace(t, MARK + "([^" + MARK + "]*)" + MARK, r" \$$1\$ "), r"(?s)<[^>]*>", "")))
+
+
+def tex(math: Column) -> Column:
+    """TeX of a formula: its annotation, else its alternative text, else its own text."""
+    note = F.trim(F.regexp_extract(math, r"(?is)<annotation\b[^>]*application/x-tex[^>]*>(.*?)</annotation", 1))
+    alt = F.trim(F.regexp_extract(math, r"(?is)^<math\b[^>]*?\balttext=[\"']([^\"']*)", 1))
+    own = F.trim(F.regexp_replace(F.regexp_replace(math, r"(?s)<[^>]*>", ""), r"\s+", " "))
+    return F.coalesce(F.nullif(note, F.lit("")), F.nullif(alt, F.lit("")), own)
+
+
+def elements(html: Column) -> Column:
+    """Blocks of the markup in order, as markup whose formulas are TeX between marks."""
+    t = F.replace(text_or_empty(html), F.lit(MARK), F.lit(" "))
+    for pattern in NO_CONTENT:
+        t = F.regexp_replace(t, pattern, " ")
+
+    def marked(t: Column) -> Column:
+        formulas = F.transform(F.regexp_extract_all(t, F.lit(MATH), F.lit(0)), lambda m: F.concat(F.lit(MARK), tex(m), F.lit(MARK)))
+        return F.array_join(F.zip_with(F.split(t, MATH, -1), formulas, lambda part, f: F.concat(part, F.coalesce(f, F.lit("")))), "")
+
+    t = F.transform(F.array(t), marked)[0]
+    return F.regexp_extract_all(F.regexp_replace(t, OPENS, "</p>$1"), F.lit("(?is)" + ELEMENT), F.lit(0))
+
+
+def blocks(element: Column, tag: Column) -> Column:
+    """Array of (type, text) of one element; a paragraph's formulas follow it as blocks of their own."""
+    block = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    formula = lambda f: block("formula", F.concat(F.lit("$$"), unescaped(f), F.lit("$$")))
+    inner = F.regexp_extract_all(element, F.lit(MARK + "([^" + MARK + "]+)" + MARK), F.lit(1))
+    caption = bare(F.regexp_extract(element, r"(?is)<(?:fig)?caption\b[^>]*>(.*?)</(?:fig)?caption\s*>", 1))
+    table = F.concat(F.when(caption != "", F.concat(caption, F.lit("\n"))).otherwise(""), F.left(bare(element), F.lit(TABLE_CHARS)))
+    figure = F.coalesce(F.nullif(caption, F.lit("")), bare(element))
+    items = F.transform(F.regexp_extract_all(element, F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1)), lambda x: F.concat(F.lit("- "), bare(x)))
+    return (
+        F.when(tag == "", F.transform(inner, formula))
+        .when(tag.rlike("^h[1-6]$"), F.array(block("heading", F.regexp_replace(bare(element), r"^[0-9]+(\.[0-9]+)*\s*", ""))))
+        .when((tag == "table") | element.rlike(r"(?is)^<figure\b.*<table\b"), F.array(block("table", table)))
+        .when(tag == "figure", F.array(block("figure", F.when(figure != "", F.concat(F.lit("图注："), figure)).otherwise(""))))
+        .when(tag.isin("ul", "ol"), F.array(block("list", F.array_join(items, "\n"))))
+        .otherwise(F.concat(F.array(block("paragraph", bare(element))), F.transform(inner, formula)))
+    )

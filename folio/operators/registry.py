@@ -1,7 +1,7 @@
 """All queries of the document operators by name, and their SQL."""
 
-from folio.operators import documents, editing, extracts, records, structure
+from folio.operators import documents, editing, extracts, pages, records, structure
 
-PARTS = (documents, records, structure, editing, extracts)
+PARTS = (documents, records, structure, editing, extracts, pages)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

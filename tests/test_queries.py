@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_matches_sql(spark, name, tmp_path):
     path = str(tmp_path / "out")
     registry.QUERIES[name](spark, SF).write.parquet(path)
