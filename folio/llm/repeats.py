@@ -10,6 +10,10 @@ one bucket after another in bounded memory:
 2. The suffixes that are left, a few in a hundred bytes of ordinary text, are sorted by a 64-bit name of their 200 bytes.
 3. Ties are confirmed by the ranks at the shift that takes both suffixes into the cover.
 
+A name with more text than a task sorts at once (copies of one text, a very common line) isn't sorted in its group. Its equal runs
+are first made one, those of several places being repeated whole; the suffixes of its different runs are then joined by
+a 64-bit name of their bytes, in any number of tasks.
+
 Null text is empty; texts shorter than LENGTH lose nothing. Equal rows are separate occurrences.
 """
 
@@ -134,14 +138,33 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _deal(groups: int, length: int):
-    """Rows of text to a row for each group of buckets: its runs' bytes and where they come from, compressed."""
+def _name_sizes(least: int, length: int):
+    """Names with at least so many bytes of runs in the partition, and these bytes."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in text_slices(batches, limit=DEAL_BYTES):
+            _, _, many, name = bucket_runs(*utf8(batch.column("text")), length)
+            every, which = np.unique(np.concatenate([names, name]), return_inverse=True)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, which, np.concatenate([size, many + length - 1]))
+            names, size = every, total
+        some = size >= least
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names[some].view(np.int64)), "size": pa.array(size[some])})
+
+    return sizes
+
+
+def _deal(groups: int, length: int, hot: np.ndarray):
+    """Rows of text to a row for each group of buckets: its runs' bytes and where they come from, compressed. Names in hot are left out."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in text_slices(batches, limit=DEAL_BYTES):
             data, offsets = utf8(batch.column("text"))
             row, start, many, name = bucket_runs(data, offsets, length)
+            if len(hot):
+                row, start, many, name = (x[~np.isin(name, hot)] for x in (row, start, many, name))
             if not len(row):
                 continue
             group = (name % np.uint64(groups)).astype(np.int64)
@@ -166,8 +189,8 @@ def _sort_group(length: int):
         """The runs of dealt rows; each span is of suffixes that repeat, with their bytes."""
         packer = zstandard.ZstdDecompressor()
         names = [np.frombuffer(packer.decompress(x), "<u8") for x in rows["names"]]
-        sizes = rows["text"].map(len).sum()
-        parts = max(1, int(-(-sizes * 3 // SORT_BYTES)))
+        size = rows["text"].map(zstandard.frame_content_size).sum()
+        parts = max(1, int(-(-size // SORT_BYTES)))
         spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in range(parts):
             texts, keys, starts, manys = [], [], [], []
@@ -199,15 +222,77 @@ def _sort_group(length: int):
     return sort
 
 
+def _hot_runs(length: int, hot: np.ndarray):
+    """A row for each different run of a slice of text that has a name in hot; if the slice holds it several times, `n` is 2 and each place a row without text."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, limit=DEAL_BYTES):
+            data, offsets = utf8(batch.column("text"))
+            row, start, many, name = bucket_runs(data, offsets, length)
+            row, start, many = (x[np.isin(name, hot)] for x in (row, start, many))
+            if not len(row):
+                continue
+            at, size = offsets[row] + start, many + length - 1
+            run, first, which, count = np.unique(Rolling(data).at(at, size), return_index=True, return_inverse=True, return_counts=True)
+            key = batch.column("row_key").to_numpy()[row]
+            once = count == 1
+            again = np.flatnonzero(~once[which])
+            yield pa.RecordBatch.from_pydict({
+                "run": pa.array(np.concatenate([run, run[which[again]]]).view(np.int64)),
+                "n": pa.array(np.concatenate([np.where(once, 1, 2), np.zeros(len(again), np.int64)])),
+                "many": pa.array(np.concatenate([many[first], many[again]])),
+                "text": pa.array([*(data[a : a + n].tobytes() for a, n in zip(at[first], size[first], strict=True)), *[None] * len(again)], pa.binary()),
+                "row_key": pa.array(np.concatenate([key[first], key[again]]), mask=np.concatenate([~once, np.zeros(len(again), bool)])),
+                "start": pa.array(np.concatenate([start[first], start[again]])),
+            })
+
+    return deal
+
+
+def _suffixes(length: int):
+    """Name of each suffix of runs, 2 if the run has several places, and else the suffix's own place."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = np.frombuffer(batch.column("text")[k].as_py(), np.uint8)
+                at = np.arange(len(text) - length + 1)
+                name = Rolling(text).at(at, np.int64(length))
+                n, key, start = (batch.column(c)[k].as_py() for c in ("n", "row_key", "start"))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(at), n)), pa.array([key] * len(at), pa.int64()), pa.array(at + (start or 0))], ["name", "n", "row_key", "first"])
+
+    return names
+
+
+def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """The spans of suffixes with a name in hot; no task holds all runs or suffixes of a name."""
+    dealt = checkpointed(docs.mapInArrow(_hot_runs(length, hot), "run long, n long, many long, text binary, row_key long, start long"))
+    whole = lambda df: df.select("row_key", F.col("start").alias("first"), (F.col("start") + F.col("many") + length - 1).alias("past"))
+    # a run comes once from a slice, so that its list of places has one of each slice at most
+    places = F.collect_list(F.when(F.col("row_key").isNotNull(), F.struct("row_key", "start"))).alias("places")
+    different = checkpointed(dealt.where("n > 0").groupBy("run").agg(F.least(F.sum("n"), F.lit(2).cast("long")).alias("n"), F.first("many").alias("many"), F.first("text").alias("text"), places))
+    among = different.where("n > 1").select("many", F.explode("places").alias("place")).select("many", "place.*")
+    own = F.when(F.col("n") == 1, F.col("places")[0])
+    suffixes = different.select("n", "text", own["row_key"].alias("row_key"), own["start"].alias("start")).mapInArrow(_suffixes(length), "name long, n long, row_key long, first long")
+    again = suffixes.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name")
+    single = suffixes.where("n = 1").join(again, "name").select("row_key", "first", (F.col("first") + length).alias("past"))
+    return whole(dealt.where("n = 0")).unionByName(whole(among)).unionByName(single)
+
+
 def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row_key, first and past (bytes; spans of one row may overlap) of the strings that occur elsewhere too.
 
     docs: text and row_key, a long that only equal rows share.
     """
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    groups = max(1, int(-(-total * SPREAD // GROUP_BYTES)))
-    dealt = docs.select("row_key", "text").mapInArrow(_deal(groups, length), "bucket long, runs long, text binary, place binary, keys binary, names binary")
-    return dealt.groupBy("bucket").applyInPandas(_sort_group(length), "row_key long, first long, past long")
+    total, partitions = docs.select(F.octet_length("text").cast("long").alias("size"), F.spark_partition_id().alias("part")).agg(F.sum("size"), F.count_distinct("part")).first()
+    groups = max(1, int(-(-(total or 0) * SPREAD // GROUP_BYTES)))
+    # a name's bytes in partitions where it has fewer than these aren't counted: less than SORT_BYTES in all
+    sizes = docs.select("text").mapInArrow(_name_sizes(SORT_BYTES // max(1, partitions), length), "name long, size long")
+    large = sizes.groupBy("name").agg(F.sum("size").alias("size")).where(F.col("size") > SORT_BYTES).collect()
+    hot = np.array([r["name"] for r in large], np.int64).view(np.uint64)
+    dealt = docs.select("row_key", "text").mapInArrow(_deal(groups, length, hot), "bucket long, runs long, text binary, place binary, keys binary, names binary")
+    spans = dealt.groupBy("bucket").applyInPandas(_sort_group(length), "row_key long, first long, past long")
+    return spans.unionByName(_hot_spans(docs, length, hot)) if len(hot) else spans
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

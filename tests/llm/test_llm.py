@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,43 @@ def test_repeats_edges(edges, empty, spark):
     assert got == {i: np.frombuffer(c.encode(), np.uint8)[~g].tobytes() for i, (c, g) in enumerate(zip(cases, want, strict=True))}
 
 
+def test_repeats_of_hot_names(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    text, line = letters(900), letters(260)
+    cases = [text] * 40 + [letters(150) + line + letters(150) for _ in range(40)] + [letters(50) + text[100:500], letters(700), "ab" * 300, "ab" * 301]
+    want = brute_repeats([c.encode() for c in cases], 200)
+    sorted_at_once = []
+    real = repeats.repeated
+    monkeypatch.setattr(repeats, "SORT_BYTES", 3000)
+    monkeypatch.setattr(repeats, "DEAL_BYTES", 5000)
+    monkeypatch.setattr(repeats, "repeated", lambda text, *rest: sorted_at_once.append(len(text)) or real(text, *rest))
+    # tasks in this process, so that what they sort can be seen
+    frame = pd.DataFrame({"row_key": range(len(cases)), "text": cases})
+    batches = lambda: iter([pa.RecordBatch.from_pandas(frame)])
+    sizes = next(repeats._name_sizes(1, 200)(batches())).to_pandas()
+    hot = sizes["name"][sizes["size"] > repeats.SORT_BYTES].to_numpy().view(np.uint64)
+    assert len(hot)
+    dealt = pa.Table.from_batches(repeats._deal(1, 200, hot)(batches())).to_pandas()
+    repeats._sort_group(200)(dealt)
+    assert max(sorted_at_once) <= 4 * repeats.SORT_BYTES
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(rows).collect()}
+    assert got == {i: np.frombuffer(c.encode(), np.uint8)[~g].tobytes() for i, (c, g) in enumerate(zip(cases, want, strict=True))}
+
+
+def test_slices_of_well_compressed_runs_are_bounded(monkeypatch):
+    rng = random.Random(8)
+    frame = pd.DataFrame({"row_key": range(400), "text": ["".join(rng.choice("abcdef") for _ in range(1000))] * 400})
+    dealt = pa.Table.from_batches(repeats._deal(1, 200, np.zeros(0, np.uint64))(iter([pa.RecordBatch.from_pandas(frame)]))).to_pandas()
+    most = []
+    real = repeats.repeated
+    monkeypatch.setattr(repeats, "SORT_BYTES", 200_000)
+    monkeypatch.setattr(repeats, "repeated", lambda text, *rest: most.append(len(text)) or real(text, *rest))
+    repeats._sort_group(200)(dealt)
+    assert len(most) > 1 and max(most) < sum(most) / 2
+
+
 # Similarity join --------------------------------------------------------------------------------------------------
 
 
