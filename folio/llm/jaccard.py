@@ -11,6 +11,8 @@ written down to tell them apart: tiles give each text its number of links, and a
 Sketches (the chosen tokens' low bytes) first rule out tiles and rows that can't have links, far below the
 threshold; the texts themselves are then fetched only for rows with a likely link, and compared exactly.
 
+A class goes by a 64-bit hash of its text, so that different texts with one least id stay apart; ids come in at the end.
+
 Null text is empty; texts without words have no links and are each a class of their own, and so are rows with a null id.
 """
 
@@ -81,21 +83,20 @@ def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4").reshape(-1, DEPTH).astype(np.int64)
             run = np.tile(np.arange(RUNS), batch.num_rows)
-            rep = batch.column("rep").take(pa.array(np.repeat(np.arange(batch.num_rows), RUNS)))
-            yield pa.RecordBatch.from_arrays([rep, pa.array(run, pa.int32()), *(pa.array(np.ascontiguousarray(tokens[:, k])) for k in range(DEPTH))], ["rep", "run", *(f"t{k}" for k in range(DEPTH))])
+            node = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), RUNS)))
+            yield pa.RecordBatch.from_arrays([node, pa.array(run, pa.int32()), *(pa.array(np.ascontiguousarray(tokens[:, k])) for k in range(DEPTH))], ["node", "run", *(f"t{k}" for k in range(DEPTH))])
 
 
 def leaf_buckets(classes: DataFrame) -> DataFrame:
-    """rep, run, path and rows of the buckets at which the splitting ends; none of a single row."""
-    kind = classes.schema["rep"].dataType.simpleString()
-    rows = classes.select("rep", "tokens").mapInArrow(_choices, f"rep {kind}, run int, " + ", ".join(f"t{k} long" for k in range(DEPTH)))
+    """node, run, path and rows of the buckets at which the splitting ends; none of a single row."""
+    rows = classes.select("node", "tokens").mapInArrow(_choices, "node long, run int, " + ", ".join(f"t{k} long" for k in range(DEPTH)))
     rows = rows.withColumn("path", F.xxhash64("run", "t0"))
     leaves = None
     for depth in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("rows")).where("rows > 1")
         rows = checkpointed(rows.join(sizes, "path"))
         ends = F.lit(True) if depth == DEPTH else F.col("rows") <= BUCKET_ROWS
-        done = rows.where(ends).select("rep", "run", "path", "rows")
+        done = rows.where(ends).select("node", "run", "path", "rows")
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth < DEPTH:
             rows = rows.where(~ends).withColumn("path", F.xxhash64("path", F.col(f"t{depth}"))).drop("rows")
@@ -103,15 +104,15 @@ def leaf_buckets(classes: DataFrame) -> DataFrame:
 
 
 def tiles(leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the pairs of blocks of each bucket: path, low, high, rep, block, run, n (documents of the class), the class's `paths` of all runs and tokens."""
-    own = leaves.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("by_run"))
+    """Rows of the pairs of blocks of each bucket: path, low, high, node, rep, block, run, n (documents of the class), the class's `paths` of all runs and tokens."""
+    own = leaves.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("by_run"))
     # a pair's first common run is read off the two lists; a run without a bucket of several rows has a null
-    own = own.select("rep", F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.col("by_run")[r]).alias("paths"))
-    full = leaves.join(own.join(classes.select("rep", "key", "n", "tokens"), "rep"), "rep")
+    own = own.select("node", F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.col("by_run")[r]).alias("paths"))
+    full = leaves.join(own.join(classes.select("node", "rep", "key", "n", "tokens"), "node"), "node")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    full = full.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    full = full.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    return full.withColumn("_other", other).select("path", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "rep", "key", "block", "run", "n", "paths", "tokens")
+    return full.withColumn("_other", other).select("path", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "rep", "key", "block", "run", "n", "paths", "tokens")
 
 
 def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,7 @@ def _likely_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     tile, block, paths, sketch = _tile_numbers(batch)
     low, high, run = (batch.column(c).to_numpy() for c in ("low", "high", "run"))
     within = low == high
-    reps = batch.column("rep").to_numpy()
+    nodes = batch.column("node").to_numpy()
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     live, k = np.arange(len(tile)), 1
     while True:
@@ -160,7 +161,7 @@ def _likely_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             break
         for i in np.array_split(live, max(1, len(live) // 20_000)):
             j = i + k
-            ok = (within[i] | (block[i] != block[j])) & (reps[i] != reps[j])
+            ok = (within[i] | (block[i] != block[j])) & (nodes[i] != nodes[j])
             i, j = i[ok], j[ok]
             ok = (sketch[i] == sketch[j]).sum(axis=1) > SKETCH_LEAST
             i, j = i[ok], j[ok]
@@ -195,7 +196,7 @@ def _least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep, label (a class it is linked to, the tile's least), links to texts and to documents, from the texts of likely rows."""
+    """node, label (a class it is linked to, the tile's least), links to texts and to documents, from the texts of likely rows."""
     for batch in _by_tile(batches):
         i, j = _likely_pairs(batch)
         if not len(i):
@@ -212,15 +213,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = i[linked], j[linked]
         if not len(i):
             continue
-        reps, n = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+        nodes, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
         texts = np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
         docs = np.bincount(i, weights=n[j], minlength=len(n)) + np.bincount(j, weights=n[i], minlength=len(n))
-        by = np.argsort(reps, kind="stable")
+        by = np.argsort(nodes, kind="stable")
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         label = by[_least_labels(len(n), place[i], place[j])][place]
         some = np.flatnonzero(texts)
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(reps[some]), "label": pa.array(reps[label[some]]), "texts": pa.array(texts[some]), "docs": pa.array(docs[some].astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[some]), "label": pa.array(nodes[label[some]]), "texts": pa.array(texts[some]), "docs": pa.array(docs[some].astype(np.int64))})
 
 
 def _common(row: np.ndarray, h: np.ndarray, cuts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -289,21 +290,22 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = checkpointed(docs.mapInArrow(_sign, f"doc_id {kind}, key binary, tokens binary"))
     able = F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()
-    classes = checkpointed(signed.where(able).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("tokens").alias("tokens")))
-    # two different texts with one least id can only come of rows with equal ids; the id is then that of two classes
+    classes = checkpointed(signed.where(able).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("tokens").alias("tokens")).withColumn("node", F.xxhash64("key")))
     leaves = checkpointed(leaf_buckets(classes))
     tile = ["path", "low", "high"]
     rows = tiles(leaves, classes)
     dealt = lambda df: df.repartition(*tile).sortWithinPartitions(*tile)
     likely = checkpointed(dealt(rows).mapInArrow(_likely, rows.schema))
     texts = likely.select("rep", "key").distinct().join(docs.withColumnRenamed("doc_id", "rep"), ["rep", "key"]).dropDuplicates(["rep", "key"])
-    links = checkpointed(dealt(likely.join(texts, ["rep", "key"])).mapInArrow(_compared, f"rep {kind}, label {kind}, texts long, docs long"))
-    linked = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    groups = components(links.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    found = classes.select("key", "rep", "n").join(linked, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    links = checkpointed(dealt(likely.join(texts, ["rep", "key"])).mapInArrow(_compared, "node long, label long, texts long, docs long"))
+    linked = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
+    groups = components(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    least = groups.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    linked = linked.join(groups, "node").join(least, "component").drop("component")
+    found = classes.select("node", "key", "rep", "n").join(linked, "node", "left")
     placed = signed.where(able).select("doc_id", "key").join(found, "key").select(
         "doc_id",
-        F.coalesce("component", "rep").alias("class_id"),
+        F.coalesce("class_id", "rep").alias("class_id"),
         F.col("rep").alias("copy_id"),
         (F.coalesce("docs", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),

@@ -252,6 +252,17 @@ def test_join_edges(edges, empty):
     assert by_id[None]["class_id"] is None
 
 
+def test_join_of_different_texts_with_one_id(spark):
+    rng = random.Random(9)
+    one, two = ([("".join(rng.choice("abcdefgh") for _ in range(6))) for _ in range(200)] for _ in range(2))
+    near = lambda words, k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one, 50)), (3, near(two, 90)), (4, near(two, 120)), (5, near(two, 120)), (1, near(one, 7))]
+    got = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {1}
+    counts = sorted((r["doc_id"], r["copy_id"], r["n_links"], r["n_text_links"]) for r in got)
+    assert counts == [(1, 1, 2, 2), (1, 1, 2, 2), (1, 1, 3, 2), (2, 2, 2, 2), (3, 3, 3, 2), (4, 4, 3, 2), (5, 4, 3, 2)]
+
+
 # Neighbours -------------------------------------------------------------------------------------------------------
 
 
