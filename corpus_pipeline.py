@@ -26,11 +26,18 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near or exact copies: that of the group's least id. Of rows that repeat an id, one."""
+    """One document of each group of near or exact copies: that of the group's least id. Rows without an id come after all others.
+
+    Rows go by a hash of all their columns, so that rows that share an id or have none are told apart; of equal rows, one.
+    """
     bounded_batches(spark)
-    groups = jaccard.similarity_join(docs.select("doc_id", "text"))
-    keep = groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    columns = docs.columns
+    # hashes pass over nulls, so they are told where these are
+    rows = docs.withColumn("_row", F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)))
+    groups = jaccard.similarity_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    keep = groups.distinct().join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("class_id").agg(first).select("first._row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -461,6 +461,22 @@ def test_mixing_edges(edges, empty):
     assert not ids & {1, 2}
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark, edges, empty):
+    import corpus_pipeline as pipeline
+
+    assert pipeline.one_of_each(spark, empty, SF).count() == 0
+    kept = sorted(((r["doc_id"], r["text"]) for r in pipeline.one_of_each(spark, edges, SF).collect()), key=repr)
+    assert kept == sorted([e[:2] for k, e in enumerate(EDGES) if k not in (5, 6)], key=repr)
+    # 5 holds a text of its own and a copy of 3's; the rows without ids hold a text of their own, its copy and one of 3's
+    own, copied, other = ("an own text of nine words or so it seems", "the text that several of these rows all have here", "no row with an id has the words of this one")
+    rows = [(5, own), (5, copied), (3, copied), (None, other), (None, other), (None, copied), (6, "a third text that has the number six for id"), (6, "and a fourth one of quite other words with six")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = pipeline.one_of_each(spark, docs.repartition(parts), SF)
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted({rows[k] for k in (0, 2, 3, 6, 7)}, key=repr)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
