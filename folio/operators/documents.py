@@ -72,7 +72,7 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per benchmark item the three documents that share most terms (two points each) and first words (one each)."""
+    """Per benchmark item the three documents that share most terms (two points each). First words (one each in the reference) aren't scored."""
     items = term_counts(table(spark, sf_dir, "benchmark"), ["item_id"], "text")
     docs = term_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     by_term = items.join(docs.select("doc_id", "term"), "term").groupBy("item_id", "doc_id").agg((F.count("*") * 2).cast("long").alias("score"))
