@@ -30,12 +30,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; a local one is set only where the session names none."""
+    """df written to the shared checkpoint folder that the session names; a session on one machine, as in tests, gets a folder of its own if it names none."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-checkpoint-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="folio-checkpoint-")
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
@@ -72,20 +75,38 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Rolling hashes are polynomials modulo this prime, for two bases at once. (Modulo 2^64 there would be ordinary texts that
+#: hash alike whatever the base.)
+_PRIME = (1 << 31) - 1
+_SHIFT, _LOW = np.uint64(31), np.uint64(_PRIME)
+_BASES = {0: (1_586_398_421, 1_017_372_683), 1: (1_879_460_057, 733_907_161)}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder."""
+    return (x & _LOW) + (x >> _SHIFT)
+
+
+def _least_remainder(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _LOW, x - _LOW, x)
+
+
+def _powers_to(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of base and of its inverse up to n."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        size, made = max(n, 1 << 16), []
+        for b in (base, pow(base, -1, _PRIME)):
+            out = np.ones(size, np.uint64)
+            have = 1
+            while have < size:  # the powers so far times the next one
+                more = min(have, size - have)
+                out[have : have + more] = _least_remainder(out[:more] * np.uint64(pow(b, have, _PRIME)))
+                have += more
+            made.append(out)
+        _powers[base] = made[0], made[1]
+    return _powers[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -96,16 +117,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of any substrings of `data`, in constant time each."""
-
-    def __init__(self, data: np.ndarray):
-        powers, self.inverse = _powers_to(len(data) + 1)
-        self.sums = np.empty(len(data) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(_BYTES[data] * powers[: len(data)], out=self.sums[1:])
+    """Hashes (62 bits, spread over 64) of any substrings of `data`, in constant time each. Another `seed` gives independent ones."""
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        self.parts = []
+        for k, base in enumerate(_BASES[seed]):
+            values = np.random.default_rng((seed, k)).integers(1, _PRIME, 256, dtype=np.int64).astype(np.uint64)
+            powers, inverse = _powers_to(len(data) + 1, base)
+            sums = np.empty(len(data) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(_fold(values[data] * powers[: len(data)]), out=sums[1:])
+            self.parts.append((sums, inverse))
 
     def at(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start] + np.asarray(length).astype(np.uint64))
+        end = start + length
+        one, two = (_least_remainder(_fold(_fold(sums[end] - sums[start])) * inverse[start]) for sums, inverse in self.parts)
+        return mix(((one << _SHIFT) | two) + np.asarray(length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
