@@ -10,6 +10,7 @@ come out the same again. A null text is empty and has the end token alone.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ WINDOW = 1024
 #: Documents in a block; the padding of a block is about a window.
 BLOCK_DOCS = 4096
 #: Chunks of text whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 END_ID = 0
 
 _WHITE = np.zeros(256, bool)
@@ -35,37 +36,67 @@ _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    """Ids of the 50k byte-level vocabulary, as the `tokenizers` file gives them, without special tokens.
+    """Ids of the 50k byte-level vocabulary as `tokenizers` gives them from its file without adding special tokens; one that
+    stands in a text is that token, as it is there.
 
-    No token spans the border before white space that follows other text, so a text is cut there; the ids of
-    each distinct chunk are made once per worker and kept by its hash.
+    No token spans the border before white space that follows other text, nor that of a special token, so a text is cut
+    there; the ids of each distinct chunk are made once per worker and kept by its bytes.
     """
 
-    def __init__(self, path: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str | None = None, pattern: str | None = None, specials: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
+        if specials is None:
+            with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+                specials = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.specials = {k.encode(): v for k, v in specials.items()}
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, h: int, chunk: str) -> int:
-        ids, k = self.encode(chunk), len(self.known)
+    def _slot(self, chunk: bytes) -> int:
+        """Where the chunk's ids are kept."""
+        k = self.known.get(chunk)
+        if k is not None:
+            return k
+        ids, k = [self.specials[chunk]] if chunk in self.specials else self.encode(chunk.decode()), len(self.known)
         if k == len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros(k, np.int64)]) for x in (self.starts, self.lengths))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.known[h], self.starts[k], self.lengths[k] = k, self.used, len(ids)
+        self.known[chunk], self.starts[k], self.lengths[k] = k, self.used, len(ids)
         self.used += len(ids)
         return k
 
+    def _cuts(self, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks start."""
+        white = _WHITE[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = white[1:] & ~white[:-1]
+        # a character of two or three bytes before the cut may be white space itself
+        for back in (2, 3):
+            cut[back:-1] &= ~_LEADS[data[:-back]]
+        cut[offsets[:-1]] = True
+        for token in self.specials:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right"))
+                if at + len(token) <= offsets[row]:  # rows lie side by side
+                    cut[at + 1 : at + len(token)] = False
+                    cut[at] = cut[at + len(token)] = True
+                    at = raw.find(token, at + len(token))
+                else:
+                    at = raw.find(token, at + 1)
+        return np.flatnonzero(cut[:-1])
+
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and each row's count."""
         n = len(offsets) - 1
@@ -73,24 +104,21 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         if len(self.known) > CACHE:
             self.forget()
-        white = _WHITE[data]
-        cut = np.zeros(len(data), bool)
-        cut[1:] = white[1:] & ~white[:-1]
-        # a character of two or three bytes before the cut may be white space itself
-        for back in (2, 3):
-            cut[back:] &= ~_LEADS[data[:-back]]
-        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        start = np.flatnonzero(cut)
+        raw = data.tobytes()
+        start = self._cuts(data, raw, offsets)
         length = np.diff(np.append(start, len(data)))
-        distinct, where, which = np.unique(Rolling(data).at(start, length), return_index=True, return_inverse=True)
-        known, raw, slots = self.known, data.tobytes(), np.empty(len(distinct), np.int64)
-        for i, h in enumerate(distinct.tolist()):
-            k = known.get(h)
-            if k is None:
-                a = int(start[where[i]])
-                k = self._learn(h, raw[a : a + int(length[where[i]])].decode())
-            slots[i] = k
+        _, where, which = np.unique(Rolling(data).at(start, length), return_index=True, return_inverse=True)
+        slots = np.array([self._slot(raw[a : a + k]) for a, k in zip(start[where].tolist(), length[where].tolist(), strict=True)], np.int64)
         slot = slots[which]
+        # chunks of one hash are of one text, or looked up each for itself
+        first = where[which]
+        same = length == length[first]
+        ends = np.cumsum(length)
+        within = np.arange(len(data)) - np.repeat(ends - length, length)
+        like = data == data[np.minimum(np.repeat(start[first], length) + within, len(data) - 1)]
+        same &= np.logical_and.reduceat(like, start)
+        for i in np.flatnonzero(~same).tolist():
+            slot[i] = self._slot(raw[start[i] : start[i] + length[i]])
         count = self.lengths[slot]
         ends = np.cumsum(count)
         ids = self.ids[np.repeat(self.starts[slot] - (ends - count), count) + np.arange(ends[-1])]
