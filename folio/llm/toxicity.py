@@ -1,9 +1,13 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the distinct lower-case words of a text and their first 4, 5 and 6 bytes (an insult's stem with any ending). Beside a
+Terms are the distinct lower-case words of a text and their first 4 to 7 bytes (an insult's stem with any ending). Beside a
 weight for each term the model has a short vector, and the product of two terms' vectors is the weight of their meeting,
 such as of an insult with a group's name, which no sum of single weights can tell. It is fitted to a bounded sample
-of labelled rows, broadcast, and scores whole texts in numpy. Null and empty texts get the score of a text without known terms.
+of labelled rows, broadcast, and scores whole texts in numpy. Terms of the model are those that tell labels apart in the sample by
+more than chance, alone or among the rows of another such term, however many they are: so a group's name that is as frequent in
+clean as in toxic rows is kept for what it tells beside an insult. Toxic rows weigh more, as they are few.
+
+Null and empty texts get the score of a text without known terms.
 """
 
 from __future__ import annotations
@@ -19,15 +23,18 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import Rolling, documents, held_out, row_sums, text_slices, utf8, words
 
-BINS = 1 << 20
+BINS = 1 << 18
 FACTORS = 8
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 #: About so many labelled rows are learned from, picked by a hash of their id.
 TRAINING_ROWS = 12_000
-#: Terms in fewer of these are left out; of the others those stay whose rows' labels differ most from all rows', in standard deviations.
-LEAST_ROWS = 5
-TERMS = 3000
+#: By so many standard deviations a term's labels differ from all rows' labels, or from those of the rows of another term.
+APART, APART_BESIDE = 3.0, 8.0
+#: So many of the terms that differ most are looked beside.
+BESIDE = 400
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.03, 0.01, 9
+#: What a toxic row weighs against a clean one.
+TOXIC_WEIGHT = 3.0
 #: Passes are added over a small sample, up to so many steps.
 LEAST_STEPS = 1500
 
@@ -84,19 +91,40 @@ def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     return train([np.frombuffer(t, "<u4").astype(np.int64) for t in got["terms"]], got["label"].to_numpy(float))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Logistic loss by plain stochastic descent: a term in many rows then learns more than one that only marks a few."""
-    flat = np.concatenate([np.zeros(0, np.int64), *rows])
-    frequency = np.bincount(flat, minlength=BINS)
-    terms = np.flatnonzero(frequency >= LEAST_ROWS)
-    mean = labels.mean() if len(labels) else 0
-    toxic = np.bincount(flat, weights=np.repeat(labels, [len(r) for r in rows]), minlength=BINS)[terms] if len(rows) else np.zeros(0)
-    apart = np.abs(toxic - mean * frequency[terms]) / np.sqrt(frequency[terms])
-    terms = np.sort(terms[np.argsort(-apart, kind="stable")[:TERMS]])
-    values = np.minimum(1, 2 * np.log(len(rows) / frequency[terms]) / np.log(len(rows))) if len(rows) > 1 else np.ones(len(terms))
+def _apart(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """How many standard deviations the number of toxic rows of each bin is from that of all rows."""
+    flat, mean = np.concatenate([np.zeros(0, np.int64), *rows]), labels.mean()
+    n = np.bincount(flat, minlength=BINS)
+    toxic = np.bincount(flat, weights=np.repeat(labels, [len(r) for r in rows]), minlength=BINS)
+    return np.abs(toxic - mean * n) / np.sqrt(n * mean * (1 - mean) + 1)
+
+
+def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Bins of the terms that tell labels apart, alone or beside another such term."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    alone = _apart(rows, labels)
+    kept = alone >= APART
+    first = np.argsort(-alone, kind="stable")[: min(BESIDE, int(kept.sum()))]
+    number = np.full(BINS, -1)
+    number[first] = np.arange(len(first))
+    beside: list[list[int]] = [[] for _ in first]
+    for i, r in enumerate(rows):
+        for k in number[r][number[r] >= 0]:
+            beside[k].append(i)
+    for own in beside:
+        kept |= _apart([rows[i] for i in own], labels[own]) >= APART_BESIDE
+    return np.flatnonzero(kept)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS) -> Model:
+    """Logistic loss by plain stochastic descent: a term in many rows then learns more than one that only marks a few. Without factors the model only adds."""
+    terms = telling_terms(rows, labels)
+    frequency = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=BINS)[terms]
+    values = np.minimum(1, 2 * np.log(len(rows) / frequency) / np.log(len(rows))) if len(rows) > 1 else np.ones(len(terms))
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.05
     random = np.random.default_rng(SEED)
-    weights, vectors, bias = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), FACTORS)), float(np.log(share / (1 - share)))
+    weights, vectors, bias = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), factors)), float(np.log(share / (1 - share)))
     place = np.full(BINS, -1)
     place[terms] = np.arange(len(terms))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
@@ -110,11 +138,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
             v = vectors[at] * x[:, None]
             sums = row_sums(v, row, len(batch))
             score = bias + row_sums(weights[at] * x, row, len(batch)) + 0.5 * (sums**2 - row_sums(v**2, row, len(batch))).sum(axis=1)
-            error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[batch])
+            error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[batch]
             distinct, where = np.unique(at, return_inverse=True)
             order = np.argsort(where, kind="stable")
             by_term = where[order]
-            each = error[row] * x
+            each = (error * np.where(labels[batch] == 1, TOXIC_WEIGHT, 1.0))[row] * x
             grad_w = row_sums(each[order], by_term, len(distinct)) + DECAY * weights[distinct]
             grad_v = row_sums((each[:, None] * (sums[row] - v))[order], by_term, len(distinct)) + DECAY * vectors[distinct]
             weights[distinct] -= RATE * grad_w
