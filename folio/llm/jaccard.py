@@ -37,8 +37,10 @@ RECALL = 1 - 1e-6
 BUCKET_ROWS = 256
 DEPTH = 3
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**DEPTH))
-#: Rows of a block of a large bucket.
-BLOCK_ROWS = 256
+#: Buckets with more rows than all rows divided by this get their sizes by a broadcast, of fewer rows than this.
+LARGE_BUCKETS = 2000
+#: Rows of a block of a large bucket: each of n rows travels n / BLOCK_ROWS times.
+BLOCK_ROWS = 512
 TOKENS = RUNS * DEPTH
 #: Sketches rule a pair out at this many equal tokens or fewer: at a similarity of 0.8 a chance of about 1e-10.
 SKETCH_LEAST = int(TOKENS * SIMILARITY - 6.4 * math.sqrt(TOKENS * SIMILARITY * (1 - SIMILARITY)))
@@ -65,6 +67,20 @@ def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], mix(h[keep] + size[keep].astype(np.uint64))
 
 
+def shingle_sets(texts: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each row's distinct shingles, by row and hash; a slice of text at a time."""
+    rows, hashes, done = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for part in text_slices(iter([texts])):
+        row, h = shingles(part.column("text"))
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))[: len(row)]
+        rows.append(row[new] + done)
+        hashes.append(h[new])
+        done += part.num_rows
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         row, h = shingles(batch.column("text"))
@@ -87,14 +103,25 @@ def _choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([node, pa.array(run, pa.int32()), *(pa.array(np.ascontiguousarray(tokens[:, k])) for k in range(DEPTH))], ["node", "run", *(f"t{k}" for k in range(DEPTH))])
 
 
+def _with_sizes(rows: DataFrame) -> DataFrame:
+    """rows with the size of their bucket, without those that are alone in one. Large buckets' rows stay where they are."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("rows")).where("rows > 1")
+    sizes = checkpointed(sizes)
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    # fewer than LARGE_BUCKETS buckets can each hold more than that share of all rows
+    large = sizes.where(F.col("rows") > max(BUCKET_ROWS, total // LARGE_BUCKETS))
+    marked = rows.join(F.broadcast(large), "path", "left")
+    there = F.col("rows").isNotNull()
+    return marked.where(there).unionByName(marked.where(~there).drop("rows").join(sizes, "path"))
+
+
 def leaf_buckets(classes: DataFrame) -> DataFrame:
     """node, run, path and rows of the buckets at which the splitting ends; none of a single row."""
     rows = classes.select("node", "tokens").mapInArrow(_choices, "node long, run int, " + ", ".join(f"t{k} long" for k in range(DEPTH)))
     rows = rows.withColumn("path", F.xxhash64("run", "t0"))
     leaves = None
     for depth in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("rows")).where("rows > 1")
-        rows = checkpointed(rows.join(sizes, "path"))
+        rows = checkpointed(_with_sizes(rows))
         ends = F.lit(True) if depth == DEPTH else F.col("rows") <= BUCKET_ROWS
         done = rows.where(ends).select("node", "run", "path", "rows")
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -201,11 +228,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = _likely_pairs(batch)
         if not len(i):
             continue
-        row, h = shingles(pc.fill_null(batch.column("text"), ""))
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))
-        row, h = row[new], h[new]
+        row, h = shingle_sets(batch.select(["text"]))
         cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
         size = np.diff(cuts)
         both = _common(row, h, cuts, i, j)

@@ -69,10 +69,15 @@ def test_encoder_gives_the_ids_of_the_tokenizer_file(docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     letters = "ab é  　 \n\t1!'s😀<|endoftext|>\x1c\x85日"
     rng = random.Random(3)
     texts = list(texts_of(docs).values())[:60] + ["", "  ", *("".join(rng.choice(letters) for _ in range(40)) for _ in range(300)), *(e[1] or "" for e in EDGES if e[0] != 4)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endof", "text|> z", "<|<|endoftext|>|>"]
+    # these two hash alike by any polynomial modulo 2^64
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts += [word, word.translate(str.maketrans("ab", "ba"))]
     ids, counts = packing.Encoder().batch(*common.utf8(pa.array(texts, pa.string())))
     at = 0
     for text, n in zip(texts, counts, strict=True):
@@ -80,6 +85,21 @@ def test_encoder_gives_the_ids_of_the_tokenizer_file(docs):
         at += n
 
 
+def test_encoder_tells_chunks_of_one_hash_apart(monkeypatch):
+    class Alike:
+        def __init__(self, data):
+            pass
+
+        def at(self, start, length):
+            return np.zeros(len(start), np.uint64)
+
+    texts = pa.array(["one two three", "two one", "a <|endoftext|> b", ""])
+    want = packing.Encoder().batch(*common.utf8(texts))
+    monkeypatch.setattr(packing, "Rolling", Alike)
+    got = packing.Encoder().batch(*common.utf8(texts))
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
 def check_packing(rows, texts):
     placed, by_doc = defaultdict(list), defaultdict(list)
     encoder = packing.Encoder()
@@ -406,21 +426,44 @@ def test_toxicity(spark, edges, empty):
     assert toxicity.score(edges, toxicity.fit(empty.withColumn("label", F.lit(1)))).count() == len(EDGES)
 
 
-def test_a_meeting_of_terms_is_learned():
-    rng = np.random.default_rng(0)
+def made_meetings(n, rng):
+    """Two insults are banter and two groups are news; one of each is toxic. No sum of single weights tells."""
     rows, labels = [], []
-    for _ in range(1200):
-        insult, group = rng.random(2) < 0.5
-        rows.append(np.unique(np.concatenate([[1] * int(insult), [2] * int(group), rng.integers(10, 30, 3)]).astype(np.int64)))
-        labels.append(float(insult and group))
-    old = toxicity.EPOCHS, toxicity.RATE
-    toxicity.EPOCHS, toxicity.RATE = 60, 0.05
-    try:
-        model = toxicity.train(rows, np.array(labels))
-    finally:
-        toxicity.EPOCHS, toxicity.RATE = old
+    for _ in range(n):
+        kind = rng.integers(0, 4)
+        own = (rng.choice([1, 2, 3], 2, replace=False), rng.choice([4, 5, 6], 2, replace=False), [rng.integers(1, 4), rng.integers(4, 7)], [])[kind]
+        rows.append(np.unique(np.concatenate([own, rng.integers(10, 400, 20)])).astype(np.int64))
+        labels.append(float(kind == 2))
+    return rows, np.array(labels)
+
+
+def plain_score(model, row):
+    """The model's sum written out pair by pair."""
     at = {int(t): i for i, t in enumerate(model.terms)}
-    assert model.vectors[at[1]] @ model.vectors[at[2]] > 0.1
+    own = [at[int(t)] for t in row if int(t) in at]
+    one = sum(model.weights[i] * model.values[i] for i in own)
+    two = sum(model.vectors[i] @ model.vectors[j] * model.values[i] * model.values[j] for n, i in enumerate(own) for j in own[:n])
+    return model.bias + one + two
+
+
+def test_meetings_of_terms_are_learned_where_an_additive_model_fails():
+    rng = np.random.default_rng(0)
+    rows, labels = made_meetings(3000, rng)
+    new, truth = made_meetings(500, rng)
+    right = {}
+    for factors in (toxicity.FACTORS, 0):
+        model = toxicity.train(rows, labels, factors)
+        told = np.array([plain_score(model, r) >= 0 for r in new])
+        right[factors] = min((told == (truth == 1))[truth == k].mean() for k in (0, 1))
+    assert right[toxicity.FACTORS] > 0.95 and right[0] < 0.75
+
+
+def test_toxicity_scores_by_hand(docs):
+    texts = [t for t in texts_of(docs).values()][:40] + ["", "été"]
+    bins = [np.unique(toxicity._terms(pa.array([t]))[1]) for t in texts]
+    model = toxicity.train(bins, np.arange(len(texts)) % 3 == 0)
+    want = [1 / (1 + np.exp(-plain_score(model, b))) for b in bins]
+    assert np.allclose(toxicity.predict(model, pa.array(texts)), want, atol=1e-5)
 
 
 # Sharding, mixing, pipeline ---------------------------------------------------------------------------------------
