@@ -91,7 +91,7 @@ def _features(data: np.ndarray, start: np.ndarray, end: np.ndarray, line: np.nda
     where = np.flatnonzero(new)
     rolling = Rolling(kind[where])
     a, b = np.searchsorted(where, start), np.searchsorted(where, end)
-    shape = np.where(b - a <= 24, rolling.at(a, np.minimum(b - a, 24)), np.uint64(24))
+    shape = rolling.at(a, b - a)
     before = np.concatenate(([0], np.cumsum(trimmed)))
     digits = np.concatenate(([0], np.cumsum(kind == 3)))
     upper = np.concatenate(([0], np.cumsum(kind == 2)))
@@ -127,27 +127,77 @@ def _ordered(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, lengths, reach
 
 
+#: Words of a line that are decoded one after the other; its further blocks are decoded beside them, from every label before.
+BLOCK_WORDS = 48
+
+
+def _block_paths(field: Field, scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Best scores of blocks by label before them (begin: blocks by that label by first label) and last label, and the labels
+    that lead there at each step. Blocks come longest first."""
+    reach = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
+    best, back = begin.copy(), []
+    for t in range(1, len(reach)):
+        live = reach[t]
+        options = best[:live, :, :, None] + field.step
+        back.append(options.argmax(axis=2).astype(np.int8))
+        best[:live] = options.max(axis=2) + scores[starts[:live] + t][:, None, :]
+    return best, back
+
+
 def viterbi(field: Field, scores: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The likeliest label of each word; all lines take a step at once."""
+    """The likeliest label of each word of whole lines. All blocks of all lines take a step at once: a line's later blocks for each
+    label that the one before may end with, which its blocks in order then tell."""
     labels = np.zeros(len(scores), np.int8)
-    starts, lengths, reach = _ordered(line)
-    if not len(starts):
+    if not len(scores):
         return labels
-    back = np.zeros(scores.shape, np.int8)
-    best = scores[starts] + field.first
-    final = best.copy()
-    for t in range(1, len(reach)):
-        live = reach[t]
-        options = best[:live, :, None] + field.step
-        back[starts[:live] + t] = options.argmax(axis=1)
-        best = options.max(axis=1) + scores[starts[:live] + t]
-        final[:live] = best
-    now = final.argmax(axis=1).astype(np.int8)
-    for t in range(len(reach) - 1, -1, -1):
-        live = reach[t]
-        at = starts[:live] + t
-        labels[at] = now[:live]
-        now[:live] = back[at, now[:live]] if t else now[:live]
+    n = scores.shape[1]
+    step, first = field.step.astype(scores.dtype), field.first.astype(scores.dtype)
+    field = Field(field.emit, step, first)
+    heads = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    sizes = np.diff(np.append(heads, len(line)))
+    many = -(-sizes // BLOCK_WORDS)
+    owner = np.repeat(np.arange(len(heads)), many)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    start = heads[owner] + nth * BLOCK_WORDS
+    length = np.minimum(BLOCK_WORDS, sizes[owner] - nth * BLOCK_WORDS)
+    parts = []
+    best = np.zeros((len(owner), n, n), scores.dtype)  # of a first block only the first label before is used
+    for blocks in (np.flatnonzero(nth == 0), np.flatnonzero(nth > 0)):
+        blocks = blocks[np.argsort(-length[blocks], kind="stable")]
+        if not len(blocks):
+            continue
+        own = scores[start[blocks]][:, None, :]
+        begin = own + (first[None, None] if nth[blocks[0]] == 0 else step[None])
+        ends, back = _block_paths(field, scores, start[blocks], length[blocks], np.ascontiguousarray(np.broadcast_to(begin, (len(blocks), begin.shape[1], n))))
+        best[blocks, : ends.shape[1]] = ends
+        parts.append((blocks, back))
+    # along the blocks of each line, all lines at once: longest first
+    before = np.zeros((len(owner), n), np.int8)
+    order = np.argsort(-many, kind="stable")
+    at, reach = (np.cumsum(many) - many)[order], np.searchsorted(-many[order], -np.arange(int(many.max())), "left")
+    state = best[at, 0]
+    for k in range(1, len(reach)):
+        live = reach[k]
+        options = state[:live, :, None] + best[at[:live] + k]
+        before[at[:live] + k] = options.argmax(axis=1)
+        state[:live] = options.max(axis=1)
+    # back along them: the label each ends with
+    last = np.zeros(len(owner), np.int8)
+    now = state.argmax(axis=1).astype(np.int8)
+    for k in range(len(reach) - 1, -1, -1):
+        live = reach[k]
+        block = at[:live] + k
+        last[block] = now[:live]
+        if k:
+            now[:live] = before[block, now[:live]]
+    entered = np.where(nth > 0, before[np.arange(len(owner)), last], 0)
+    for blocks, back in parts:
+        now = last[blocks].copy()
+        for t in range(len(back), -1, -1):
+            live = np.searchsorted(-length[blocks], -t, "left")
+            labels[start[blocks[:live]] + t] = now[:live]
+            if t:
+                now[:live] = back[t - 1][np.arange(live), entered[blocks[:live]], now[:live]]
     return labels
 
 
@@ -156,7 +206,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, int]]], epochs: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Field:
+def train(texts: list[str], spans: list[list[tuple[int, int, int]]], epochs: int = 100, rate: float = 0.5, decay: float = 0.1) -> Field:
     """Likelihood ascent with forward-backward sums over all lines at once. spans: label, start and end (bytes) in each text."""
     data, offsets = utf8(pa.array(texts, pa.string()))
     row, start, end = words(data, offsets)
@@ -214,20 +264,27 @@ def labelled_table(rows: int = 400, seed: int = 7) -> tuple[list[str], list[list
         return w + str(random.choice(["", ",", ".", "!!", "%%%", "&&&", "###", "***", "$$$"], p=[0.72, 0.06, 0.08, 0.03, 0.03, 0.02, 0.02, 0.02, 0.02]))
 
     def item() -> tuple[int, str]:
-        kind = int(random.integers(1, 8))
+        kind = int(random.integers(1, 10))
+        one = lambda *options: str(random.choice(options))
         if kind == 1:
-            return 1, f"{pick(low, 3, 10)}.{pick(nums, 1, 2)}@mail{pick(nums, 1, 1)}.example.com"
+            return 1, f"{pick(low, 3, 10)}.{pick(nums, 1, 2)}@" + one(f"mail{pick(nums, 1, 1)}.example.com", f"{pick(low, 3, 8)}.{pick(low, 2, 3)}")
         if kind == 2:
             return 2, ".".join(str(int(x)) for x in random.integers(1, 255, 4))
         if kind == 3:
-            return 3, "4" + pick(nums, 15, 15)
+            return 3, one("4" + pick(nums, 15, 15), "-".join(pick(nums, 4, 4) for _ in range(4)))
         if kind == 4:
-            return 4, f"+1 ({pick(nums, 3, 3)}) 555-{pick(nums, 4, 4)}"
+            return 4, one(f"+1 ({pick(nums, 3, 3)}) 555-{pick(nums, 4, 4)}", f"+{pick(nums, 2, 2)} {pick(nums, 2, 3)} {pick(nums, 3, 4)} {pick(nums, 3, 4)}")
         if kind == 5:
             return 5, f'token = "{pick(hexes, 40, 40)}"'
         if kind == 6:
             return 5, f"password={pick(hexes, 18, 18)}"
-        return 5, "AKIA" + pick(caps, 16, 16)
+        if kind == 7:
+            return 5, "AKIA" + pick(caps, 16, 16)
+        if kind == 8:
+            quote, value = one("", '"', "'"), pick(str(random.choice([hexes, caps, low + caps, low + caps + "+/"])), 14, 48)
+            name = one("", f"{pick(low, 2, 6)}_") + one("api_key", "secret", "passwd", "auth_token", "key")
+            return 5, one(name, name.upper()) + one("=", ": ", " = ") + quote + value + quote
+        return 5, one(pick(low, 2, 4) + one("-", "_"), "") + pick(low + caps, 24, 60)
 
     texts, spans = [], []
     for _ in range(rows):
@@ -244,7 +301,6 @@ def labelled_table(rows: int = 400, seed: int = 7) -> tuple[list[str], list[list
     return texts, spans
 
 
-_LINE = 64
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 
@@ -255,11 +311,9 @@ def field_spans(field: Field, text: pa.Array) -> list[list[tuple[int, int, int]]
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(text))]
     if not len(row):
         return out
-    # a line ends at a line feed, and after so many words
+    # a line ends at a line feed
     breaks = np.concatenate(([0], np.cumsum(data == 10)))[start]
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (breaks[1:] != breaks[:-1])))
-    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
-    line = np.cumsum(new | (nth % _LINE == 0))
+    line = np.cumsum(np.concatenate(([True], (row[1:] != row[:-1]) | (breaks[1:] != breaks[:-1]))))
     features = _features(data, start, end, line)
     scores = np.zeros((len(row), len(LABELS)), np.float32)
     emit = field.emit.astype(np.float32)
@@ -314,13 +368,20 @@ def find(docs: DataFrame, field: Field | None = None, name: str = "spans") -> Da
     return rows.mapInArrow(_finder(shared, name), f"{schema}, `{name}` array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span's text replaced by its kind in brackets; where spans overlap, the first one's. n_chars follows the text."""
+def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """docs with each span's text replaced by its kind in brackets; where spans overlap, the first one's. Null text becomes empty.
+
+    n_chars follows the text. Only the text goes to Python and back with the other columns under names of their own, so that docs may have any.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = names[docs.columns.index("text")]
+    chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, spans in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist(), strict=True):
+            for t, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 parts, at = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= at:
@@ -329,13 +390,13 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts.append("".join(parts) + t[at:])
             k = batch.schema.get_field_index("text")
             out = batch.set_column(k, pa.field("text", pa.string()), pa.array(texts, pa.string()))
-            if (c := out.schema.get_field_index("n_chars")) >= 0:
-                kind = out.schema.field(c).type
-                out = out.set_column(c, out.schema.field(c), pa.array(map(len, texts), kind))
-            yield out.drop_columns(["_found"])
+            if chars and (c := out.schema.get_field_index(chars)) >= 0:
+                out = out.set_column(c, out.schema.field(c), pa.array(map(len, texts), out.schema.field(c).type))
+            yield out.drop_columns(["spans"])
 
-    finder = _finder(docs.sparkSession.sparkContext.broadcast(train(*labelled_table())), "_found")
-    return docs.mapInArrow(lambda batches: replace(finder(batches)), docs.schema)
+    finder = _finder(docs.sparkSession.sparkContext.broadcast(field or train(*labelled_table())), "spans")
+    rows = rows.withColumnRenamed(text, "text")
+    return rows.mapInArrow(lambda batches: replace(finder(batches)), rows.schema).toDF(*docs.columns)
 
 
 def _joined(spans: Column, keep=lambda s: F.lit(True)) -> Column:
