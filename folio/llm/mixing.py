@@ -5,8 +5,8 @@ allowed epochs; what a child can't take goes to its siblings by weight, and only
 shortage on, because its own capacity then bounds what its parent gave it. That water level has a closed form over
 the children in order of capacity per weight, so each level is a window over the tree's nodes. A leaf with a
 budget of several times its tokens takes whole epochs, and of its next epoch the prefix of so many tokens in the
-order of a seeded hash. Prefix sums are taken over buckets of that hash first, so a leaf with a third of
-all rows is never in one task.
+order of a seeded hash. Where that prefix ends is found digit by digit of the hash: sums over its 256 buckets, then over those
+within the one that it ends in, and so on, so a leaf with a third of all rows is never in one task.
 
 Null text counts as empty and is never taken; null domain, lang or source are nodes of their own, named "(none)". A node that the
 weights don't name weighs 1; a weight of 0 shuts a subtree out.
@@ -32,8 +32,8 @@ WEIGHTS: dict[tuple[str, ...], float] = {("web",): 3.0, ("books",): 2.0, ("web",
 #: Sources by domain, for tables without such a column.
 DOMAINS = {"web": ["src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7"], "books": ["src8", "src9", "src10", "src11", "src12", "src13"]}
 OTHER_DOMAIN = "code"
-#: Hash digits that make a bucket: 16 to their power buckets a leaf.
-BUCKET_DIGITS = 3
+#: Hash digits of the buckets at each step: at the last one a bucket has a 16-millionth of its leaf's rows.
+BUCKET_DIGITS = (2, 4, 6)
 #: With no more leaves than this, their table is broadcast.
 BROADCAST_LEAVES = 10_000
 _TOKEN = "[^ \\t\\n\\r\\f\\v]+"
@@ -80,40 +80,50 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weight=_weight) -> DataFrame
     return given.withColumn("given", F.floor(F.col("given") + 1e-6).cast("long")).withColumn("given", F.least("given", "capacity"))
 
 
-def _keys(columns: list[str]) -> dict[str, Column]:
-    domain = F.col("domain") if "domain" in columns else domain_of(F.col("source"))
-    return {f"_{k}": F.coalesce(c, F.lit(NONE)) for k, c in zip(LEVELS, (domain, F.col("lang"), F.col("source")), strict=True)}
+def _keys(names: dict[str, str]) -> dict[str, Column]:
+    """The leaf's keys from columns that go by other names."""
+    domain = F.col(names["domain"]) if "domain" in names else domain_of(F.col(names["source"]))
+    return {f"_{k}": F.coalesce(c, F.lit(NONE)) for k, c in zip(LEVELS, (domain, F.col(names["lang"]), F.col(names["source"])), strict=True)}
 
 
 def _hash(seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
 
 
 def plan(light: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED, weight=_weight) -> DataFrame:
     """A row for each leaf: its whole epochs, and the last row (hash, id, tokens) of its partial one with what that takes.
 
-    light: doc_id, n_tokens and the leaf's keys, read twice.
+    light: _id, _tokens and the leaf's keys, read several times.
     """
     keys = [f"_{k}" for k in LEVELS]
-    leaves = light.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).toDF(*LEVELS, "tokens").withColumn("capacity", F.col("tokens") * epochs)
-    leaves = leaf_budgets(leaves, F.sum("tokens").over(Window.partitionBy()) * F.lit(float(budget_share)), weight)
-    leaves = leaves.withColumn("full_epochs", F.floor(F.col("given") / F.col("tokens")).cast("long")).withColumn("part", F.col("given") - F.col("full_epochs") * F.col("tokens"))
-    leaves = checkpointed(leaves.select(*(F.col(a).alias(b) for a, b in zip(LEVELS, keys, strict=True)), "full_epochs", "part"))
-
-    # the bucket in which a leaf's prefix ends, by the buckets' sums; then the row, by the sums within that bucket
-    hashed = light.join(few(leaves), keys).where("part > 0").withColumn("_h", _hash(seed)).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
-    by_row = [F.col("_h"), F.col("doc_id"), F.col("n_tokens")]
+    leaves = light.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).toDF(*LEVELS, "tokens").withColumn("capacity", F.col("tokens") * epochs)
+    leaves = checkpointed(leaves)
+    budget = float((leaves.agg(F.sum("tokens")).first()[0] or 0) * budget_share)
+    leaves = leaf_budgets(leaves, F.lit(budget), weight)
+    leaves = leaves.withColumn("_full", F.floor(F.col("given") / F.col("tokens")).cast("long")).withColumn("_part", F.col("given") - F.col("_full") * F.col("tokens"))
+    leaves = checkpointed(leaves.select(*(F.col(a).alias(b) for a, b in zip(LEVELS, keys, strict=True)), "_full", "_part"))
+
+    # the bucket in which a leaf's prefix ends, by the buckets' sums at each step; then the row, by the sums within the last one
+    hashed = light.join(few(leaves.where("_part > 0")), keys).withColumn("_h", _hash(seed))
+    by_row = [F.col("_h"), F.col("_id"), F.col("_tokens")]
     along = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda tokens: F.coalesce(F.sum(tokens).over(along), F.lit(0))
-    buckets = hashed.groupBy(*keys, "_bucket").agg(F.sum("n_tokens").alias("tokens"))
-    along = along.orderBy("_bucket")
-    ends = buckets.withColumn("before_bucket", before("tokens")).join(few(leaves.select(*keys, "part")), keys)
-    ends = checkpointed(ends.where("before_bucket < part and before_bucket + tokens >= part").select(*keys, "_bucket", "before_bucket"))
-    last = hashed.join(few(ends), [*keys, "_bucket"]).groupBy(*keys, *by_row, "part", "before_bucket").agg(F.count("*").alias("copies"))
-    along = along.orderBy(*by_row)
-    last = last.withColumn("before", F.col("before_bucket") + before(F.col("n_tokens") * F.col("copies")))
-    last = last.where("before < part and before + n_tokens * copies >= part").select(*keys, F.struct(*by_row).alias("last"), F.floor((F.col("part") - F.col("before")) / F.col("copies")).cast("long").alias("last_tokens"))
-    return checkpointed(leaves.drop("part").join(last, keys, "left"))
+    before = lambda tokens, order: F.coalesce(F.sum(tokens).over(along.orderBy(*order)), F.lit(0))
+    ends = leaves.where("_part > 0").select(*keys, F.lit("").alias("_bucket"), F.lit(0).cast("long").alias("_before"))
+    for digits in BUCKET_DIGITS:
+        inside = _within(hashed, ends, keys)
+        buckets = inside.groupBy(*keys, "_part", "_before", F.substring("_h", 1, digits).alias("_bucket")).agg(F.sum("_tokens").alias("_sum"))
+        buckets = buckets.withColumn("_before", F.col("_before") + before("_sum", ["_bucket"]))
+        ends = checkpointed(buckets.where("_before < _part and _before + _sum >= _part").select(*keys, "_bucket", "_before"))
+    last = _within(hashed, ends, keys).groupBy(*keys, *by_row, "_part", "_before").agg(F.count("*").alias("_copies"))
+    last = last.withColumn("_before", F.col("_before") + before(F.col("_tokens") * F.col("_copies"), by_row))
+    last = last.where("_before < _part and _before + _tokens * _copies >= _part")
+    last = last.select(*keys, F.struct(*by_row).alias("_last"), F.floor((F.col("_part") - F.col("_before")) / F.col("_copies")).cast("long").alias("_last_tokens"))
+    return checkpointed(leaves.drop("_part").join(last, keys, "left"))
+
+
+def _within(hashed: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each leaf's bucket in ends, with what lies before it."""
+    return hashed.join(few(ends), keys).where(F.col("_h").startswith(F.col("_bucket"))).drop("_bucket")
 
 
 def few(leaves: DataFrame) -> DataFrame:
@@ -122,9 +132,18 @@ def few(leaves: DataFrame) -> DataFrame:
 
 
 def _taken(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
-    place = F.struct(_hash(seed).alias("_h"), "doc_id", "n_tokens")
-    prefix = F.when(place < F.col("last"), F.col("n_tokens")).when(place == F.col("last"), F.col("last_tokens")).otherwise(F.lit(0))
-    return rows.join(few(leaves), [f"_{k}" for k in LEVELS]).withColumn("prefix_tokens", prefix.cast("long")).where("full_epochs + prefix_tokens > 0")
+    place = F.struct(_hash(seed).alias("_h"), "_id", "_tokens")
+    prefix = F.when(place < F.col("_last"), F.col("_tokens")).when(place == F.col("_last"), F.col("_last_tokens")).otherwise(F.lit(0))
+    return rows.join(few(leaves), [f"_{k}" for k in LEVELS]).withColumn("_prefix", prefix.cast("long")).where("_full + _prefix > 0")
+
+
+def _mixed(docs: DataFrame, seed: int, with_text: bool, options: dict) -> tuple[DataFrame, dict[str, str]]:
+    """The rows that are taken with _domain, _tokens, _full and _prefix; the columns of docs go by the names returned, so that docs may have any."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    rows = rows.withColumns(_keys(names) | {"_id": F.col(names["doc_id"]), "_tokens": n_tokens(F.col(names["text"]))}).where("_tokens > 0")
+    light = checkpointed(rows.select("_id", *(f"_{k}" for k in LEVELS), "_tokens", *(names[c] for c in ("doc_id", "lang", "source"))))
+    return _taken(rows if with_text else light, plan(light.select("_id", *(f"_{k}" for k in LEVELS), "_tokens"), seed=seed, **options), seed), names
 
 
 def mix(docs: DataFrame, seed: int = SEED, with_text: bool = True, **options) -> DataFrame:
@@ -132,30 +151,31 @@ def mix(docs: DataFrame, seed: int = SEED, with_text: bool = True, **options) ->
 
     full_epochs: how often it is taken whole; prefix_tokens: how many of its first tokens the leaf's last, partial epoch
     takes, short of all of them only where the prefix ends. Rows of equal id and length there share what is left.
-    docs: doc_id, text, lang, source and any more; a `domain` column is used if there is one. Without the text, which
-    isn't read again then, only doc_id, lang and source are returned beside the new columns.
+    docs: doc_id, text, lang, source and any more; a `domain` column is used if there is one, and columns of the other new names
+    are replaced. Without the text, which isn't read again then, only doc_id, lang and source are returned beside the new columns.
     """
-    new = ("n_tokens", "full_epochs", "prefix_tokens", "domain")
-    keys = _keys(docs.columns)
-    rows = docs.withColumns(keys | {"n_tokens": n_tokens(F.col("text"))}).where("n_tokens > 0")
-    light = checkpointed(rows.select("doc_id", "lang", "source", *keys, "n_tokens"))
-    leaves = plan(light, seed=seed, **options)
+    new = {"domain": "_domain", "n_tokens": "_tokens", "full_epochs": "_full", "prefix_tokens": "_prefix"}
+    taken, names = _mixed(docs, seed, with_text, options)
     own = [c for c in docs.columns if c not in new] if with_text else ["doc_id", "lang", "source"]
-    return _taken(rows if with_text else light, leaves, seed).select(*own, F.col("_domain").alias("domain"), *new[:3])
+    return taken.select(*(F.col(names[c]).alias(c) for c in own), *(F.col(b).alias(a) for a, b in new.items()))
+
 
+def mixed_texts(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, the last one of a prefix cut to its tokens; n_chars follows the text.
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, the last one of a prefix cut to its tokens; n_chars follows the text."""
-    taken = mix(docs, **options)
-    first = F.regexp_extract(F.col("text"), "^[ \\t\\n\\r\\f\\x0B]*", 0)
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*"), 0), F.lit(1), F.col("prefix_tokens").cast("int")), "")
+    All columns of docs are kept, whatever their names. Rows with null or empty text, which have no tokens, go.
+    """
+    taken, names = _mixed(docs, seed, True, options)
+    text = F.col(names["text"])
+    first = F.regexp_extract(text, "^[ \\t\\n\\r\\f\\x0B]*", 0)
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*"), 0), F.lit(1), F.col("_prefix").cast("int")), "")
     cut = F.concat(first, part)
-    whole = F.col("full_epochs") + F.when(F.col("prefix_tokens") == F.col("n_tokens"), 1).otherwise(0)
-    copies = F.flatten(F.array(F.array_repeat(F.col("text"), whole.cast("int")), F.when((F.col("prefix_tokens") > 0) & (F.col("prefix_tokens") < F.col("n_tokens")), F.array(cut)).otherwise(F.array().cast("array<string>"))))
-    out = taken.withColumn("text", F.explode(copies))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    whole = F.col("_full") + F.when(F.col("_prefix") == F.col("_tokens"), 1).otherwise(0)
+    copies = F.flatten(F.array(F.array_repeat(text, whole.cast("int")), F.when((F.col("_prefix") > 0) & (F.col("_prefix") < F.col("_tokens")), F.array(cut)).otherwise(F.array().cast("array<string>"))))
+    own = {c: F.col(n) for c, n in names.items()} | {"text": F.col("_text")}
+    if "n_chars" in names:
+        own["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return taken.withColumn("_text", F.explode(copies)).select(*(own[c].alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
