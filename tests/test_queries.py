@@ -1,5 +1,10 @@
 """Every query with SQL gives the rows that DuckDB gives on the shared tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -29,3 +34,22 @@ def test_entry_imports_and_flagship_runs(spark):
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("gone", [("folio/llm",), ("corpus_pipeline.py",), ("folio/llm", "corpus_pipeline.py")])
+def test_entry_imports_without_the_training_data_operators(gone, tmp_path):
+    here, copy = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), str(tmp_path / "copy")
+    os.mkdir(copy)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "folio"):
+        source = os.path.join(here, name)
+        if os.path.isdir(source):
+            shutil.copytree(source, os.path.join(copy, name))
+        elif os.path.exists(source):
+            shutil.copy(source, copy)
+    for name in gone:
+        path = os.path.join(copy, name)
+        shutil.rmtree(path) if os.path.isdir(path) else os.path.exists(path) and os.remove(path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": copy}, capture_output=True, text=True, check=False)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[0]) >= len(registry.QUERIES)
