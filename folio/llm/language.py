@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from a bounded sample of the labelled rows; the log-probability matrix (bins by languages) is broadcast,
+Counts come from a bounded sample of the labelled rows, drawn for each language; the log-probability matrix (bins by languages) is broadcast,
 and each task scores its whole texts in numpy. A null text, or one without letters, is `und` with score 0. With
 no labelled rows at all every text is `und`.
 """
@@ -19,8 +19,9 @@ from folio.llm.common import documents, held_out, row_sums, text_slices
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
-#: About so many labelled rows are learned from, picked by a hash of their id.
+#: About so many labelled rows are learned from, picked by a hash of their id; but of each language about so many at least, or all it has.
 TRAINING_ROWS = 20_000
+LANGUAGE_ROWS = 500
 UNDETERMINED = "und"
 
 
@@ -67,16 +68,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities of bins by language with a row of zeros and the priors last.
 
-    docs: doc_id, text and lang. The sample is bounded by `rows`; what is collected by languages times bins.
+    docs: doc_id, text and lang. The sample is bounded by `rows` and LANGUAGE_ROWS for each language; what is collected by languages
+    times bins. A language without a row in the sample is left out.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     by_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(by_lang)
-    if not langs:
+    if not by_lang:
         return [], np.zeros((BINS + 2, 0), np.float32)
-    share = min(1.0, rows / sum(by_lang.values()))
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1_000_000)) < round(share * 1_000_000))
+    share = rows / sum(by_lang.values())
+    parts = 1 << 40
+    shares = F.create_map(*(F.lit(x) for lang, n in by_lang.items() for x in (lang, int(parts * min(1.0, max(share, LANGUAGE_ROWS / n))))))
+    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(parts)) < shares[F.col("lang")])
     counts = sample.select("text", "lang").mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(set(counts["lang"]))
+    if not langs:
+        return [], np.zeros((BINS + 2, 0), np.float32)
     matrix = np.zeros((BINS, len(langs)))
     matrix[counts["bin"].to_numpy(int), pd.Categorical(counts["lang"], langs).codes.astype(int)] = counts["n"].to_numpy()
     matrix = np.log(matrix + 0.5) - np.log(matrix.sum(axis=0) + 0.5 * BINS)
