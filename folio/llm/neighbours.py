@@ -3,22 +3,29 @@
 Equal vectors are one point of the index, which keeps the smallest ids of each; the points are dealt to shards by a hash of
 their components, so a vector that a third of all rows hold is one point of one shard. In a shard, points join the graph in batches: a greedy
 search from the shard's medoid proposes neighbours, and pruning keeps an edge to the nearest and drops those that a kept
-one brings nearer by the factor `alpha`. Queries go to every shard, in blocks; each shard returns its nearest, and the overall
-nearest are taken by exact distance. Vectors null, zero, or with a null or non-finite component take no part.
+one brings nearer by the factor `alpha`. Queries go to every shard; each shard returns its nearest, and the overall
+nearest are taken by exact distance. A task reads its shard's points, builds the graph, and then lets the queries stream through it in
+blocks, so it holds a shard and a block whatever the number of queries. Shards grow with the square root of the number of points
+(up to a bound by memory), so that queries meet fewer of them: what is exchanged grows with the power 1.5 of the table, not 2.
+
+Vectors null, zero, or with a null or non-finite component take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import checkpointed
 
-SHARD_POINTS = 2500
+#: Points of a shard: so many times the square root of all points, but no more than memory holds.
+SHARD_FACTOR, MOST_SHARD_POINTS = 32, 400_000
 DEGREE = 32
 ALPHA = 1.2
 BUILD_BEAM = 56
@@ -139,31 +146,55 @@ def build(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
     return edges, start
 
 
-def _search_shard(nearest: int, beam: int):
-    def search(key: tuple, rows: Iterator[pd.DataFrame] | pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            rows = rows.sort_values("point", kind="stable")
-            points = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-            names = rows["point"].to_numpy()
-            edges, start = build(points)
-            ids, wanted = queries["query_id"].to_numpy(), queries["vector"].to_numpy()
-            for a in range(0, len(queries), BATCH):
-                q = np.stack(wanted[a : a + BATCH]).astype(np.float64)
-                found, far = beam_search(points, edges, start, q, max(beam, nearest + 1))
-                found, far = found[:, : nearest + 1], far[:, : nearest + 1]
-                i, j = np.nonzero(found >= 0)
-                out.append(pd.DataFrame({"query_id": ids[a + i], "point": names[found[i, j]]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "point": np.zeros(0, np.int64)})
+def _stacked(vectors: pa.Array) -> np.ndarray:
+    """Arrays of one length as rows."""
+    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _search_shards(nearest: int, beam: int):
+    """For batches sorted by shard, size and kind (points before queries): the points found for each query."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, parts, graph, points = None, [], [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("shard", "size", "kind")], axis=1)
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                shard, kind, rows = tuple(keys[a, :2]), keys[a, 2], batch.slice(a, b - a)
+                if shard != now:
+                    now, names, parts, graph = shard, [], [], None
+                if kind == 0:
+                    names.append(rows.column("id").to_numpy())
+                    parts.append(_stacked(rows.column("vector")))
+                    continue
+                if not parts:
+                    continue  # no points of this length
+                if graph is None:
+                    points, every = np.concatenate(parts), np.concatenate(names)
+                    order = np.argsort(every, kind="stable")
+                    points, names, parts = points[order], [every[order]], [points[:1]]
+                    graph = build(points)
+                ids, wanted = rows.column("id").to_numpy(), _stacked(rows.column("vector"))
+                for at in range(0, len(ids), BATCH):
+                    found, _ = beam_search(points, *graph, wanted[at : at + BATCH], max(beam, nearest + 1))
+                    i, j = np.nonzero(found[:, : nearest + 1] >= 0)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[at + i]), "point": pa.array(names[0][found[i, j]])})
 
     return search
 
 
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: int = SEARCH_BEAM, shard_points: int = SHARD_POINTS) -> DataFrame:
+def shards_of(points: int) -> int:
+    return max(1, math.ceil(points / min(MOST_SHARD_POINTS, max(2500, SHARD_FACTOR * math.isqrt(points)))))
+
+
+def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: int = SEARCH_BEAM, shards: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: each query's nearest rows of vectors but its own, by Euclidean distance.
 
-    vectors: vec_id and embedding; queries: query_id and embedding. Embeddings of different lengths never meet. Rows of
-    vec_ids that repeat count once for each distinct vector.
+    vectors: vec_id and embedding; queries: query_id and embedding; whole numbers and arrays of numbers, and any columns more. Embeddings
+    of different lengths never meet. Rows of vec_ids that repeat count once for each distinct vector; of several vectors of one query_id the
+    least counts.
     """
     part = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", part.alias("vector")).where(usable(F.col("vector"))).dropDuplicates()
@@ -171,19 +202,21 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
     first = Window.partitionBy("vector").orderBy("vec_id")
     members = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= nearest + 1)
     members = checkpointed(members.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("point", F.xxhash64("vector")))
-    size = F.size("vector")
-    shards = max(1, -(-members.count() // shard_points))
+    shards = shards or shards_of(members.count())
     shard = F.pmod(F.xxhash64("vector", F.lit(1)), F.lit(shards)).cast("int")
-    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", part.alias("vector")).where(usable(F.col("vector"))).dropDuplicates(["query_id"])
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("size", F.size("vector"))
-    indexed = members.select("point", "vector", shard.alias("shard"), size.alias("size"))
-    candidates = indexed.groupBy("shard", "size").cogroup(everywhere.groupBy("shard", "size")).applyInPandas(_search_shard(nearest, beam), "query_id long, point long")
+    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", part.alias("vector")).where(usable(F.col("vector")))
+    asked = checkpointed(asked.groupBy("query_id").agg(F.min("vector").alias("vector")))
+    size = F.size("vector").alias("size")
+    everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), size, F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector")
+    indexed = members.select(shard.alias("shard"), size, F.lit(0).alias("kind"), F.col("point").alias("id"), "vector")
+    dealt = indexed.unionByName(everywhere).repartition(shards, "shard", "size").sortWithinPartitions("shard", "size", "kind")
+    candidates = dealt.mapInArrow(_search_shards(nearest, beam), "query_id long, point long")
     # only the points' vectors are fetched, and the queries' own
     scored = candidates.join(members, "point").join(asked.withColumnRenamed("vector", "_asked"), "query_id")
     gap = F.aggregate(F.zip_with("vector", "_asked", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
     scored = scored.where(F.size("vector") == F.size("_asked")).select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(gap).alias("score")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return scored.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank.cast("int")).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    return scored.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank.cast("int")).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

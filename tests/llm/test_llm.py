@@ -301,6 +301,15 @@ def test_neighbours_recall_and_scores(spark):
     assert np.mean(found) >= 0.9
 
 
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0], "own", 1) for i in range(1, 30)] + [(5, [100.0, 1.0], "own", 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, point string, shard int").repartition(4)
+    queries = vectors.where("vec_id = 5").withColumnRenamed("vec_id", "query_id")
+    got = neighbours.search(vectors, queries, shards=3).orderBy("rank").collect()
+    # of the two vectors that 5 has, the least asks
+    assert [(r["vec_id"], r["score"]) for r in got][:4] == [(4, 1.0), (6, 1.0), (3, 2.0), (7, 2.0)] and len(got) == 10
+
+
 def test_neighbours_edges(spark):
     rows = [(i, [float(i % 3 + 1), 1.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0]), (105, [1.0, 2.0, 3.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -467,6 +476,47 @@ def test_language(spark, docs, edges, empty):
     assert language.with_language(empty, model).count() == 0
 
 
+def test_language_by_hand(spark, docs):
+    """Counts, smoothing, priors and scores written out gram by gram."""
+    rows = [(r["doc_id"], r["text"][:400], r["lang"]) for r in docs.limit(60).collect()]
+    texts = [t for _, t, _ in rows] + ["Été 12, ÉTÉ!", "a", "12 34", ""]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
+
+    def grams(text):
+        plain = "".join(c if "a" <= c <= "z" or ord(c) >= 128 else " " for c in text.lower())
+        for n in language.ORDERS:
+            for i in range(len(plain) - n + 1):
+                h = 0
+                for c in plain[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                yield (h + n) * 0xBF58476D1CE4E5B9 % 2**64 >> 48
+
+    counts, priors = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        counts[lang].update(grams(text))
+        priors[lang] += 1
+    for i, text in enumerate(texts):
+        total = {}
+        for lang, c in counts.items():
+            below = sum(c.values()) + 0.5 * language.BINS
+            total[lang] = np.log(priors[lang] / len(rows)) + sum(np.log((c[g] + 0.5) / below) for g in grams(text))
+        if not any(map(str.isalpha, text)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        best = max(total.values())
+        ranked = sorted(total.values())
+        if ranked[-1] - ranked[-2] > 1e-2:
+            assert got[i]["lang_pred"] == max(total, key=total.get)
+        assert abs(got[i]["score"] - 1 / sum(np.exp(v - best) for v in total.values())) < 1e-2
+
+
+def test_rare_languages_are_learned_in_full(spark):
+    rows = [(i, "der hund und die katze sind im haus", "de") for i in range(4000)] + [(10_000 + i, "kissa ja koira ovat talossa yhdessä", "fi") for i in range(20)]
+    langs, _ = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert langs == ["de", "fi"]
+
+
 def test_toxicity(spark, edges, empty):
     rows = QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -522,6 +572,25 @@ def test_toxicity_scores_by_hand(docs):
 # Sharding, mixing, pipeline ---------------------------------------------------------------------------------------
 
 
+def test_lookup_table_by_hand():
+    """Whole preference lists, and shards that take turns at the first free slot of theirs."""
+    for names, slots in ((["a", "b", "c"], 13), (sharding.SHARDS[:7], 101), (["only"], 5)):
+        lists = []
+        for name in names:
+            digest = hashlib.sha256(name.encode()).digest()
+            begin, step = int.from_bytes(digest[:8], "big") % slots, int.from_bytes(digest[8:16], "big") % (slots - 1) + 1
+            order = [(begin + k * step) % slots for k in range(slots)]
+            assert sorted(order) == list(range(slots))
+            lists.append(order)
+        table = {}
+        while len(table) < slots:
+            for name, order in zip(names, lists, strict=True):
+                free = [x for x in order if x not in table]
+                if free:
+                    table[free[0]] = name
+        assert sharding.lookup_table(names, slots) == [table[k] for k in range(slots)]
+
+
 def test_lookup_table():
     table = sharding.lookup_table(sharding.SHARDS)
     sizes = Counter(table)
