@@ -1,18 +1,22 @@
 """Removal of byte strings that repeat: suffixes sorted one bucket at a time, with difference-cover samples.
 
-Only equality of the first `LENGTH` bytes of suffixes matters, so suffixes are dealt to buckets by content: by the least hash
+Only the first `LENGTH` bytes of suffixes matter, so suffixes are dealt to buckets by content: by the least hash
 among the short strings within those bytes. Neighbouring suffixes mostly share it and travel as one run of text, about
 three bytes a suffix, compressed; equal strings always meet in one bucket, whatever documents they are in. A task sorts
 one bucket after another in bounded memory:
 
-1. Positions of the bucket's text whose number modulo 133 is in a difference cover are ranked by their next 68 bytes. For any
-   two suffixes some shift below 133 takes both to such positions, so a suffix without a repeated rank there can't repeat.
-2. The suffixes that are left, a few in a hundred bytes of ordinary text, are sorted by a 64-bit name of their 200 bytes.
-3. Ties are confirmed by the ranks at the shift that takes both suffixes into the cover.
+1. Positions of the bucket's text whose number modulo 133 is in a difference cover are told apart by their next 68 bytes. For any
+   two suffixes some shift below 133 takes both to such positions, so a suffix with none that occurs again there can't repeat.
+2. The suffixes that are left, a few in a hundred bytes of ordinary text, are sorted by their first 136 bytes.
+3. The cover's positions behind those that are still tied are ranked in byte order, with the bytes that neighbours share. The shift
+   that takes two tied suffixes into the cover then tells their order, and whether they are equal to the end, without reading on:
+   groups are split about a member of theirs until only equal suffixes are together.
+
+All equality is of bytes; hashes only deal suffixes out and rule them out.
 
 A name with more text than a task sorts at once (copies of one text, a very common line) isn't sorted in its group. Its equal runs
 are first made one, those of several places being repeated whole; the suffixes of its different runs are then joined by
-a 64-bit name of their bytes, in any number of tasks.
+a name of 124 bits of their bytes, in any number of tasks.
 
 Null text is empty; texts shorter than LENGTH lose nothing. Equal rows are separate occurrences.
 """
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import Rolling, checkpointed, documents, runs, text_slices, utf8
+from folio.llm.common import Rolling, checkpointed, documents, mix, runs, text_slices, utf8
 
 LENGTH = 200
 #: Length of the strings whose least hash picks a bucket.
@@ -38,6 +42,8 @@ SORT_BYTES = 3 << 20
 #: Text that is dealt at once: the more, the better its runs compress.
 DEAL_BYTES = 4 << 20
 GROUP_BYTES = 12 << 20
+#: Names that leave their groups are fewer than this, whatever the text: only beyond 1 TB of it do larger ones stay.
+HOT_NAMES = 1_000_000
 #: Text that goes to buckets for each byte of a document, about.
 SPREAD = 3.2
 
@@ -79,11 +85,21 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if width > span else h
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as a number in byte order; those behind the end are 0."""
+    out = np.concatenate([data, np.zeros(7, np.uint8)]).astype(np.uint64)
+    for size in (1, 2, 4):
+        out = (out[:-size] << np.uint64(8 * size)) | out[size:]
+    return out
+
+
 def bucket_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring suffixes with one bucket name: row, start in the row, suffixes, name (64 bits)."""
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    h = Rolling(data).at(np.arange(len(data) - SEED_BYTES + 1), np.int64(SEED_BYTES))
+    h = _words(data)[: len(data) - SEED_BYTES + 8 + 1]
+    h = h[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (h[8:] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(7))
+    h = mix(h)
     least = _sliding_least(h, length - SEED_BYTES + 1)
     del h
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
@@ -95,6 +111,104 @@ def bucket_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     return row[start], start - offsets[row[start]], many, least[start]
 
 
+#: Bytes by which suffixes are sorted before the cover tells the rest: at least all shifts.
+DEEP = -(-V // 8) * 8
+
+
+def _split(where: np.ndarray, head: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of groups (head: where one starts) in order of the key within each, groups of one key; those of one member go."""
+    apart = np.flatnonzero((key[1:] != key[:-1]) & ~head[1:]) + 1
+    if len(apart):
+        group = np.cumsum(head) - 1
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[apart]] = True
+        some = np.flatnonzero(mixed[group])
+        order = some[np.lexsort((key[some], group[some]))]
+        where, key = where.copy(), key.copy()
+        where[some], key[some] = where[order], key[order]
+        head = head.copy()
+        head[1:] |= key[1:] != key[:-1]
+    return _without_single(where, head)
+
+
+def _without_single(where: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    alone = head & np.append(head[1:], True)
+    return where[~alone], head[~alone]
+
+
+def tied_suffixes(words: np.ndarray, where: np.ndarray, depth: int = DEEP) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose next `depth` bytes occur at several of `where`, in byte order, and where each group of equal ones starts."""
+    where = where[np.argsort(words[where], kind="stable")]
+    key = words[where]
+    where, head = _without_single(where, np.concatenate(([True], key[1:] != key[:-1]))[: len(where)])
+    for at in range(8, depth, 8):
+        if not len(where):
+            break
+        where, head = _split(where, head, words[where + at])
+    return where, head
+
+
+def byte_ranks(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each string of `size` bytes (at most `length`) in byte order, and, by rank, how many bytes each shares with the one before it."""
+    wide = np.zeros((len(at), length + 2), np.uint8)
+    column = np.arange(length)
+    for a in range(0, len(at), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        wide[part, :length] = np.where(column < size[part, None], text[np.minimum(at[part, None] + column, len(text) - 1)], 0)
+    wide[:, length], wide[:, length + 1] = size >> 8, size & 255  # a shorter string stands before one that goes on with zeros
+    order = np.argsort(wide.view(f"S{length + 2}").ravel(), kind="stable")
+    shared = np.zeros(len(at), np.int16)
+    for a in range(1, len(at), 1 << 14):
+        now, before = order[a : a + (1 << 14)], order[a - 1 : a - 1 + (1 << 14)][: len(order[a : a + (1 << 14)])]
+        like = wide[now, :length] == wide[before, :length]
+        shared[a : a + len(now)] = np.minimum(np.where(like.all(axis=1), length, like.argmin(axis=1)), np.minimum(size[now], size[before]))
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at))
+    return rank, shared
+
+
+def _least_between(values: np.ndarray):
+    """A function of the least value from i + 1 to j, for i < j."""
+    table = [values]
+    while 2 << len(table) <= 2 * len(values):
+        half = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    starts = np.cumsum([0, *map(len, table)])
+    flat = np.concatenate(table)
+
+    def least(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        level = np.frexp(j - i)[1] - 1
+        return np.minimum(flat[starts[level] + i + 1], flat[starts[level] + j + 1 - (1 << level)])
+
+    return least
+
+
+def equal_by_cover(where: np.ndarray, head: np.ndarray, rank: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
+    """Which of the positions equal another of their group in `length` bytes. Groups (head: where one starts) share their first V - 1 bytes;
+    rank holds those of the cover's positions, -1 elsewhere."""
+    least = _least_between(shared)
+    found, own = np.zeros(len(where), bool), np.arange(len(where))
+    while len(where):
+        group = np.cumsum(head) - 1
+        about = where[head][group]
+        shift = SHIFT[where % V, about % V]
+        i, j = rank[where + shift], rank[about + shift]
+        same = i == j
+        apart = np.flatnonzero(~same)
+        same[apart] = least(np.minimum(i, j)[apart], np.maximum(i, j)[apart]) >= length - shift[apart]
+        many = np.bincount(group, weights=same)
+        found[own[same & (many[group] > 1)]] = True
+        # those before the member that the group is split about, and those behind
+        rest = np.flatnonzero(~same)
+        key = group[rest] * 2 + (i[rest] > j[rest])
+        rest = rest[np.argsort(key, kind="stable")]
+        key = np.sort(key, kind="stable")
+        head = np.concatenate(([True], key[1:] != key[:-1]))[: len(rest)]
+        alone = head & np.append(head[1:], True)[: len(rest)]
+        where, own, head = where[rest[~alone]], own[rest[~alone]], head[~alone]
+    return found
+
+
 def repeated(text: np.ndarray, start: np.ndarray, many: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether each suffix of a bucket equals another in its first `length` bytes.
 
@@ -104,31 +218,35 @@ def repeated(text: np.ndarray, start: np.ndarray, many: np.ndarray, length: int
     context = length - V + 1
     n = int(many.sum())
     position = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(n)
-    rolling = Rolling(text)
-    # 1. ranks of the cover's positions; those that occur once rule suffixes out
+    words = _words(text)
+    # 1. the cover's positions; those whose bytes occur once rule suffixes out
     size = many + length - 1
     inside = np.zeros(len(text) + 1, np.int32)
     np.add.at(inside, start, 1)
     np.add.at(inside, start + size - context + 1, -1)
     at = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & np.resize(_IN_COVER, len(text)))
-    _, rank, count = np.unique(rolling.at(at, np.int64(context)), return_inverse=True, return_counts=True)
-    again = at[count[rank] > 1]
-    ranks = np.full(len(text), -1, np.int32)
-    ranks[at] = rank
+    h = np.zeros(len(at), np.uint64)
+    for k in [*range(0, context - 8, 8), context - 8]:
+        h = mix(h + words[at + k])
+    _, which, count = np.unique(h, return_inverse=True, return_counts=True)
     marks = np.zeros(len(text) + 1, np.int32)
-    marks[1:] = np.cumsum(np.bincount(again, minlength=len(text)))
+    marks[1:] = np.cumsum(np.bincount(at[count[which] > 1], minlength=len(text)))
     able = np.flatnonzero(marks[position + V] > marks[position])
-    # 2. the rest in order of their names
-    where = position[able]
-    name = rolling.at(where, np.int64(length))
-    order = np.argsort(name, kind="stable")
-    tied = np.flatnonzero(name[order][1:] == name[order][:-1])
-    # 3. ties, confirmed in the cover
-    i, j = where[order[tied]], where[order[tied + 1]]
-    shift = SHIFT[i % V, j % V]
-    sure = ranks[i + shift] == ranks[j + shift]
+    # 2. the rest by their first bytes
+    where, head = tied_suffixes(words, position[able])
     found = np.zeros(n, bool)
-    found[able[order[tied[sure]]]] = found[able[order[tied[sure] + 1]]] = True
+    if not len(where):
+        return found
+    # 3. ties, by the ranks of the cover's positions behind them
+    near = np.zeros(len(text) + 1, np.int32)
+    np.add.at(near, where, 1)
+    np.add.at(near, where + V, -1)
+    at = at[np.cumsum(near[:-1])[at] > 0]
+    ends = (start + size)[np.searchsorted(start, at, "right") - 1]
+    rank = np.full(len(text), -1, np.int64)
+    rank[at], shared = byte_ranks(text, at, np.minimum(ends - at, length), length)
+    again = where[equal_by_cover(where, head, rank, shared, length)]
+    found[np.searchsorted(position, again)] = True
     return found
 
 
@@ -233,12 +351,14 @@ def _hot_runs(length: int, hot: np.ndarray):
             if not len(row):
                 continue
             at, size = offsets[row] + start, many + length - 1
-            run, first, which, count = np.unique(Rolling(data).at(at, size), return_index=True, return_inverse=True, return_counts=True)
+            one, two = (Rolling(data, seed).at(at, size) for seed in (0, 1))
+            _, first, which, count = np.unique(one + mix(two), return_index=True, return_inverse=True, return_counts=True)
             key = batch.column("row_key").to_numpy()[row]
             once = count == 1
             again = np.flatnonzero(~once[which])
             yield pa.RecordBatch.from_pydict({
-                "run": pa.array(np.concatenate([run, run[which[again]]]).view(np.int64)),
+                "run": pa.array(np.concatenate([one[first], one[again]]).view(np.int64)),
+                "more": pa.array(np.concatenate([two[first], two[again]]).view(np.int64)),
                 "n": pa.array(np.concatenate([np.where(once, 1, 2), np.zeros(len(again), np.int64)])),
                 "many": pa.array(np.concatenate([many[first], many[again]])),
                 "text": pa.array([*(data[a : a + n].tobytes() for a, n in zip(at[first], size[first], strict=True)), *[None] * len(again)], pa.binary()),
@@ -257,25 +377,25 @@ def _suffixes(length: int):
             for k in range(batch.num_rows):
                 text = np.frombuffer(batch.column("text")[k].as_py(), np.uint8)
                 at = np.arange(len(text) - length + 1)
-                name = Rolling(text).at(at, np.int64(length))
+                name, more = (Rolling(text, seed).at(at, np.int64(length)).view(np.int64) for seed in (0, 1))
                 n, key, start = (batch.column(c)[k].as_py() for c in ("n", "row_key", "start"))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(at), n)), pa.array([key] * len(at), pa.int64()), pa.array(at + (start or 0))], ["name", "n", "row_key", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(more), pa.array(np.full(len(at), n)), pa.array([key] * len(at), pa.int64()), pa.array(at + (start or 0))], ["name", "more", "n", "row_key", "first"])
 
     return names
 
 
 def _hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     """The spans of suffixes with a name in hot; no task holds all runs or suffixes of a name."""
-    dealt = checkpointed(docs.mapInArrow(_hot_runs(length, hot), "run long, n long, many long, text binary, row_key long, start long"))
+    dealt = checkpointed(docs.mapInArrow(_hot_runs(length, hot), "run long, more long, n long, many long, text binary, row_key long, start long"))
     whole = lambda df: df.select("row_key", F.col("start").alias("first"), (F.col("start") + F.col("many") + length - 1).alias("past"))
     # a run comes once from a slice, so that its list of places has one of each slice at most
     places = F.collect_list(F.when(F.col("row_key").isNotNull(), F.struct("row_key", "start"))).alias("places")
-    different = checkpointed(dealt.where("n > 0").groupBy("run").agg(F.least(F.sum("n"), F.lit(2).cast("long")).alias("n"), F.first("many").alias("many"), F.first("text").alias("text"), places))
+    different = checkpointed(dealt.where("n > 0").groupBy("run", "more").agg(F.least(F.sum("n"), F.lit(2).cast("long")).alias("n"), F.first("many").alias("many"), F.first("text").alias("text"), places))
     among = different.where("n > 1").select("many", F.explode("places").alias("place")).select("many", "place.*")
     own = F.when(F.col("n") == 1, F.col("places")[0])
-    suffixes = different.select("n", "text", own["row_key"].alias("row_key"), own["start"].alias("start")).mapInArrow(_suffixes(length), "name long, n long, row_key long, first long")
-    again = suffixes.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name")
-    single = suffixes.where("n = 1").join(again, "name").select("row_key", "first", (F.col("first") + length).alias("past"))
+    suffixes = different.select("n", "text", own["row_key"].alias("row_key"), own["start"].alias("start")).mapInArrow(_suffixes(length), "name long, more long, n long, row_key long, first long")
+    again = suffixes.groupBy("name", "more").agg(F.sum("n").alias("total")).where("total > 1").select("name", "more")
+    single = suffixes.where("n = 1").join(again, ["name", "more"]).select("row_key", "first", (F.col("first") + length).alias("past"))
     return whole(dealt.where("n = 0")).unionByName(whole(among)).unionByName(single)
 
 
@@ -286,9 +406,10 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     total, partitions = docs.select(F.octet_length("text").cast("long").alias("size"), F.spark_partition_id().alias("part")).agg(F.sum("size"), F.count_distinct("part")).first()
     groups = max(1, int(-(-(total or 0) * SPREAD // GROUP_BYTES)))
-    # a name's bytes in partitions where it has fewer than these aren't counted: less than SORT_BYTES in all
-    sizes = docs.select("text").mapInArrow(_name_sizes(SORT_BYTES // max(1, partitions), length), "name long, size long")
-    large = sizes.groupBy("name").agg(F.sum("size").alias("size")).where(F.col("size") > SORT_BYTES).collect()
+    # a name's bytes in partitions where it has fewer than these aren't counted: less than `most` in all
+    most = max(SORT_BYTES, int((total or 0) * SPREAD / HOT_NAMES))
+    sizes = docs.select("text").mapInArrow(_name_sizes(most // max(1, partitions), length), "name long, size long")
+    large = sizes.groupBy("name").agg(F.sum("size").alias("size")).where(F.col("size") > most).collect()
     hot = np.array([r["name"] for r in large], np.int64).view(np.uint64)
     dealt = docs.select("row_key", "text").mapInArrow(_deal(groups, length, hot), "bucket long, runs long, text binary, place binary, keys binary, names binary")
     spans = dealt.groupBy("bucket").applyInPandas(_sort_group(length), "row_key long, first long, past long")

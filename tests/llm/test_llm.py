@@ -182,6 +182,34 @@ def test_repeats_against_brute_force(spark, docs):
         assert r["kept_sha256"] == hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "\0\1"])
+def test_a_bucket_sorted_in_byte_order_with_cover_ranks(letters):
+    rng = random.Random(len(letters))
+    part = "".join(rng.choice(letters) for _ in range(900)).encode()
+    texts = [part[a : a + n] for a, n in ((rng.randrange(600), rng.randrange(200, 300)) for _ in range(60))]
+    # long ties that part late, at each place
+    texts += [part[:k] + b"x" + part[k + 1 : 260] for k in range(130, 260, 7)] + [b"a" * 400, b"a" * 399 + b"b", b"\0" * 300, b"\0" * 201, part[:199] + b"\0" * 40]
+    size = np.array([len(t) for t in texts])
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    got = repeats.repeated(text, np.cumsum(size) - size, size - 199)
+    every = [t[i : i + 200] for t in texts for i in range(len(t) - 199)]
+    seen = Counter(every)
+    assert got.tolist() == [seen[x] > 1 for x in every]
+
+
+def test_byte_ranks_and_shared_bytes():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(3, 12))) for _ in range(200)]
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    size = np.array([len(x) for x in strings])
+    rank, shared = repeats.byte_ranks(text, np.cumsum(size) - size, size, 20)
+    order = np.argsort(rank)
+    for a, b, n in zip(order, order[1:], shared[1:], strict=False):
+        x, y = strings[a], strings[b]
+        assert x.ljust(20, b"\0") < y.ljust(20, b"\0") or (x.ljust(20, b"\0") == y.ljust(20, b"\0") and len(x) <= len(y))
+        assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
 def test_repeats_edges(edges, empty, spark):
     assert repeats.without_repeats(empty).count() == 0
     rows = {r["doc_id"]: r for r in repeats.without_repeats(edges).collect()}
