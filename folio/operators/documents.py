@@ -148,8 +148,9 @@ def _terms_sql(source: str, key: str, limit: int) -> str:
       select {key}, term, count(*) n, min(pos) first_ from (select {key}, unnest(w) term, unnest(range(len(w))) pos from (select {key}, {_TOKENS.format(t='text')} w from {source})) group by all)) where rank <= {limit}"""
 
 
-#: Sentences are found by marks put behind them, then packed by a recursion over their positions.
-_CHUNKS = f"""with recursive d as (select doc_id, {NORM.format(t='text')} t from documents),
+# Sentences are found by marks put behind them, then packed by a recursion over their positions.
+def chunks_sql(source: str, before: str = "") -> str:
+    return f"""with recursive {before}d as (select doc_id, {NORM.format(t='text')} t from {source}),
   long_ as (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([。！？!?；;：:])\\s*', '\\1' || chr(1), 'g'), '\\.\\s+([A-Z(])', '.' || chr(1) || '\\1', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') s from d where length(t) > {BUDGET}),
   p(doc_id, i, n, s, buf, done) as (
     select doc_id, 0, len(s), s, '', []::varchar[] from long_
@@ -170,6 +171,9 @@ _CHUNKS = f"""with recursive d as (select doc_id, {NORM.format(t='text')} t from
     union all select doc_id, 0, t from d where t <> '' and length(t) <= {BUDGET}),
   chunk as (select doc_id, row_number() over (partition by doc_id order by k) - 1 idx, regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g') text from c)
 """
+
+
+_CHUNKS = chunks_sql("documents")
 _MACROS = r"\\(?:frac|sum|argmax|argmin|mathbb|mathcal|hat|theta|alpha|beta|nabla|prod|int|sqrt|log|exp|softmax)\b"
 TYPE_SQL = rf"""case when trim({{t}}) = '' then 'paragraph' when regexp_matches({{t}}, '(?s)\$\$.*\$\$|\\begin\{{{{(?:equation|align|gather|eqnarray)') or (len(regexp_extract_all({{t}}, '{_MACROS}')) >= 2 and length({{t}}) < 600) then 'formula'
   when regexp_matches(trim({{t}}), '^图注[:：]|^Figure\s*[0-9]+|^图\s*[0-9]+\s*[:：]') then 'figure' when regexp_matches(trim({{t}}), '^表\s*[0-9]+|(?i:^Table\s*[0-9]+)|(?m:^\|.+\|$)') then 'table'

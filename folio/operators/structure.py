@@ -9,6 +9,8 @@ from folio.functions import text as X
 from folio.operators.documents import TYPE_SQL, _date_sql
 
 SEP, BODY = "›", "正文"
+#: The deepest level of headings.
+LEVELS = 4
 MARKDOWN = [
     (1, "# Title\nLead text.\n## 1 Intro\nWe start here.\n### 1.1 Goal\nA goal.\n#### 1.1.1 Deep\nDetail.\n## 2 Method\n图注：一张图\n$$x = y$$\nThe method."),
     (2, "No heading at all.\nJust two lines."),
@@ -47,21 +49,37 @@ def _values(rows: list[tuple], names: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
 
 
+def headed(lines: DataFrame, key: str) -> DataFrame:
+    """Lines with the `path` of headings that each stands under. lines: key, pos, level (0: no heading) and title.
+
+    A heading of level d leaves d - 1 of the headings above it and stands behind those. So its depth is one more than that of the
+    heading before, but d at most: the least, over it and all headings before, of their level plus the number of headings since.
+    """
+    along = Window.partitionBy(key).orderBy("pos")
+    is_head = F.col("level") > 0
+    n = F.sum(is_head.cast("int")).over(along)
+    rows = lines.withColumn("_n", n).withColumn("_gap", F.min(F.when(is_head, F.col("level") - F.col("_n"))).over(along))
+    rows = rows.withColumn("_depth", F.when(is_head, F.col("_n") + F.least(F.lit(0), F.col("_gap"))))
+    open_ = F.last("_depth", ignorenulls=True).over(along)
+    names = [F.last(F.when(F.col("_depth") == k, F.col("title")), ignorenulls=True).over(along) for k in range(1, LEVELS + 1)]
+    rows = rows.withColumns({"_open": open_} | {f"_h{k}": name for k, name in enumerate(names, 1)})
+    path = F.concat_ws(SEP, *(F.when(F.col("_open") >= k, F.col(f"_h{k}")) for k in range(1, LEVELS + 1)))
+    return rows.withColumn("path", F.when(F.col("_open").isNull(), BODY).otherwise(path)).drop("_n", "_gap", "_depth", "_open", *(f"_h{k}" for k in range(1, LEVELS + 1)))
+
+
 def section_blocks(rows: DataFrame) -> DataFrame:
     """Blocks of Markdown-like text under their headings: doc_id, pos, path, type, text. Headings of depth d keep d - 2 of those above."""
     lines = rows.select("doc_id", F.posexplode(F.split(X.normalize_text(F.col("text")), "\n")).alias("pos", "line"))
     level = F.length(F.regexp_extract("line", r"^(#{2,4})\s+.+$", 1))
     title = F.trim(F.regexp_extract("line", r"^#{2,4}\s+(.+)$", 1))
     alone = F.trim("line").rlike("^图注[:：]") | (F.trim("line").rlike(r"^\$\$.*\$\$\s*$") & (F.length(F.trim("line")) < 1200))
-    marked = lines.withColumns({"level": level, "title": title, "alone": alone})
+    marked = lines.withColumns({"level": F.greatest(F.lit(0), level - 1), "title": title, "alone": alone})
     along = Window.partitionBy("doc_id").orderBy("pos")
-    heads = F.collect_list(F.when(F.col("level") > 0, F.struct("level", "title"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    stack = F.aggregate(heads, F.array().cast("array<string>"), lambda st, h: F.concat(F.slice(st, F.lit(1), F.least(F.size(st), h["level"] - 2)), F.array(h["title"])))
     opens = (F.col("level") > 0) | F.col("alone") | F.coalesce(F.lag("alone").over(along), F.lit(False))
-    placed = marked.withColumn("path", F.array_join(stack, SEP)).withColumn("block", F.sum(opens.cast("int")).over(along)).where("level = 0")
+    placed = headed(marked, "doc_id").withColumn("block", F.sum(opens.cast("int")).over(along)).where("level = 0")
     blocks = placed.groupBy("doc_id", "block").agg(F.first("path").alias("path"), F.min("pos").alias("pos"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
     t = F.regexp_replace("text", r"^\s+|\s+$", "")
-    return blocks.select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("path") == "", BODY).otherwise(F.col("path")).alias("path"), X.block_type(t).alias("type"), t.alias("text")).where("text <> ''")
+    return blocks.select("doc_id", F.col("pos").cast("long").alias("pos"), "path", X.block_type(t).alias("type"), t.alias("text")).where("text <> ''")
 
 
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
