@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import style as S
@@ -57,8 +57,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.select("doc_id", "idx", F.concat(F.lit("c"), F.col("idx") + 1).alias("chunk_id"), F.length("text").cast("long").alias("chars"), X.block_type(F.col("text")).alias("type"), F.md5("text").alias("text_md5"))
 
 
+def row_terms(tokens: Column, limit: int) -> Column:
+    """Terms of one row by count, then length, then first place, as structs of term and n: counted within the row, without a shuffle."""
+    distinct = F.array_distinct(tokens)
+    counted = F.transform(distinct, lambda t: F.struct((-F.size(F.filter(tokens, lambda x: x == t))).alias("less"), (-F.length(t)).alias("shorter"), F.array_position(tokens, t).alias("first"), t.alias("term")))
+    return F.transform(F.slice(F.sort_array(counted), 1, limit), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("n")))
+
+
 def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts(chunked(table(spark, sf_dir, "documents")), ["doc_id", "idx"], "text", 5)
+    """Terms of chunks. A chunk is short, so its terms are counted within its row."""
+    rows = chunked(table(spark, sf_dir, "documents")).select("doc_id", "idx", X.tokens(F.col("text")).alias("tokens"))
+    each = rows.select("doc_id", "idx", F.posexplode(row_terms(F.col("tokens"), 5)).alias("pos", "t"))
+    return each.select("doc_id", "idx", (F.col("pos") + 1).cast("long").alias("rank"), "t.term", "t.n")
 
 
 def structure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +81,37 @@ def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy(F.trim("term").alias("term")).agg(F.count("*").cast("long").alias("n"))
 
 
+#: Documents are dealt to so many parts by id, so that a term that very many share is joined in as many tasks.
+SALT = 32
+TITLE_CHARS = 100
+
+
+def first_line(text: Column) -> Column:
+    return F.left(F.split(F.coalesce(text, F.lit("")), "\n")[0], F.lit(TITLE_CHARS))
+
+
+def title_words(title: Column) -> Column:
+    """Distinct lower-case words of three characters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z0-9一-鿿]+"), lambda w: F.length(w) >= 3))
+
+
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per benchmark item the three documents that share most terms (two points each). First words (one each in the reference) aren't scored."""
-    items = term_counts(table(spark, sf_dir, "benchmark"), ["item_id"], "text")
-    docs = term_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text")
-    by_term = items.join(docs.select("doc_id", "term"), "term").groupBy("item_id", "doc_id").agg((F.count("*") * 2).cast("long").alias("score"))
+    """Per benchmark item the three documents with the highest score: two points for each shared top term, one for each word of the
+    item's first line that is in the document's."""
+    bench, rows = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    items = term_counts(bench, ["item_id"], "text").select("item_id", "term", salts)
+    docs = term_counts(rows, ["doc_id"], "text").select("doc_id", "term", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    by_term = items.join(docs, ["term", "salt"]).select("item_id", "doc_id", F.lit(2).alias("points"))
+    # a word within a title shares its first three characters with a place in it
+    words = bench.select("item_id", F.explode(title_words(first_line(F.col("text")))).alias("word")).select("item_id", "word", F.left("word", F.lit(3)).alias("head"), salts)
+    titles = rows.select("doc_id", F.lower(first_line(F.col("text"))).alias("title"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("title") - 2), lambda i: F.substring(F.col("title"), i, F.lit(3))))
+    titles = titles.where(F.length("title") >= 3).select("doc_id", "title", "salt", F.explode(places).alias("head"))
+    by_title = words.join(titles, ["head", "salt"]).where(F.contains("title", "word")).select("item_id", "doc_id", F.lit(1).alias("points"))
+    scored = by_term.unionByName(by_title).groupBy("item_id", "doc_id").agg(F.sum("points").cast("long").alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("doc_id"))
-    return by_term.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3").select("item_id", "rank", "doc_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 3").select("item_id", "rank", "doc_id", "score")
 
 
 def with_style(rows: DataFrame) -> DataFrame:
@@ -108,9 +142,30 @@ def style_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_style(table(spark, sf_dir, "documents"))
 
 
+def with_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with words of the lists behind them, as their invented prose has none: by id, of each list some and some twice."""
+    rows = table(spark, sf_dir, "documents")
+    pick = lambda name, k: F.element_at(F.array(*map(F.lit, S.WORD_LISTS[name])), (F.pmod(F.floor(F.col("doc_id") / k), F.lit(len(S.WORD_LISTS[name]))) + 1).cast("int"))
+    added = [F.when(F.pmod("doc_id", F.lit(i + 2)) == 0, F.concat(pick(name, 1), F.lit("，"), pick(name, 3), F.lit("。"), pick(name, 1))).otherwise("") for i, name in enumerate(S.WORD_LISTS)]
+    return rows.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), *added).alias("text"))
+
+
 def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each list in each text, most frequent first."""
-    return hits_of(table(spark, sf_dir, "documents"), "doc_id")
+    return hits_of(with_phrases(spark, sf_dir), "doc_id")
+
+
+#: How many words of a list a warning shows.
+PREVIEWS = {"stock": 5, "caution": 6, "boundary": 6} | dict.fromkeys(S.VOICE, 3)
+
+
+def hit_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a warning shows of each list's hits: the most frequent words with their counts, and how many hits there are in all."""
+    words = with_phrases(spark, sf_dir).select("doc_id", S.words_only(F.col("text")).alias("t"))
+    lists = F.array(*(F.struct(F.lit(name).alias("list"), S.word_hits(F.col("t"), name).alias("hits"), F.lit(n).alias("most")) for name, n in PREVIEWS.items()))
+    each = words.select("doc_id", F.explode(lists).alias("l")).where(F.size("l.hits") > 0)
+    shown = F.transform(F.slice(F.col("l.hits"), F.lit(1), F.col("l.most")), lambda h: F.concat(h["word"], F.lit("×"), h["n"]))
+    return each.select("doc_id", "l.list", F.array_join(shown, "、").alias("preview"), S.total(F.col("l.hits")).alias("total"))
 
 
 def hits_of(rows: DataFrame, key: str) -> DataFrame:
@@ -219,6 +274,12 @@ def hits_sql(source: str, key: str) -> str:
     return f"with w as (select {key}::bigint {key}, {rules_sql("coalesce(text, '')", S.PLAIN_RULES)} w0 from {source}) {ranked}"
 
 
+def _phrases_sql() -> str:
+    pick = lambda name, k: f"[{', '.join(map(quoted, S.WORD_LISTS[name]))}][doc_id // {k} % {len(S.WORD_LISTS[name])} + 1]"
+    added = " || ".join(f"case when doc_id % {i + 2} = 0 then {pick(name, 1)} || '，' || {pick(name, 3)} || '。' || {pick(name, 1)} else '' end" for i, name in enumerate(S.WORD_LISTS))
+    return f"(select doc_id, coalesce(text, '') || chr(10) || chr(10) || {added} as text from documents)"
+
+
 def _metrics_sql() -> str:
     style = lambda q: _STYLE.format(t=q)
     mean = lambda a: f"case when len({a}) = 0 then 0.0 else floor(list_sum({a}) / len({a}) * 10 + 0.5) / 10 end::double"
@@ -233,7 +294,7 @@ def _metrics_sql() -> str:
 
 
 _STYLE = r"length(regexp_replace({t}, '[\s*_#>`~|]', '', 'g'))"
-QUERIES = {f.__name__: f for f in (normalized, lengths, number_mentions, top_terms, chunks, chunk_terms, structure_stats, glossary, related, style_metrics, word_hits, mentions, manifest, source_summary)}
+QUERIES = {f.__name__: f for f in (normalized, lengths, number_mentions, top_terms, chunks, chunk_terms, structure_stats, glossary, related, style_metrics, word_hits, hit_previews, mentions, manifest, source_summary)}
 SQL = {
     "normalized": f"select doc_id, length(t)::bigint chars, md5(t) text_md5 from (select doc_id, {NORM.format(t='text')} t from documents)",
     "lengths": rf"select doc_id, length(regexp_replace(text, '\s', '', 'g'))::bigint visible, {_STYLE.format(t='text')}::bigint style, len(regexp_extract_all(text, '[一-鿿]'))::bigint chinese from documents",
@@ -244,10 +305,14 @@ SQL = {
     "structure_stats": _CHUNKS + "select doc_id, count(*)::bigint chunk_count, sum(length(text))::bigint chars, max(length(text))::bigint longest from chunk group by doc_id",
     "glossary": f"select term, count(*)::bigint n from (select unnest({_TOKENS.format(t='text')}) term from benchmark) group by term",
     "related": f"""with a as ({_terms_sql('benchmark', 'item_id', TOP_TERMS)}), b as ({_terms_sql('documents', 'doc_id', TOP_TERMS)}),
-      s as (select item_id, doc_id, 2 * count(*) score from a join b using (term) group by all)
+      w as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(left(string_split(coalesce(text, ''), chr(10))[1], {TITLE_CHARS})), '[^a-z0-9一-鿿]+'), lambda w: length(w) >= 3))) word from benchmark),
+      t as (select doc_id, lower(left(string_split(coalesce(text, ''), chr(10))[1], {TITLE_CHARS})) title from documents),
+      s as (select item_id, doc_id, sum(points) score from (select item_id, doc_id, 2 points from a join b using (term) union all select item_id, doc_id, 1 from w join t on contains(title, word)) group by all)
       select item_id, rank, doc_id, score::bigint score from (select *, row_number() over (partition by item_id order by score desc, doc_id desc) rank from s) where rank <= 3""",
     "style_metrics": _metrics_sql(),
-    "word_hits": hits_sql("documents", "doc_id"),
+    "word_hits": hits_sql(_phrases_sql(), "doc_id"),
+    "hit_previews": f"""select doc_id, list, string_agg(word || '×' || n, '、' order by rank) filter (rank <= case list {" ".join(f"when '{k}' then {v}" for k, v in PREVIEWS.items())} end) preview, sum(n)::bigint total
+      from ({hits_sql(_phrases_sql(), "doc_id")}) group by all""",
     "mentions": rf"""with x as (select doc_id, text, regexp_extract(text, '^(?:\s*\S){{0,100}}') h, regexp_extract(text, '^(?:\s*\S){{0,300}}') c, {_date_sql('text')} as date from documents)
       select doc_id, date, regexp_extract(text, '([0-9]{{4}}\.[0-9]{{4,5}})(?:v[0-9]+)?', 1) paper, md5(h) head_md5, md5(case when c = text then text when regexp_extract(c, '(?s)^.*[。！？!?；;\n]') <> '' and length(c) - length(regexp_extract(c, '(?s)^.*[。！？!?；;\n]')) < 80 then regexp_extract(c, '(?s)^.*[。！？!?；;\n]') else c end) lead_md5 from x""",
     "manifest": "select doc_id, source, length(text)::bigint text_length from documents where doc_id in (select doc_id from labels where quality = 1) and doc_id not in (select doc_id from labels where toxic = 1)",

@@ -77,7 +77,10 @@ def recent_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per type the events of its last 30 days before the newest event of any, or all if there are none; the 60 newest of a type."""
     rows = table(spark, sf_dir, "events")
     rows = rows.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("newest"))))
-    rows = rows.withColumn("recent", F.col("ts") >= F.col("newest") - F.expr("interval 30 days")).withColumn("any", F.max("recent").over(Window.partitionBy("event_type")))
+    rows = rows.withColumn("recent", F.col("ts") >= F.col("newest") - F.expr("interval 30 days"))
+    # a row for each type; the ranks below are taken within each partition first
+    some = rows.groupBy("event_type").agg(F.max("recent").alias("any"))
+    rows = rows.join(some, "event_type")
     order = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
     return rows.where("recent or not any").withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 60").select("event_type", "rank", "event_id")
 
