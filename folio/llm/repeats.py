@@ -28,20 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import Rolling, checkpointed, documents, mix, runs, text_slices, utf8
+from folio.llm.common import SLICE_BYTES, Rolling, checkpointed, documents, mix, runs, text_slices, utf8
 
 LENGTH = 200
 #: Length of the strings whose least hash picks a bucket.
 SEED_BYTES = 16
-#: Bytes of bucket text that one task works on at a time, and of all buckets of a group.
+#: Most bytes of bucket text with one name that a task works on, and of all buckets of a group.
 SORT_BYTES = 3 << 20
 #: Text that is dealt at once: the more, the better its runs compress.
 DEAL_BYTES = 4 << 20
 GROUP_BYTES = 12 << 20
+#: Bytes of a group that are sorted at once, or one name's if that has more: smaller parts stay in a processor's cache.
+PART_BYTES = 1 << 19
 #: Names that leave their groups are fewer than this, whatever the text: only beyond 1 TB of it do larger ones stay.
 HOT_NAMES = 1_000_000
 #: Text that goes to buckets for each byte of a document, about.
@@ -148,20 +151,27 @@ def tied_suffixes(words: np.ndarray, where: np.ndarray, depth: int = DEEP) -> tu
     return where, head
 
 
-def byte_ranks(text: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+#: A word's first so many bytes.
+_FIRST = np.array([(1 << 64) - (1 << (8 * (8 - k))) for k in range(9)], np.uint64)
+
+
+def byte_ranks(words: np.ndarray, at: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each string of `size` bytes (at most `length`) in byte order, and, by rank, how many bytes each shares with the one before it."""
-    wide = np.zeros((len(at), length + 2), np.uint8)
-    column = np.arange(length)
-    for a in range(0, len(at), 1 << 14):
-        part = slice(a, a + (1 << 14))
-        wide[part, :length] = np.where(column < size[part, None], text[np.minimum(at[part, None] + column, len(text) - 1)], 0)
-    wide[:, length], wide[:, length + 1] = size >> 8, size & 255  # a shorter string stands before one that goes on with zeros
-    order = np.argsort(wide.view(f"S{length + 2}").ravel(), kind="stable")
+    width = -(-length // 8)
+    wide = np.empty((len(at), width + 1), ">u8")
+    for t in range(width):
+        wide[:, t] = words[np.minimum(at + 8 * t, len(words) - 1)] & _FIRST[np.clip(size - 8 * t, 0, 8)]
+    wide[:, width] = size  # a shorter string stands before one that goes on with zeros
+    order = np.argsort(wide.view(f"S{8 * width + 8}").ravel(), kind="stable")
     shared = np.zeros(len(at), np.int16)
     for a in range(1, len(at), 1 << 14):
-        now, before = order[a : a + (1 << 14)], order[a - 1 : a - 1 + (1 << 14)][: len(order[a : a + (1 << 14)])]
-        like = wide[now, :length] == wide[before, :length]
-        shared[a : a + len(now)] = np.minimum(np.where(like.all(axis=1), length, like.argmin(axis=1)), np.minimum(size[now], size[before]))
+        now = order[a : a + (1 << 14)]
+        before = order[a - 1 : a - 1 + len(now)]
+        apart = wide[now, :width].astype(np.uint64) ^ wide[before, :width].astype(np.uint64)
+        first = (apart != 0).argmax(axis=1)
+        gap = apart[np.arange(len(now)), first]
+        like = np.where(gap == 0, 8 * width, 8 * first + sum((gap >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, 8)))
+        shared[a : a + len(now)] = np.minimum(like, np.minimum(size[now], size[before]))
     rank = np.empty(len(at), np.int64)
     rank[order] = np.arange(len(at))
     return rank, shared
@@ -209,6 +219,12 @@ def equal_by_cover(where: np.ndarray, head: np.ndarray, rank: np.ndarray, shared
     return found
 
 
+def _covered(start: np.ndarray, size, n: int) -> np.ndarray:
+    """Which of n places lie in a span."""
+    edges = np.bincount(start, minlength=n + 1) - np.bincount(start + size, minlength=n + 1)[: n + 1]
+    return np.cumsum(edges[:n]) > 0
+
+
 def repeated(text: np.ndarray, start: np.ndarray, many: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether each suffix of a bucket equals another in its first `length` bytes.
 
@@ -221,10 +237,7 @@ def repeated(text: np.ndarray, start: np.ndarray, many: np.ndarray, length: int
     words = _words(text)
     # 1. the cover's positions; those whose bytes occur once rule suffixes out
     size = many + length - 1
-    inside = np.zeros(len(text) + 1, np.int32)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, start + size - context + 1, -1)
-    at = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & np.resize(_IN_COVER, len(text)))
+    at = np.flatnonzero(_covered(start, size - context + 1, len(text)) & np.resize(_IN_COVER, len(text)))
     h = np.zeros(len(at), np.uint64)
     for k in [*range(0, context - 8, 8), context - 8]:
         h = mix(h + words[at + k])
@@ -234,20 +247,16 @@ def repeated(text: np.ndarray, start: np.ndarray, many: np.ndarray, length: int
     able = np.flatnonzero(marks[position + V] > marks[position])
     # 2. the rest by their first bytes
     where, head = tied_suffixes(words, position[able])
-    found = np.zeros(n, bool)
     if not len(where):
-        return found
+        return np.zeros(n, bool)
     # 3. ties, by the ranks of the cover's positions behind them
-    near = np.zeros(len(text) + 1, np.int32)
-    np.add.at(near, where, 1)
-    np.add.at(near, where + V, -1)
-    at = at[np.cumsum(near[:-1])[at] > 0]
-    ends = (start + size)[np.searchsorted(start, at, "right") - 1]
+    at = at[_covered(where, V, len(text))[at]]
+    ends = np.repeat(start + size, size)[at]
     rank = np.full(len(text), -1, np.int64)
-    rank[at], shared = byte_ranks(text, at, np.minimum(ends - at, length), length)
-    again = where[equal_by_cover(where, head, rank, shared, length)]
-    found[np.searchsorted(position, again)] = True
-    return found
+    rank[at], shared = byte_ranks(words, at, np.minimum(ends - at, length), length)
+    again = np.zeros(len(text), bool)
+    again[where[equal_by_cover(where, head, rank, shared, length)]] = True
+    return again[position]
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -306,28 +315,29 @@ def _sort_group(length: int):
     def sort(rows: pd.DataFrame) -> pd.DataFrame:
         """The runs of dealt rows; each span is of suffixes that repeat, with their bytes."""
         packer = zstandard.ZstdDecompressor()
-        names = [np.frombuffer(packer.decompress(x), "<u8") for x in rows["names"]]
-        size = rows["text"].map(zstandard.frame_content_size).sum()
-        parts = max(1, int(-(-size // SORT_BYTES)))
+        texts, keys, names, starts, manys = [], [], [], [], []
+        for row in rows.itertuples():
+            which, start, many = np.frombuffer(packer.decompress(row.place), "<i4").reshape(3, -1).astype(np.int64)
+            texts.append(np.frombuffer(packer.decompress(row.text), np.uint8))
+            keys.append(np.frombuffer(row.keys, "<i8")[which])
+            names.append(np.frombuffer(packer.decompress(row.names), "<u8"))
+            starts.append(start)
+            manys.append(many)
+        every, all_keys, name, all_starts, all_many = map(np.concatenate, (texts, keys, names, starts, manys))
+        del texts
+        all_size = all_many + length - 1
+        first = np.cumsum(all_size) - all_size
+        parts = max(1, int(-(-len(every) // min(SORT_BYTES, PART_BYTES))))
+        of = ((name >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[by], np.arange(parts + 1))
         spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in range(parts):
-            texts, keys, starts, manys = [], [], [], []
-            for k, row in enumerate(rows.itertuples()):
-                mine = np.flatnonzero((names[k] >> np.uint64(40)) % np.uint64(parts) == part)
-                if not len(mine):
-                    continue
-                which, start, many = np.frombuffer(packer.decompress(row.place), "<i4").reshape(3, -1).astype(np.int64)
-                size = many + length - 1
-                first = np.cumsum(size) - size
-                text = np.frombuffer(packer.decompress(row.text), np.uint8)
-                texts.append(text[_ragged(first[mine], size[mine])] if parts > 1 else text)
-                keys.append(np.frombuffer(row.keys, "<i8")[which[mine]])
-                starts.append(start[mine])
-                manys.append(many[mine])
-            if not texts:
+            mine = by[cuts[part] : cuts[part + 1]]
+            if not len(mine):
                 continue
-            text, key, start, many = map(np.concatenate, (texts, keys, starts, manys))
-            size = many + length - 1
+            key, start, many, size = all_keys[mine], all_starts[mine], all_many[mine], all_size[mine]
+            text = every[_ragged(first[mine], size)]
             found = repeated(text, np.cumsum(size) - size, many, length)
             owner = np.repeat(np.arange(len(many)), many)
             new = np.flatnonzero(found & ~(np.concatenate(([False], found[:-1])) & np.concatenate(([False], owner[1:] == owner[:-1]))))
@@ -351,7 +361,9 @@ def _hot_runs(length: int, hot: np.ndarray):
             if not len(row):
                 continue
             at, size = offsets[row] + start, many + length - 1
-            one, two = (Rolling(data, seed).at(at, size) for seed in (0, 1))
+            ends = np.cumsum(size)
+            own = data[_ragged(at, size)]
+            one, two = (Rolling(own, seed).at(ends - size, size) for seed in (0, 1))
             _, first, which, count = np.unique(one + mix(two), return_index=True, return_inverse=True, return_counts=True)
             key = batch.column("row_key").to_numpy()[row]
             once = count == 1
@@ -373,13 +385,22 @@ def _suffixes(length: int):
     """Name of each suffix of runs, 2 if the run has several places, and else the suffix's own place."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = np.frombuffer(batch.column("text")[k].as_py(), np.uint8)
-                at = np.arange(len(text) - length + 1)
+        for whole in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy()) if whole.num_rows else []
+            first = 0
+            while first < whole.num_rows:
+                last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + SLICE_BYTES, "right")))
+                batch, first = whole.slice(first, last - first), last
+                text = np.frombuffer(b"".join(batch.column("text").to_pylist()), np.uint8)
+                size = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+                many = size - length + 1
+                at = _ragged(np.cumsum(size) - size, many)
                 name, more = (Rolling(text, seed).at(at, np.int64(length)).view(np.int64) for seed in (0, 1))
-                n, key, start = (batch.column(c)[k].as_py() for c in ("n", "row_key", "start"))
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(more), pa.array(np.full(len(at), n)), pa.array([key] * len(at), pa.int64()), pa.array(at + (start or 0))], ["name", "more", "n", "row_key", "first"])
+                run = np.repeat(np.arange(len(many)), many)
+                within = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+                start = pc.fill_null(batch.column("start"), 0).to_numpy()
+                take = pa.array(run)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(more), batch.column("n").take(take), batch.column("row_key").take(take), pa.array(start[run] + within)], ["name", "more", "n", "row_key", "first"])
 
     return names
 

@@ -202,11 +202,11 @@ def test_byte_ranks_and_shared_bytes():
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(3, 12))) for _ in range(200)]
     text = np.frombuffer(b"".join(strings), np.uint8)
     size = np.array([len(x) for x in strings])
-    rank, shared = repeats.byte_ranks(text, np.cumsum(size) - size, size, 20)
+    rank, shared = repeats.byte_ranks(repeats._words(text), np.cumsum(size) - size, size, 24)
     order = np.argsort(rank)
     for a, b, n in zip(order, order[1:], shared[1:], strict=False):
         x, y = strings[a], strings[b]
-        assert x.ljust(20, b"\0") < y.ljust(20, b"\0") or (x.ljust(20, b"\0") == y.ljust(20, b"\0") and len(x) <= len(y))
+        assert x.ljust(24, b"\0") < y.ljust(24, b"\0") or (x.ljust(24, b"\0") == y.ljust(24, b"\0") and len(x) <= len(y))
         assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
 
 
