@@ -43,9 +43,10 @@ def usable(vector: Column) -> Column:
 
 def _distances(points: np.ndarray, to: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances of points[ids] (a row for each of `to`) to the rows of `to`; ids below 0: infinite."""
-    gap = points[ids] - to[:, None, :]
-    out = np.einsum("ijk,ijk->ij", gap, gap)
-    out[ids < 0] = np.inf
+    out = np.full(ids.shape, np.inf)
+    row, column = np.nonzero(ids >= 0)
+    gap = points[ids[row, column]] - to[row]
+    out[row, column] = np.einsum("ij,ij->i", gap, gap)
     return out
 
 
@@ -86,26 +87,36 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: np.ndarray, querie
     return ids[rows, np.arange(beam)], far
 
 
+#: Numbers in the tables of products that pruning makes at once.
+PRODUCTS = 1 << 21
+
+
 def robust_prune(points: np.ndarray, own: np.ndarray, options: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each point of own, up to `degree` of its options (-1: none), -1 behind them."""
+    rows_at_once = max(1, PRODUCTS // max(1, options.shape[1]) ** 2)
+    if len(own) > rows_at_once:
+        cuts = range(0, len(own), rows_at_once)
+        return np.concatenate([robust_prune(points, own[a : a + rows_at_once], options[a : a + rows_at_once], degree, alpha) for a in cuts])
     options = np.where(options == own[:, None], -1, options)
     options = np.sort(options, axis=1)
     options[:, 1:][options[:, 1:] == options[:, :-1]] = -1
     far = _distances(points, points[own], options)
     order = np.argsort(far, axis=1, kind="stable")
     options, far = np.take_along_axis(options, order, 1), np.take_along_axis(far, order, 1)
+    used = int(np.isfinite(far).sum(axis=1).max(initial=0))
+    options, far = options[:, :used], far[:, :used]
     vectors = points[options]
-    squares = np.einsum("ijk,ijk->ij", vectors, vectors)
+    products = vectors @ vectors.transpose(0, 2, 1)
+    squares = np.einsum("ijj->ij", products)
     kept = np.full((len(own), degree), -1)
     rows = np.arange(len(own))
-    for k in range(degree):
+    for k in range(degree if used else 0):
         first = far.argmin(axis=1)
         some = np.isfinite(far[rows, first])
         if not some.any():
             break
         kept[some, k] = options[rows, first][some]
-        chosen = vectors[rows, first]
-        gap = squares + squares[rows, first][:, None] - 2 * np.einsum("ijk,ik->ij", vectors, chosen)
+        gap = squares + squares[rows, first][:, None] - 2 * products[rows, first]
         far[(alpha * alpha * gap <= far) & some[:, None]] = np.inf
         far[rows, first] = np.inf
     return kept
@@ -209,7 +220,8 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
     size = F.size("vector").alias("size")
     everywhere = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), size, F.lit(1).alias("kind"), F.col("query_id").alias("id"), "vector")
     indexed = members.select(shard.alias("shard"), size, F.lit(0).alias("kind"), F.col("point").alias("id"), "vector")
-    dealt = indexed.unionByName(everywhere).repartition(shards, "shard", "size").sortWithinPartitions("shard", "size", "kind")
+    # by ranges of the shards' numbers, which a hash would throw together
+    dealt = indexed.unionByName(everywhere).repartitionByRange(shards, "shard", "size").sortWithinPartitions("shard", "size", "kind")
     candidates = dealt.mapInArrow(_search_shards(nearest, beam), "query_id long, point long")
     # only the points' vectors are fetched, and the queries' own
     scored = candidates.join(members, "point").join(asked.withColumnRenamed("vector", "_asked"), "query_id")
