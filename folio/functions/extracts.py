@@ -67,17 +67,26 @@ def title(text: Column) -> Column:
     t = text_or_empty(text)
     for pattern in BEFORE_TITLE:
         t = F.regexp_replace(t, pattern, "")
-    t = strip(t)
-    head = F.split(t, ascii_words(HEAD_END), 2)[0]
-    for pattern in HEAD_DATES:
-        head = F.regexp_replace(head, ascii_words(pattern), "")
-    head = strip(head)
-    cut = F.regexp_extract(head, CHINESE_TITLE, 1)
-    chinese = one_line(F.when(cut != "", cut).otherwise(head))
-    chinese = F.when(head.rlike("[一-鿿]") & F.length(chinese).between(2, 80), chinese)
-    found = [F.nullif(F.regexp_extract(t, ascii_words(p), 1), F.lit("")) for p in (CASED_TITLE, UPPER_TITLE)]
-    piece = F.filter(F.split(t, r"\s{2,}"), lambda s: (F.length(s) > 2) & (F.length(s) < 140))
-    return F.coalesce(chinese, *found, F.left(F.coalesce(F.get(piece, F.lit(0)), t), F.lit(100)))
+
+    def head_of(t: Column) -> Column:
+        head = F.split(t, ascii_words(HEAD_END), 2)[0]
+        for pattern in HEAD_DATES:
+            head = F.regexp_replace(head, ascii_words(pattern), "")
+        # only a head with Chinese in it is a title
+        return F.when(head.rlike("[一-鿿]"), strip(head))
+
+    def chosen(both: Column) -> Column:
+        t, head = both["t"], both["head"]
+        cut = F.regexp_extract(head, CHINESE_TITLE, 1)
+        chinese = one_line(F.when(cut != "", cut).otherwise(head))
+        chinese = F.when(F.length(chinese).between(2, 80), chinese)
+        found = [F.nullif(F.regexp_extract(t, ascii_words(p), 1), F.lit("")) for p in (CASED_TITLE, UPPER_TITLE)]
+        piece = F.filter(F.split(t, r"\s{2,}"), lambda s: (F.length(s) > 2) & (F.length(s) < 140))
+        return F.coalesce(chinese, *found, F.left(F.coalesce(F.get(piece, F.lit(0)), t), F.lit(100)))
+
+    # Bound to a variable, the text and its head are computed once rather than for each of their uses.
+    bound = F.transform(F.array(strip(t)), lambda t: F.struct(t.alias("t"), head_of(t).alias("head")))
+    return F.transform(bound, chosen)[0]
 
 
 def truncate_title(text: Column, most: int) -> Column:

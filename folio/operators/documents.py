@@ -57,18 +57,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.select("doc_id", "idx", F.concat(F.lit("c"), F.col("idx") + 1).alias("chunk_id"), F.length("text").cast("long").alias("chars"), X.block_type(F.col("text")).alias("type"), F.md5("text").alias("text_md5"))
 
 
-def row_terms(tokens: Column, limit: int) -> Column:
-    """Terms of one row by count, then length, then first place, as structs of term and n: counted within the row, without a shuffle."""
-    distinct = F.array_distinct(tokens)
-    counted = F.transform(distinct, lambda t: F.struct((-F.size(F.filter(tokens, lambda x: x == t))).alias("less"), (-F.length(t)).alias("shorter"), F.array_position(tokens, t).alias("first"), t.alias("term")))
-    return F.transform(F.slice(F.sort_array(counted), 1, limit), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("n")))
-
-
 def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of chunks. A chunk is short, so its terms are counted within its row."""
-    rows = chunked(table(spark, sf_dir, "documents")).select("doc_id", "idx", X.tokens(F.col("text")).alias("tokens"))
-    each = rows.select("doc_id", "idx", F.posexplode(row_terms(F.col("tokens"), 5)).alias("pos", "t"))
-    return each.select("doc_id", "idx", (F.col("pos") + 1).cast("long").alias("rank"), "t.term", "t.n")
+    # counted within each row by array functions it takes longer: 36 s at sf0.1 rather than 26
+    return term_counts(chunked(table(spark, sf_dir, "documents")), ["doc_id", "idx"], "text", 5)
 
 
 def structure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
