@@ -1,7 +1,7 @@
 """All queries of the document operators by name, and their SQL."""
 
-from folio.operators import documents, editing, extracts, pages, papers, records, search, structure
+from folio.operators import documents, editing, extracts, feeds, files, html, pages, papers, records, search, structure
 
-PARTS = (documents, records, structure, editing, extracts, pages, papers, search)
+PARTS = (documents, records, structure, editing, extracts, feeds, files, html, pages, papers, search, files, html, feeds)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
