@@ -1,4 +1,4 @@
-"""Queries over small tables of fixed rows, for texts that the shared tables have none of: Markdown, TeX, Chinese, dates, captions."""
+"""Queries over Markdown, TeX, Chinese words, dates and captions. The shared tables have none of these, so all documents are put into forms of them."""
 
 from __future__ import annotations
 
@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
-from folio.operators.documents import TYPE_SQL, _date_sql
+from folio.operators.documents import NORM, TYPE_SQL, _date_sql, table
 
 SEP, BODY = "›", "正文"
 #: The deepest level of headings.
 LEVELS = 4
+#: Where a form takes the text of a document.
+HOLE = "@@"
 MARKDOWN = [
-    (1, "# Title\nLead text.\n## 1 Intro\nWe start here.\n### 1.1 Goal\nA goal.\n#### 1.1.1 Deep\nDetail.\n## 2 Method\n图注：一张图\n$$x = y$$\nThe method."),
-    (2, "No heading at all.\nJust two lines."),
-    (3, "## A\n#### B\nb\n#### C\nc\n#### D\nd\n## A\nagain"),
-    (4, ""),
+    "# Title\n@@\n## 1 Intro\nWe start here.\n### 1.1 Goal\n@@\n#### 1.1.1 Deep\nDetail.\n## 2 Method\n图注：一张图\n$$x = y$$\nThe method.",
+    "@@\nJust two lines.",
+    "## A\n#### B\n@@\n#### C\nc\n#### D\nd\n## A\nagain",
+    "@@",
 ]
-BLOCKS = [(1, r"$$L = \sum_i \theta_i$$"), (2, "图注：模型结构"), (3, "表 2：结果"), (4, "A plain paragraph."), (5, "Figure 3 shows it"), (6, "- a\n- b\n- c"), (7, r"\frac{a}{b} and \sum x"), (8, "x\n|a|b|\ny"), (9, "")]
+BLOCKS = [r"$$L = @@ \theta_i$$", "图注：@@", "表 2：@@", "@@", "Figure 3 shows @@", "- a\n- b\n- @@", r"\frac{a}{b} and \sum x", "@@\n|a|b|\ny"]
 DATES = [(1, "2023年8月发布", "2026-01-15T00:00", "D:20170612101010", "+8%"), (2, "published 12 Jun 2017", "no", "x", "-10%"), (3, "on 2017-06", "1999-12", "D:20201231", "1.2"), (4, "nothing", "", "", "x")]
-TEX = [(1, "\\section{Intro}\nWe use \\emph{bold} ideas~\\cite{a,b}. % note\n\\subsection{More}\n\\caption{A figure}\n\\begin{equation}x=1\\end{equation}\n\\item one"), (2, "plain 50\\% text")]
+TEX = ["\\section{Intro}\n@@ We use \\emph{bold} ideas~\\cite{a,b}. % note\n\\subsection{More}\n\\caption{A figure}\n\\begin{equation}x=1\\end{equation}\n\\item @@", "@@ 50\\% text"]
 CAPTIONS = [("figs/model", "The model"), ("plot.png", "A plot")]
 FIGURES = [(1, "figs/model.pdf"), (2, "plot.png"), (3, "other.png")]
 PHRASES = ["真正", "首次", "不存在", "能够被", "被视为"]
-PHRASE_TEXTS = [(1, "真正的问题在于，真正关键的是首次做到。"), (2, "能够被视为"), (3, "")]
-MARKED = [(1, "## Head\n> quote\n- item\n**bold** and `code` and $x$"), (2, "plain")]
+PHRASE_TEXTS = ["真正的问题在于，@@真正关键的是首次做到。", "能够被视为@@", "@@"]
+MARKED = ["## @@\n> quote\n- item @@\n**bold** and `code` and $x$", "@@"]
 
 #: TeX rewritten in this order.
 TEX_RULES = [
@@ -49,6 +51,17 @@ def _values(rows: list[tuple], names: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
 
 
+def _formed(spark: SparkSession, sf_dir: str, forms: list[str], key: str = "id") -> DataFrame:
+    """All documents, their whole texts put into the forms in turn."""
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.pmod("doc_id", F.lit(len(forms))) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(key), F.replace(form, F.lit(HOLE), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _formed_sql(forms: list[str], key: str = "id") -> str:
+    cell = lambda v: "'" + v.replace("'", "''") + "'"
+    return f"(select doc_id {key}, replace([{', '.join(map(cell, forms))}][doc_id % {len(forms)} + 1], '{HOLE}', coalesce(text, '')) text from documents) v"
+
+
 def headed(lines: DataFrame, key: str) -> DataFrame:
     """Lines with the `path` of headings that each stands under. lines: key, pos, level (0: no heading) and title.
 
@@ -83,7 +96,7 @@ def section_blocks(rows: DataFrame) -> DataFrame:
 
 
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_blocks(_frame(spark, MARKDOWN, "doc_id long, text string"))
+    return section_blocks(_formed(spark, sf_dir, MARKDOWN, "doc_id"))
 
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +107,7 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, BLOCKS, "id long, text string").select("id", X.block_type(F.col("text")).alias("type"))
+    return _formed(spark, sf_dir, BLOCKS).select("id", X.block_type(F.col("text")).alias("type"))
 
 
 def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +122,7 @@ def tex_text(text: Column) -> Column:
 
 
 def tex_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, TEX, "id long, text string").select("id", tex_text(F.col("text")).alias("text"))
+    return _formed(spark, sf_dir, TEX).select("id", tex_text(F.col("text")).alias("text"))
 
 
 def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,17 +136,17 @@ def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _frame(spark, PHRASE_TEXTS, "id long, text string")
+    rows = _formed(spark, sf_dir, PHRASE_TEXTS)
     hits = F.array(*(F.struct(F.lit(p).alias("phrase"), n.alias("n")) for p, n in X.count_phrases(F.col("text"), PHRASES)))
     return rows.select("id", F.explode(hits).alias("h")).select("id", "h.phrase", "h.n").where("n > 0")
 
 
 def plain_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frame(spark, MARKED, "id long, text string").select("id", X.plain_markdown(F.col("text")).alias("text"))
+    return _formed(spark, sf_dir, MARKED).select("id", X.plain_markdown(F.col("text")).alias("text"))
 
 
-_BLOCKS_SQL = f"""with recursive v as (select * from {_values(MARKDOWN, 'doc_id, text')}),
-  l as (select doc_id, unnest(string_split(regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g'), chr(10))) line, unnest(range(len(string_split(regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g'), chr(10))))) pos from v),
+_BLOCKS_SQL = f"""with recursive v as (select * from {_formed_sql(MARKDOWN, 'doc_id')}),
+  l as (select doc_id, unnest(string_split(n, chr(10))) line, unnest(range(len(string_split(n, chr(10))))) pos from (select doc_id, {NORM.format(t='text')} n from v)),
   m as (select *, length(regexp_extract(line, '^(#{{2,4}})\\s+.+$', 1)) lv, trim(regexp_extract(line, '^#{{2,4}}\\s+(.+)$', 1)) title, regexp_matches(trim(line), '^图注[:：]') or regexp_matches(trim(line), '^\\$\\$.*\\$\\$\\s*$') alone from l),
   r as (select doc_id, pos, case when lv > 0 then [title] else []::varchar[] end st from m where pos = 0
     union all select m.doc_id, m.pos, case when lv > 0 then list_append(r.st[1:least(len(r.st), lv - 2)], title) else r.st end from r join m on m.doc_id = r.doc_id and m.pos = r.pos + 1),
@@ -151,7 +164,7 @@ def _chain(t: str, rules: list[tuple[str, str]]) -> str:
 def _phrase_sql() -> str:
     text, out = "text", []
     for p in sorted(PHRASES, key=lambda p: -len(p)):
-        out.append(f"select id, '{p}' phrase, ((length({text}) - length(replace({text}, '{p}', ''))) // {len(p)})::bigint n from {_values(PHRASE_TEXTS, 'id, text')}")
+        out.append(f"select id, '{p}' phrase, ((length({text}) - length(replace({text}, '{p}', ''))) // {len(p)})::bigint n from {_formed_sql(PHRASE_TEXTS)}")
         text = f"replace({text}, '{p}', repeat(chr(1), {len(p)}))"
     return "select * from (" + " union all ".join(out) + ") where n > 0"
 
@@ -161,12 +174,12 @@ QUERIES = {f.__name__: f for f in (markdown_blocks, markdown_sections, block_typ
 SQL = {
     "markdown_blocks": _BLOCKS_SQL + f"select doc_id::bigint doc_id, pos, path, {TYPE_SQL.format(t='text')} as type, text from k where text <> ''",
     "markdown_sections": _BLOCKS_SQL + f"select doc_id::bigint doc_id, 's' || row_number() over (partition by doc_id order by first_) section_id, path, len(string_split(path, '{SEP}'))::bigint as level, blocks, chars from (select doc_id, path, min(pos) first_, count(*)::bigint blocks, sum(length(text))::bigint chars from k where text <> '' group by all)",
-    "block_types": f"select id::bigint id, {TYPE_SQL.format(t='text')} as type from {_values(BLOCKS, 'id, text')}",
+    "block_types": f"select id::bigint id, {TYPE_SQL.format(t='text')} as type from {_formed_sql(BLOCKS)}",
     "date_forms": f"""select id::bigint id, {_date_sql('text')} as found, {_MONTH.format(t='iso', p='([0-9]{4})-([0-9]{2})')} as iso, {_MONTH.format(t='pdf', p='D:([0-9]{4})([0-9]{2})[0-9]{2}')} as pdf,
       case when rate like '%\\%' escape '\\' then 1 + replace(rate, '%', '')::double / 100 when try_cast(rate as double) is not null then rate::double else 1.0 end::double rate from {_values(DATES, 'id, text, iso, pdf, rate')}""",
-    "tex_to_text": f"select id::bigint id, regexp_replace(regexp_replace(regexp_replace({_chain('text', TEX_RULES)}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') as text from {_values(TEX, 'id, text')}",
+    "tex_to_text": f"select id::bigint id, regexp_replace(regexp_replace(regexp_replace({_chain('text', TEX_RULES)}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') as text from {_formed_sql(TEX)}",
     "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from {_values(CAPTIONS, 'ref, caption')}), f as (select num, regexp_extract(path, '([^/]*)$', 1) name from {_values(FIGURES, 'num, path')})
       select num::bigint num, coalesce(a.caption, b.caption, name) caption from f left join c a on a.ref = name left join c b on b.ref = regexp_replace(name, '\.[^.]*$', '')""",
     "phrase_hits": "select id::bigint id, phrase, n from (" + _phrase_sql() + ")",
-    "plain_markdown": "select id::bigint id, " + _chain("text", [(r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*]\s+", "• "), (r"\*\*([^*]+)\*\*", r"\1"), (r"`([^`]+)`", r"\1"), (r"\$([^$]+)\$", r"\1")]) + f" as text from {_values(MARKED, 'id, text')}",
+    "plain_markdown": "select id::bigint id, " + _chain("text", [(r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*]\s+", "• "), (r"\*\*([^*]+)\*\*", r"\1"), (r"`([^`]+)`", r"\1"), (r"\$([^$]+)\$", r"\1")]) + f" as text from {_formed_sql(MARKED)}",
 }
