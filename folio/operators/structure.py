@@ -22,8 +22,6 @@ MARKDOWN = [
 BLOCKS = [r"$$L = @@ \theta_i$$", "图注：@@", "表 2：@@", "@@", "Figure 3 shows @@", "- a\n- b\n- @@", r"\frac{a}{b} and \sum x", "@@\n|a|b|\ny"]
 DATES = [(1, "2023年8月发布", "2026-01-15T00:00", "D:20170612101010", "+8%"), (2, "published 12 Jun 2017", "no", "x", "-10%"), (3, "on 2017-06", "1999-12", "D:20201231", "1.2"), (4, "nothing", "", "", "x")]
 TEX = ["\\section{Intro}\n@@ We use \\emph{bold} ideas~\\cite{a,b}. % note\n\\subsection{More}\n\\caption{A figure}\n\\begin{equation}x=1\\end{equation}\n\\item @@", "@@ 50\\% text"]
-CAPTIONS = [("figs/model", "The model"), ("plot.png", "A plot")]
-FIGURES = [(1, "figs/model.pdf"), (2, "plot.png"), (3, "other.png")]
 PHRASES = ["真正", "首次", "不存在", "能够被", "被视为"]
 PHRASE_TEXTS = ["真正的问题在于，@@真正关键的是首次做到。", "能够被视为@@", "@@"]
 MARKED = ["## @@\n> quote\n- item @@\n**bold** and `code` and $x$", "@@"]
@@ -127,8 +125,11 @@ def tex_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A figure's caption by its file's name, or by that without its extension, or the name itself."""
-    captions, figures = _frame(spark, CAPTIONS, "ref string, caption string"), _frame(spark, FIGURES, "num long, path string")
-    captions = captions.withColumn("ref", F.regexp_extract("ref", "([^/]*)$", 1))
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    # a third of the captions name the file without its extension, a third with it, and a third are missing
+    ref = F.when(i % 3 == 0, F.concat(F.lit("figs/f"), i)).otherwise(F.concat(F.lit("f"), i, F.lit(".png")))
+    captions = docs.where(i % 3 < 2).select(F.regexp_extract(ref, "([^/]*)$", 1).alias("ref"), F.split("text", "\n")[0].alias("caption"))
+    figures = docs.select(i.alias("num"), F.concat(F.lit("figs/f"), i, F.when(i % 3 == 1, ".png").otherwise(".pdf")).alias("path"))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     rows = figures.select("num", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
     a, b = (captions.select(F.col("ref").alias(k), F.col("caption").alias(c)) for k, c in (("name", "by_name"), ("stem", "by_stem")))
@@ -178,7 +179,8 @@ SQL = {
     "date_forms": f"""select id::bigint id, {_date_sql('text')} as found, {_MONTH.format(t='iso', p='([0-9]{4})-([0-9]{2})')} as iso, {_MONTH.format(t='pdf', p='D:([0-9]{4})([0-9]{2})[0-9]{2}')} as pdf,
       case when rate like '%\\%' escape '\\' then 1 + replace(rate, '%', '')::double / 100 when try_cast(rate as double) is not null then rate::double else 1.0 end::double rate from {_values(DATES, 'id, text, iso, pdf, rate')}""",
     "tex_to_text": f"select id::bigint id, regexp_replace(regexp_replace(regexp_replace({_chain('text', TEX_RULES)}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') as text from {_formed_sql(TEX)}",
-    "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from {_values(CAPTIONS, 'ref, caption')}), f as (select num, regexp_extract(path, '([^/]*)$', 1) name from {_values(FIGURES, 'num, path')})
+    "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from (select case when doc_id % 3 = 0 then 'figs/f' || doc_id else 'f' || doc_id || '.png' end ref, string_split(text, chr(10))[1] caption from documents where doc_id % 3 < 2)),
+      f as (select doc_id num, regexp_extract('figs/f' || doc_id || case when doc_id % 3 = 1 then '.png' else '.pdf' end, '([^/]*)$', 1) name from documents)
       select num::bigint num, coalesce(a.caption, b.caption, name) caption from f left join c a on a.ref = name left join c b on b.ref = regexp_replace(name, '\.[^.]*$', '')""",
     "phrase_hits": "select id::bigint id, phrase, n from (" + _phrase_sql() + ")",
     "plain_markdown": "select id::bigint id, " + _chain("text", [(r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*]\s+", "• "), (r"\*\*([^*]+)\*\*", r"\1"), (r"`([^`]+)`", r"\1"), (r"\$([^$]+)\$", r"\1")]) + f" as text from {_formed_sql(MARKED)}",
