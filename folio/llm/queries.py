@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
+from folio.llm.alignment import op11_alignment
 from folio.llm.jaccard import OP4_SQL, op4_jaccard
 from folio.llm.language import op10_language
 from folio.llm.media import op6_media
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
 }
 SQL = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL}
