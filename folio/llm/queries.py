@@ -11,6 +11,7 @@ from folio.llm.personal import op7_personal
 from folio.llm.repeats import op3_repeats
 from folio.llm.sharding import op8_sharding
 from folio.llm.toxicity import op9_toxicity
+from folio.llm.urls import OP12_SQL, op12_urls
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
+    "op12_urls": op12_urls,
 }
-SQL = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL, "op12_urls": OP12_SQL}

@@ -53,7 +53,8 @@ def texts_of(df):
 def test_matches_sql(spark, name, tmp_path):
     QUERIES[name](spark, SF).write.parquet(str(tmp_path / "out"))
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     con.sql(f"create table want as {SQL[name]}")
     columns = ", ".join(r[0] for r in sorted(con.sql("describe want").fetchall()))
     con.sql(f"create table got as select {columns} from '{tmp_path}/out/*.parquet'")
