@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
 from folio.llm.alignment import op11_alignment
+from folio.llm.conversations import op13_conversations
 from folio.llm.jaccard import OP4_SQL, op4_jaccard
 from folio.llm.language import op10_language
 from folio.llm.media import op6_media
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
     "op12_urls": op12_urls,
+    "op13_conversations": op13_conversations,
 }
 SQL = {"op1_mixing": OP1_SQL, "op4_jaccard": OP4_SQL, "op12_urls": OP12_SQL}
