@@ -1,30 +1,47 @@
-"""Queries over the blocks of pages and the headings they stand under."""
+"""Queries over the trees of pages: their blocks under headings, and their articles. A page is worked on within its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import markup as M
+from folio.functions import articles as A
 from folio.operators.documents import table
-from folio.operators.structure import BODY, SEP
+
+_BLOCKS = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "type", "text")]))
+_ARTICLE = ["title", "byline", "excerpt", "text", "institution", "date"]
+#: Pages whose results a task holds at once.
+SLICE = 64
+
+
+def _each(make, kinds: list[pa.DataType]):
+    """A function over batches (key, html) that gives the key and what `make` makes of the page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = [make(html) for html in part.column(1).to_pylist()]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [str(k) for k in range(len(kinds) + 1)])
+
+    return run
 
 
 def blocks_of(rows: DataFrame, key: str) -> DataFrame:
-    """key, pos, path, type and text of each block of `html`. A heading ends those of its level and below; one of the first level before all content is the page's title."""
-    each = rows.select(key, F.posexplode(M.elements(F.col("html"))).alias("at", "element"))
-    tag = F.lower(F.regexp_extract("element", "^<([a-zA-Z0-9]+)", 1))
-    each = each.select(key, "at", tag.alias("tag"), "element").select(key, "at", "tag", F.posexplode(M.blocks(F.col("element"), F.col("tag"))).alias("part", "b"))
-    each = each.select(key, "at", "part", "tag", "b.type", "b.text").where(F.length("text") >= 2)
-    along = Window.partitionBy(key).orderBy("at", "part")
-    before = F.coalesce(F.sum((F.col("tag") != "h1").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = each.withColumn("before", before).where("tag <> 'h1' or before > 0")
-    heads = [F.last(F.when(F.col("tag") == f"h{k}", F.struct(F.struct("at", "part").alias("place"), "text")), ignorenulls=True).over(along) for k in range(1, 7)]
-    each = each.withColumns({f"h{k}": head for k, head in enumerate(heads, 1)})
-    # The last heading of a level stands unless one of a higher level came after it.
-    stands = [F.when(F.greatest(F.col(f"h{k}.place"), *(F.col(f"h{j}.place") for j in range(1, k))) == F.col(f"h{k}.place"), F.col(f"h{k}.text")) for k in range(2, 7)]
-    path = F.concat_ws(SEP, F.col("h1.text"), *stands)
-    return each.select(key, (F.row_number().over(along) - 1).cast("long").alias("pos"), F.when(path == "", BODY).otherwise(path).alias("path"), "type", "text")
+    """key, pos, path, type and text of each block of `html`."""
+    kind = rows.schema[key].dataType.simpleString()
+    lists = rows.select(key, "html").mapInArrow(_each(lambda html: (A.blocks(html),), [_BLOCKS]), f"`{key}` {kind}, blocks array<struct<path string, type string, text string>>")
+    return lists.select(key, F.posexplode("blocks").alias("pos", "b")).select(key, F.col("pos").cast("long").alias("pos"), "b.path", "b.type", "b.text")
+
+
+def articles_of(rows: DataFrame, key: str) -> DataFrame:
+    """key and title, byline, excerpt, text, institution and date of the article in `html`."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "html").mapInArrow(_each(lambda html: tuple(A.article(html)[c] for c in _ARTICLE), [pa.string()] * len(_ARTICLE)), f"`{key}` {kind}, " + ", ".join(f"{c} string" for c in _ARTICLE))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +49,10 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "pos", "path", "type", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-QUERIES = {"page_blocks": page_blocks}
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = articles_of(table(spark, sf_dir, "pages"), "page_id")
+    return rows.select("page_id", "title", "byline", F.md5("excerpt").alias("excerpt_md5"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"), "institution", "date", (F.length("text") >= 80).alias("enough"))
+
+
+QUERIES = {"page_blocks": page_blocks, "page_articles": page_articles}
 SQL: dict[str, str] = {}
