@@ -199,8 +199,10 @@ def equal_by_cover(where: np.ndarray, head: np.ndarray, rank: np.ndarray, shared
     least = _least_between(shared)
     found, own = np.zeros(len(where), bool), np.arange(len(where))
     while len(where):
-        group = np.cumsum(head) - 1
-        about = where[head][group]
+        # any member will do to split a group about; one picked by a hash splits it well whatever the order of the text
+        group, starts = np.cumsum(head) - 1, np.flatnonzero(head)
+        sizes = np.diff(np.append(starts, len(where))).astype(np.uint64)
+        about = where[starts + (mix(where[starts].astype(np.uint64)) % sizes).astype(np.int64)][group]
         shift = SHIFT[where % V, about % V]
         i, j = rank[where + shift], rank[about + shift]
         same = i == j
@@ -458,7 +460,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, the maximal `removed` spans of bytes and the bytes `kept` of each row's text."""
     rows = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     spans = checkpointed(repeat_spans(rows, length))
-    spans = spans.groupBy("row_key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    # equal rows share a key and have the same spans, each of which is kept once
+    spans = spans.groupBy("row_key").agg(F.collect_set(F.struct("first", "past")).alias("spans"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     joined = rows.join(spans, "row_key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_without, f"doc_id {kind}, n_bytes long, removed array<struct<first: long, past: long>>, kept binary")
