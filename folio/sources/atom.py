@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains
 
 from folio.sources.search import ABSTRACT, PDF
+from folio.sources.shared import file_system
 
 SCHEMA = "paper string, title string, published string, authors array<string>, category string, words string, url string, pdf_url string"
 ARROW = pa.schema([("paper", pa.string()), ("title", pa.string()), ("published", pa.string()), ("authors", pa.list_(pa.string())), ("category", pa.string()), ("words", pa.string()), ("url", pa.string()), ("pdf_url", pa.string())])
@@ -51,14 +52,6 @@ def parsed(entry: str) -> dict | None:
     return {"paper": paper, "title": title, "published": _inner(entry, "published")[:10], "authors": names, "category": unescape(category[1]) if category else "", "words": words, "url": ABSTRACT + paper, "pdf_url": PDF + paper}
 
 
-def store(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class FeedFile(InputPartition):
     path: str
@@ -102,14 +95,14 @@ class AtomReader(DataSourceReader):
     def partitions(self) -> list[FeedFile]:
         if self.nothing:
             return []
-        system, path = store(self.path)
+        system, path = file_system(self.path)
         folders = [x for x in system.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.Directory and x.base_name.startswith("day=") and self._asked(x.base_name[4:])]
         files = [f for folder in folders for f in system.get_file_info(fs.FileSelector(folder.path)) if f.type == fs.FileType.File and f.base_name.endswith((".xml", ".txt"))]
         return [FeedFile(f.path) for f in sorted(files, key=lambda f: f.path)]
 
     def _entries(self, path: str) -> Iterator[str]:
         held = b""
-        with store(self.path)[0].open_input_stream(path) as stream:
+        with file_system(self.path)[0].open_input_stream(path) as stream:
             while piece := stream.read(PIECE):
                 *whole, held = (held + piece).split(b"</entry>")
                 for part in whole:
