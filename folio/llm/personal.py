@@ -2,7 +2,8 @@
 
 The patterns' spans always stay. The field labels every word of every text from its shape, its first letters and the
 shapes beside it; it is trained on a small labelled table and decoded by Viterbi for many lines of words at once in numpy.
-A run of words that it labels alike becomes a further span where no pattern of that kind has one. Null text is empty.
+A run of words that it labels alike becomes a further span where no pattern has one and what it holds can be of its kind at all
+(`plausible`), which keeps links, versions, lists of numbers and the like out. Null text is empty.
 Offsets are in code points, ends exclusive.
 """
 
@@ -250,7 +251,7 @@ def train(texts: list[str], spans: list[list[tuple[int, int, int]]], epochs: int
     return field
 
 
-def labelled_table(rows: int = 400, seed: int = 7) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+def labelled_table(rows: int = 800, seed: int = 7) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
     """The small labelled table: lines of made-up words with made-up personal data, and its label, start and end in bytes."""
     random = np.random.default_rng(seed)
     pick = lambda letters, a, b: "".join(random.choice(list(letters), int(random.integers(a, b + 1))))
@@ -263,9 +264,41 @@ def labelled_table(rows: int = 400, seed: int = 7) -> tuple[list[str], list[list
             w = str(random.choice(["2.0.", pick(nums, 1, 5), "3.", "4.0", f"{pick(nums, 1, 2)}%", "CC", "BY-NC", f"{w}-{pick(low, 2, 6)}", "|", f"http://{w}.org/{pick(low, 2, 8)}", "=", f"({w})"]))
         return w + str(random.choice(["", ",", ".", "!!", "%%%", "&&&", "###", "***", "$$$"], p=[0.72, 0.06, 0.08, 0.03, 0.03, 0.02, 0.02, 0.02, 0.02]))
 
+    one = lambda *options: str(random.choice(options))
+
+    def clean() -> str:
+        """What looks like an item and is none: links, paths, code, sums, catalogue numbers, versions, dates, lists of numbers."""
+        name = lambda: pick(low, 2, 9)
+        number = lambda n: pick(nums, 1, n)
+        kind = int(random.integers(0, 13))
+        if kind == 0:
+            return one("", "(", "[") + one("http", "https") + f"://{name()}.{name()}.{one('com', 'org', 'io')}/{name()}/{name()}" + one("", f"-{number(4)}.html", f"#{name()}-{name()}", f"?{name()}={number(3)}&{name()}={name()}", "/)")
+        if kind == 1:
+            return f"[{name().capitalize()}](" + one(f"https://{name()}.{name()}.org/{name()}", f"#{name()}-{name()}-{name()}") + ")"
+        if kind == 2:
+            return one("./", "/", "") + f"{name()}/{name()}_{name()}/{name()}." + one("py", "md", "json", "txt", "cc")
+        if kind == 3:
+            return f"{name()}.{name()}({name()}" + one("", "='" + name() + "'", f"={number(3)}", ", ") + one(")", "))", ",")
+        if kind == 4:
+            return one("commit", "sha1", "sha256", "md5", "checksum", "revision", "digest") + one(" ", ": ", ":", "=") + pick(hexes, 32, 64)
+        if kind == 5:
+            return one("ISBN ", "ISBN: ", "ISBN-13 ") + f"978-{number(1)}-{pick(nums, 2, 5)}-{pick(nums, 3, 6)}-{number(1)}"
+        if kind == 6:
+            return one("", "v", ">=", "==", "~=") + f"{number(2)}.{number(2)}.{number(2)}" + one("", "rc1", ".dev0", "-beta")
+        if kind == 7:
+            return one(f"20{pick(nums, 2, 2)}-0{number(1)}-{pick(nums, 2, 2)}", f"{pick(nums, 2, 2)}:{pick(nums, 2, 2)}:{pick(nums, 2, 2)}", f"20{pick(nums, 2, 2)}-1{number(1)}-{pick(nums, 2, 2)}T{pick(nums, 2, 2)}:{pick(nums, 2, 2)}:{pick(nums, 2, 2)}Z")
+        if kind == 8:
+            return ", ".join(pick(nums, 1, 5) for _ in range(int(random.integers(2, 6))))
+        if kind == 9:
+            return f"{name()}-{name()}" + one("", f"-{name()}")
+        if kind == 10:
+            return f"{name()}{name().capitalize()}{name().capitalize()}" + one("", "Error", f".{name()}", f"<{name().capitalize()}>")
+        if kind == 11:
+            return f"{name()}_{name()}" + one("=", " = ", "=='") + one("True", "None", number(5), f"0x{pick(hexes, 2, 8)}", f"{number(2)}.{number(3)}")
+        return one(f"#{number(4)}", f"({name()}", f"{name()})", f"${number(3)}.{pick(nums, 2, 2)}", f"@{name()}", f"@{name()}/{name()}", f"No. {number(6)}", f"{number(3)}x{number(3)}")
+
     def item() -> tuple[int, str]:
         kind = int(random.integers(1, 10))
-        one = lambda *options: str(random.choice(options))
         if kind == 1:
             return 1, f"{pick(low, 3, 10)}.{pick(nums, 1, 2)}@" + one(f"mail{pick(nums, 1, 1)}.example.com", f"{pick(low, 3, 8)}.{pick(low, 2, 3)}")
         if kind == 2:
@@ -290,7 +323,8 @@ def labelled_table(rows: int = 400, seed: int = 7) -> tuple[list[str], list[list
     for _ in range(rows):
         parts, own, size = [], [], 0
         for _ in range(int(random.integers(3, 20))):
-            label, part = item() if random.random() < 0.12 else (0, word())
+            draw = random.random()
+            label, part = item() if draw < 0.12 else (0, clean()) if draw < 0.27 else (0, word())
             if label:
                 own.append((label, size, size + len(part)))
                 part += str(random.choice(["", ".", ",", "###", "%%%", "!!"], p=[0.6, 0.1, 0.1, 0.1, 0.05, 0.05]))
@@ -335,6 +369,46 @@ def field_spans(field: Field, text: pa.Array) -> list[list[tuple[int, int, int]]
     return out
 
 
+_CARD_FORMS = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
+_PHONE_FORMS = re.compile(r"(?<![\w.])\+?[(]?[0-9][0-9 ().-]*[0-9](?![\w])")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}")
+_NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)[a-z_]*[\"']?\s*[=:]\s*[\"']?([^\s\"']{8,})")
+_KEY = re.compile(r"[A-Za-z0-9+=_-]{12,}")
+_ISSUED = re.compile(r"(?<![A-Z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Z0-9])")
+_SUM_BEFORE = re.compile(r"(?i)(?:commit|rev(?:ision)?|sha-?[0-9]*|md5|checksum|digest|hash(?:es)?)[\s:=\"'(]*\Z")
+
+
+def plausible(kind: int, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The spans within a labelled run that can be of its kind: an address has an @, numbers have their digits, a secret is named
+    as one or mixes letters and digits as no word, link or path does."""
+    piece = text[start:end]
+    if KINDS[kind] == "email":
+        return [(kind, start, end)] if "@" in piece.strip("@") and " " not in piece else []
+    if KINDS[kind] == "ip":
+        return [(kind, start + m.start(), start + m.end()) for m in re.finditer(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.])", piece)]
+    if KINDS[kind] == "card":
+        return [(kind, start + m.start(), start + m.end()) for m in _CARD_FORMS.finditer(piece)]
+    if KINDS[kind] == "phone":
+        forms = [m for m in _PHONE_FORMS.finditer(piece) if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and not m[0].isdigit() and not _DATE.search(m[0]) and not re.search(r"^[0-9.]+$| {2}", m[0])]
+        return [(kind, start + m.start(), start + m.end()) for m in forms]
+    if "://" in piece or "](" in piece:
+        return []
+    if (named := _NAMED.search(piece)) and any(c.isdigit() for c in named[1]):
+        return [(kind, start, end)]
+    if _ISSUED.search(piece):
+        return [(kind, start, end)]
+    if re.fullmatch("[0-9a-f]+", piece) and _SUM_BEFORE.search(text[max(0, start - 16) : start]):
+        return []
+    for m in _KEY.finditer(piece):
+        digits, letters = sum(c.isdigit() for c in m[0]), sum(c.isalpha() for c in m[0])
+        # letters and digits alternate more often in keys than in words with a number behind them
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(m[0], m[0][1:], strict=False))
+        cases = sum(a.isupper() != b.isupper() for a, b in zip(m[0], m[0][1:], strict=False))
+        if (digits >= 3 and letters >= 3 and turns >= 4) or (len(m[0]) >= 20 and 3 * (cases + turns) >= len(m[0])):
+            return [(kind, start, end)]
+    return []
+
+
 def _added(base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """base and those found that overlap none of base, by kind and start."""
     taken = sorted((a, b) for _, a, b in base)
@@ -348,10 +422,10 @@ def _finder(shared, name: str):
         for batch in text_slices(batches):
             text = batch.column("text")
             more = field_spans(shared.value, text)
-            lists, base_n = [], []
+            lists = []
             for t, found in zip(text.to_pylist(), more, strict=True):
                 base = base_spans(t)
-                base_n.append(len(base))
+                found = [s for k, a, b in found for s in plausible(k, t, a, b)]
                 mine = {(k, a) for k, a, _ in base}
                 lists.append([{"kind": KINDS[k], "start": a, "end": b, "base": (k, a) in mine} for k, a, b in _added(base, found)])
             spans = pa.array(lists, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))

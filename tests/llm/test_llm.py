@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -454,6 +455,48 @@ def test_field_on_lines_of_other_forms():
     assert sum(map(bool, personal.field_spans(field, pa.array(CLEAN)))) == 0
 
 
+def added(field, texts):
+    """What the field adds to the patterns' spans, as kind and text."""
+    out = []
+    for text, found in zip(texts, personal.field_spans(field, pa.array(texts)), strict=True):
+        base = personal.base_spans(text)
+        kept = personal._added(base, [s for k, a, b in found for s in personal.plausible(k, text, a, b)])
+        out.append([(personal.KINDS[k], text[a:b]) for k, a, b in kept if (k, a, b) not in base])
+    return out
+
+
+def test_little_is_added_to_prose_that_nobody_shaped():
+    """Licences and the descriptions of installed packages: under one span in 10,000 characters."""
+    from importlib.metadata import distribution
+
+    import public_tokenizers
+
+    with open(os.path.join(os.path.dirname(public_tokenizers.__file__), "LICENSES.txt")) as file:
+        texts = [file.read()]
+    texts += [distribution(name).read_text("METADATA") or "" for name in ("pyspark", "numpy", "pandas", "tiktoken", "regex", "sentencepiece", "pytest", "hypothesis", "tokenizers")]
+    field = personal.train(*personal.labelled_table())
+    assert sum(map(len, added(field, texts))) < sum(map(len, texts)) / 10_000
+    # secrets of other forms are found in the midst of it
+    mixed = [text[:2000] + "\n" + line + "\n" + text[2000:4000] for text, line in zip(texts, FOREIGN, strict=False)]
+    assert sum(any(kind == "secret" and len(t) >= 16 for kind, t in own) for own in added(field, mixed)) >= len(mixed) - 2
+
+
+def test_links_numbers_and_sums_stay():
+    lines = [
+        "See https://example.org/a/b-2024/index.html?x=1 and ISBN 978-3-16-148410-0, commit 9fceb02d0ae598e95dc970b74767f19372d61af8.",
+        "[Foundation](https://www.example.org/foundation-2) of 2002-10-27 04:30:00, (ends with extra), interface-compatible",
+        "sha256: e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 and v2.31.0rc1, 1216, 1220, 1221",
+        *CLEAN,
+    ]
+    assert added(personal.train(*personal.labelled_table()), lines) == [[]] * len(lines)
+
+
+def test_neighbouring_cards_are_kept_apart():
+    card = personal.KINDS.index("card")
+    text = "4123456789012345 4123456789012346, 4123-4567-8901-2345"
+    assert [text[a:b] for _, a, b in personal.plausible(card, text, 0, len(text))] == ["4123456789012345", "4123456789012346", "4123-4567-8901-2345"]
+
+
 def test_viterbi_of_long_lines_is_the_plain_one():
     rng = np.random.default_rng(1)
     n = len(personal.LABELS)
