@@ -32,12 +32,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     bounded_batches(spark)
     columns = docs.columns
+    # maps have no hash, but a text
+    values = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
     # hashes pass over nulls, so they are told where these are
-    rows = docs.withColumn("_row", F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)))
+    rows = docs.withColumn("_row", F.xxhash64(*values, *(v.isNull() for v in values)))
     groups = jaccard.similarity_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     keep = groups.distinct().join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("class_id").agg(first).select("first._row")
-    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
