@@ -191,3 +191,18 @@ def count_phrases(text: Column, phrases: list[str]) -> list[tuple[str, Column]]:
         out.append((p, count_phrase(t, p)))
         t = F.replace(t, F.lit(p), F.lit("\x01" * len(p)))
     return out
+
+
+def terms_of(text: Column, limit: int) -> Column:
+    """The most frequent terms within a text, by count, then length, then first place: runs of its sorted tokens, no shuffle."""
+
+    def counted(sorted_: Column) -> Column:
+        size = F.size(sorted_)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(sorted_, i)["term"] != F.get(sorted_, i - 1)["term"]))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size))
+        runs = F.zip_with(starts, ends, lambda a, b: F.struct((a - b).alias("n"), (-F.length(F.get(sorted_, a)["term"])).alias("size"), F.get(sorted_, a)["pos"].alias("pos"), F.get(sorted_, a)["term"].alias("term")))
+        return F.transform(F.slice(F.array_sort(runs), 1, limit), lambda r: r["term"])
+
+    placed = F.array_sort(F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    # bound once; an array without tokens has no runs
+    return F.flatten(F.transform(F.filter(F.array(placed), lambda s: F.size(s) > 0), counted))
