@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from folio.functions import editing as E
 from folio.operators import documents
 from folio.operators.documents import hits_of, hits_sql, quoted, rules_sql, table
-from folio.operators.structure import _values
+from folio.operators.structure import _formed, _formed_sql, before_texts
 
-TYPOGRAPHY = [(1, '使用GPU训练"模型"3次'), (2, "见`GPU训练`与https://example.com/a训练 \"x\""), (3, "```\n\"a\"中b\n``` 'q' ![图a](b\"c\") 中1"), (4, "")]
+TYPOGRAPHY = ['使用GPU训练"模型"3次', "见`GPU训练`与https://example.com/a训练 \"x\"", "```\n\"a\"中b\n``` 'q' ![图a](b\"c\") 中1", ""]
 WORDS = [
-    (1, "真正的问题在于，真正关键的是首次做到。SOTA 与最强，被认为是被认为"),
-    (2, "需要被认为是。随着不仅能更能闭环闭环\n\n> ## 标题\n- 希望对你有帮助，见[里程碑](http://a.b)"),
-    (3, "```\n随着\n```\n## 首次\n$$赋能$$ the best method and ranking"),
-    (4, ""),
+    "真正的问题在于，真正关键的是首次做到。SOTA 与最强，被认为是被认为",
+    "需要被认为是。随着不仅能更能闭环闭环\n\n> ## 标题\n- 希望对你有帮助，见[里程碑](http://a.b)",
+    "```\n随着\n```\n## 首次\n$$赋能$$ the best method and ranking",
+    "",
 ]
-INSTITUTIONS = [(1, "Google Research and Google, Stanford University"), (2, "在google工作 a.b@mit.edu Email: x 北京大学，清华大学 University of Old York"), (3, "none"), (4, "OpenAI openai IBM Intel Apple")]
+INSTITUTIONS = ["Google Research and Google, Stanford University", "在google工作 a.b@mit.edu Email: x 北京大学，清华大学 University of Old York", "none", "OpenAI openai IBM Intel Apple"]
 
 # Limits of each profile, and how grave it is to pass them.
 PROFILES = {
@@ -37,7 +37,7 @@ def typography(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typography_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TYPOGRAPHY, "id long, text string").select("id", E.typography(F.col("text")).alias("text"))
+    return _formed(spark, sf_dir, before_texts(TYPOGRAPHY)).select("id", E.typography(F.col("text")).alias("text"))
 
 
 def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def institution_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(INSTITUTIONS, "id long, text string").select("id", E.institutions(F.col("text")).alias("institutions"))
+    return _formed(spark, sf_dir, before_texts(INSTITUTIONS)).select("id", E.institutions(F.col("text")).alias("institutions"))
 
 
 def word_hit_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits_of(spark.createDataFrame(WORDS, "id long, text string"), "id")
+    return hits_of(_formed(spark, sf_dir, before_texts(WORDS)), "id")
 
 
 def warned(metrics: DataFrame) -> DataFrame:
@@ -98,10 +98,10 @@ _WARNED = f"""with m as ({documents.SQL["style_metrics"]}), v as (unpivot (selec
 QUERIES = {f.__name__: f for f in (typography, typography_forms, institutions, institution_forms, word_hit_forms, style_warnings, style_reports)}
 SQL = {
     "typography": f"select doc_id, length(t)::bigint chars, md5(t) text_md5 from {_typography_sql('doc_id', 'documents')}",
-    "typography_forms": f"select id::bigint id, t as text from {_typography_sql('id', _values(TYPOGRAPHY, 'id, text'))}",
+    "typography_forms": f"select id::bigint id, t as text from {_typography_sql('id', _formed_sql(before_texts(TYPOGRAPHY)))}",
     "institutions": _institutions_sql("doc_id", "documents", "{t}"),
-    "institution_forms": _institutions_sql("id", _values(INSTITUTIONS, "id, text"), f"substr({{t}}, 1, {E.FRONT})"),
-    "word_hit_forms": hits_sql(_values(WORDS, "id, text"), "id"),
+    "institution_forms": _institutions_sql("id", _formed_sql(before_texts(INSTITUTIONS)), f"substr({{t}}, 1, {E.FRONT})"),
+    "word_hit_forms": hits_sql(_formed_sql(before_texts(WORDS)), "id"),
     "style_warnings": _WARNED + "select * from w where value > bound",
     "style_reports": _WARNED + "select doc_id, profile, (count(*) filter (value > bound))::bigint warnings, coalesce(not bool_or(value > bound and level = 'warn'), true) ok from w group by all",
 }

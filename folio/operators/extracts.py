@@ -7,34 +7,37 @@ from pyspark.sql import functions as F
 
 from folio.functions import extracts as X
 from folio.operators.documents import quoted, rules_sql, table
-from folio.operators.structure import _values
+from folio.operators.structure import HOLE, _formed, _formed_sql, before_texts, nth, nth_sql
 
-TERMS = [(1, "We use BLEU and RL on Vision Transformer"), (2, "在GPU上 The Vision transformer VISION bleu A B Étude Paper Deep Learning"), (3, "")]
+TERMS = ["We use BLEU and RL on Vision Transformer", "在GPU上 The Vision transformer VISION bleu A B Étude Paper Deep Learning", ""]
 HEADS = [
-    (1, "arXiv:1706.03762v7 [cs.CL] 2 Aug 2023 Attention Is All You Need Ashish Vaswani"),
-    (2, "递归循环 Transformer Recurrent Looped Transformer Yifan Zhang a@b.c 2024年1月2日 摘要"),
-    (3, "LARGE MODELS FOR EVERYONE by us"),
-    (4, "a short piece  and more of it"),
-    (5, "中文标题 2024-01-02 abstract rest"),
-    (6, ""),
+    "arXiv:1706.03762v7 [cs.CL] 2 Aug 2023 Attention Is All You Need Ashish Vaswani",
+    "递归循环 Transformer Recurrent Looped Transformer Yifan Zhang a@b.c 2024年1月2日 摘要",
+    "LARGE MODELS FOR EVERYONE by us",
+    "a short piece  and more of it",
+    "中文标题 2024-01-02 abstract rest",
+    "",
 ]
-TITLES = [(1, "Attention Is All You Need", 10), (2, "深度学习模型：方法与应用", 7), (3, "Short", 20), (4, "Supercalifragilistic", 5), (5, "  A  b, c", 2), (6, "", 3)]
+TITLES = [("Attention Is All You Need", 10), ("深度学习模型：方法与应用", 7), ("Short", 20), ("Supercalifragilistic", 5), ("  A  b, c", 2), ("", 3)]
 SUMMARIES = [
-    (1, "## 一句话总结\n 很好的模型。真的！后面\n## 背景\n旧\n### 结果\n好\n\n## 论文链接\nhttps://x.y/z"),
-    (2, "## 📖 背景\n## 局限与结论\n见 https://github.com/arXiv/html_feedback 和 https://github.com/a/b-c\n链接：https://x.y"),
-    (3, "text\n\nhttps://x.y/z \n"),
-    (4, ""),
+    "## 一句话总结\n 很好的模型。真的！后面\n## 背景\n旧\n### 结果\n好\n\n## 论文链接\nhttps://x.y/z",
+    "## 📖 背景\n## 局限与结论\n见 https://github.com/arXiv/html_feedback 和 https://github.com/a/b-c\n链接：https://x.y",
+    "text\n\nhttps://x.y/z \n",
+    "",
 ]
+#: Answers with JSON in them; the words of a document stand in it or beside it.
 ANSWERS = [
-    (1, '{"title": "a"}'),
-    (2, 'Sure!\n```json\n{"title": "b", "list": [1, 2,],}\n```\nDone'),
-    (3, 'Here {"title": "c"} it is'),
-    (4, "List: [1, 2, 3,] end"),
-    (5, "no json, {broken"),
-    (6, ""),
-    (7, '{"title": "d"} {"title": "e"}'),
-    (8, '{"title": "f\ng"}'),
+    '{"title": "a @@"}',
+    'Sure!\n```json\n{"title": "b @@", "list": [1, 2,],}\n```\nDone',
+    'Here {"title": "c"} it is @@',
+    "List: [1, 2, 3,] end @@",
+    "no json, {broken @@",
+    "@@",
+    '{"title": "d @@"} {"title": "e"}',
+    '{"title": "f\ng", "text": "@@"}',
 ]
+#: What isn't a plain word or stop may mean something in JSON.
+NO_WORDS = "[^A-Za-z0-9 .]"
 
 
 def named_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def named_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = spark.createDataFrame(TERMS, "id long, text string").select("id", F.posexplode(X.terms(F.col("text"))).alias("pos", "term"))
+    each = _formed(spark, sf_dir, before_texts(TERMS)).select("id", F.posexplode(X.terms(F.col("text"))).alias("pos", "term"))
     return each.select("id", F.col("pos").cast("long").alias("pos"), "term")
 
 
@@ -52,7 +55,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(HEADS, "id long, text string").select("id", X.title(F.col("text")).alias("title"))
+    return _formed(spark, sf_dir, before_texts(HEADS)).select("id", X.title(F.col("text")).alias("title"))
 
 
 def short_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,19 +65,24 @@ def short_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_title_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(TITLES, "id long, text string, most long")
-    by_most = F.coalesce(*(F.when(F.col("most") == n, X.truncate_title(F.col("text"), n)) for n in sorted({n for *_, n in TITLES})))
+    """Titles of all documents behind titles of several kinds, each cut to a length of its own."""
+    texts, most = map(list, zip(*TITLES, strict=True))
+    rows = _formed(spark, sf_dir, before_texts(texts)).withColumn("most", nth(most, "id"))
+    by_most = F.coalesce(*(F.when(F.col("most") == n, X.truncate_title(F.col("text"), n)) for n in sorted(set(most))))
     return rows.select("id", by_most.alias("title"))
 
 
 def summary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    rows = spark.createDataFrame(SUMMARIES, "id long, text string")
+    rows = _formed(spark, sf_dir, before_texts(SUMMARIES))
     return rows.select("id", X.with_signs(t).alias("signed"), X.without_link(t).alias("bare"), X.summary_line(t).alias("summary"), X.first_sentences(t, 2).alias("lead"), X.code_address(t).alias("code"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spark.createDataFrame(ANSWERS, "id long, text string").select("id", X.loose_json(F.col("text")).alias("json"))
+    """The JSON in answers that hold the words of all documents."""
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), NO_WORDS, " ")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.replace(nth(ANSWERS), F.lit(HOLE), words).alias("text"))
+    found = rows.select("id", X.loose_json(F.col("text")).alias("json"))
     return found.select("id", "json", F.get_json_object("json", "$.title").alias("title"))
 
 
@@ -116,17 +124,18 @@ def _lead_sql(n: int) -> str:
 _CODE = f"coalesce(list_filter(regexp_extract_all(coalesce(text, ''), {quoted(X.CODE_ADDRESS)}), lambda u: not regexp_matches(u, {quoted(X.NO_CODE)}))[1], '')"
 #: DuckDB takes a comma before a closing bracket for valid JSON, which it isn't.
 _TIDY = r"regexp_replace(regexp_replace(p, ',\s*([}\]])', '\1', 'g'), '[\x00-\x1f]+', ' ', 'g')"
+_ANSWERS = f"(select doc_id id, replace({nth_sql(ANSWERS)}, '{HOLE}', regexp_replace(coalesce(text, ''), '{NO_WORDS}', ' ', 'g')) as text from documents)"
 QUERIES = {f.__name__: f for f in (named_terms, term_forms, titles, title_forms, short_titles, short_title_forms, summary_forms, answers)}
 SQL = {
     "named_terms": _terms_sql("documents", "doc_id"),
-    "term_forms": _terms_sql(_values(TERMS, "id, text"), "id"),
+    "term_forms": _terms_sql(_formed_sql(before_texts(TERMS)), "id"),
     "titles": _titles_sql("documents", "doc_id"),
-    "title_forms": _titles_sql(_values(HEADS, "id, text"), "id"),
+    "title_forms": _titles_sql(_formed_sql(before_texts(HEADS)), "id"),
     "short_titles": _short_sql("documents", "doc_id", "20", f", md5({_lead_sql(2)}) lead_md5, {_CODE} code").replace("range(1, length(t) + 1)", "range(1, least(length(t), 50) + 1)"),
-    "short_title_forms": _short_sql(_values(TITLES, "id, text, most"), "id", "most"),
+    "short_title_forms": _short_sql(_formed_sql(before_texts([t for t, _ in TITLES]), more=f", {nth_sql([n for _, n in TITLES])} most"), "id", "most").replace("range(1, length(t) + 1)", "range(1, least(length(t), 50) + 1)"),
     "summary_forms": f"""select id::bigint id, {rules_sql("text", [(rf"(#{{2,3}}\s*){name}", f"$1{sign} {name}") for name, sign in X.SIGNS])} signed, regexp_replace({rules_sql("text", [(p, "") for p in X.LINK_ENDS])}, '\\s+$', '') bare,
-      trim(regexp_extract(text, {quoted(X.SUMMARY)}, 1)) summary, {_lead_sql(2)} lead, {_CODE} code from {_values(SUMMARIES, "id, text")}""",
-    "answers": rf"""with c as (select id, unnest([t, regexp_replace(regexp_extract(t, '(?i)```(?:json)?\s*([\s\S]*?)```', 1), '{X.EDGES}', '', 'g'), regexp_extract(t, '\{{[\s\S]*\}}'), regexp_extract(t, '\[[\s\S]*\]')]) p, unnest(range(4)) i from (select id, regexp_replace(text, '{X.EDGES}', '', 'g') t from {_values(ANSWERS, "id, text")})),
+      trim(regexp_extract(text, {quoted(X.SUMMARY)}, 1)) summary, {_lead_sql(2)} lead, {_CODE} code from {_formed_sql(before_texts(SUMMARIES))}""",
+    "answers": rf"""with c as (select id, unnest([t, regexp_replace(regexp_extract(t, '(?i)```(?:json)?\s*([\s\S]*?)```', 1), '{X.EDGES}', '', 'g'), regexp_extract(t, '\{{[\s\S]*\}}'), regexp_extract(t, '\[[\s\S]*\]')]) p, unnest(range(4)) i from (select id, regexp_replace(text, '{X.EDGES}', '', 'g') t from {_ANSWERS})),
       v as (select id, p, 2 * i i from c union all select id, {_TIDY}, 2 * i + 1 from c), f as (select id, arg_min(p, i) j from v where json_valid(p) and not regexp_matches(p, ',\s*[}}\]]') group by id)
-      select a.id::bigint id, j as json, case when json_valid(j) then json_extract_string(j, '$.title') end title from {_values(ANSWERS, "id, text").replace(" v(", " a(")} left join f using (id)""",
+      select a.id::bigint id, j as json, case when json_valid(j) then json_extract_string(j, '$.title') end title from {_ANSWERS} a left join f using (id)""",
 }

@@ -20,7 +20,8 @@ MARKDOWN = [
     "@@",
 ]
 BLOCKS = [r"$$L = @@ \theta_i$$", "图注：@@", "表 2：@@", "@@", "Figure 3 shows @@", "- a\n- b\n- @@", r"\frac{a}{b} and \sum x", "@@\n|a|b|\ny"]
-DATES = [(1, "2023年8月发布", "2026-01-15T00:00", "D:20170612101010", "+8%"), (2, "published 12 Jun 2017", "no", "x", "-10%"), (3, "on 2017-06", "1999-12", "D:20201231", "1.2"), (4, "nothing", "", "", "x")]
+#: Texts, and what stands for dates and rates beside them.
+DATES = [("2023年8月发布\n@@", "2026-01-15T00:00@@", "D:20170612101010@@", "+8%"), ("@@ published 12 Jun 2017", "no @@", "x @@", "-10%"), ("on 2017-06, @@", "@@ 1999-12", "@@ D:20201231", "1.2"), ("@@", "@@", "@@", "x")]
 TEX = ["\\section{Intro}\n@@ We use \\emph{bold} ideas~\\cite{a,b}. % note\n\\subsection{More}\n\\caption{A figure}\n\\begin{equation}x=1\\end{equation}\n\\item @@", "@@ 50\\% text"]
 PHRASES = ["真正", "首次", "不存在", "能够被", "被视为"]
 PHRASE_TEXTS = ["真正的问题在于，@@真正关键的是首次做到。", "能够被视为@@", "@@"]
@@ -40,24 +41,36 @@ TEX_RULES = [
 ]
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def nth(values: list, key: str = "doc_id") -> Column:
+    """The values in turn, by the key."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
-def _values(rows: list[tuple], names: str) -> str:
+def nth_sql(values: list, key: str = "doc_id") -> str:
     cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
+    return f"[{', '.join(map(cell, values))}][{key} % {len(values)} + 1]"
+
+
+def before_texts(forms: list[str]) -> list[str]:
+    """Forms that stand before a text, on lines of their own."""
+    return [form + "\n" + HOLE for form in forms]
 
 
 def _formed(spark: SparkSession, sf_dir: str, forms: list[str], key: str = "id") -> DataFrame:
     """All documents, their whole texts put into the forms in turn."""
-    form = F.element_at(F.array(*map(F.lit, forms)), (F.pmod("doc_id", F.lit(len(forms))) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(key), F.replace(form, F.lit(HOLE), F.coalesce("text", F.lit(""))).alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(key), filled(forms).alias("text"))
+
+
+def filled(forms: list[str]) -> Column:
+    return F.replace(nth(forms), F.lit(HOLE), F.coalesce("text", F.lit("")))
+
+
+def _formed_sql(forms: list[str], key: str = "id", more: str = "") -> str:
+    return f"(select doc_id {key}, {filled_sql(forms)} as text{more} from documents) v"
 
 
-def _formed_sql(forms: list[str], key: str = "id") -> str:
-    cell = lambda v: "'" + v.replace("'", "''") + "'"
-    return f"(select doc_id {key}, replace([{', '.join(map(cell, forms))}][doc_id % {len(forms)} + 1], '{HOLE}', coalesce(text, '')) text from documents) v"
+def filled_sql(forms: list[str]) -> str:
+    return f"replace({nth_sql(forms)}, '{HOLE}', coalesce(text, ''))"
 
 
 def headed(lines: DataFrame, key: str) -> DataFrame:
@@ -109,7 +122,9 @@ def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _frame(spark, DATES, "id long, text string, iso string, pdf string, rate string")
+    """Dates of all documents with dates in several forms put beside their texts, and rates."""
+    texts, isos, pdfs, rates = zip(*DATES, strict=True)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[filled(list(c)).alias(name) for name, c in (("text", texts), ("iso", isos), ("pdf", pdfs))], nth(list(rates)).alias("rate"))
     return rows.select("id", X.first_date(F.col("text")).alias("found"), X.iso_month(F.col("iso")).alias("iso"), X.pdf_month(F.col("pdf")).alias("pdf"), X.rate(F.col("rate")).alias("rate"))
 
 
@@ -177,7 +192,7 @@ SQL = {
     "markdown_sections": _BLOCKS_SQL + f"select doc_id::bigint doc_id, 's' || row_number() over (partition by doc_id order by first_) section_id, path, len(string_split(path, '{SEP}'))::bigint as level, blocks, chars from (select doc_id, path, min(pos) first_, count(*)::bigint blocks, sum(length(text))::bigint chars from k where text <> '' group by all)",
     "block_types": f"select id::bigint id, {TYPE_SQL.format(t='text')} as type from {_formed_sql(BLOCKS)}",
     "date_forms": f"""select id::bigint id, {_date_sql('text')} as found, {_MONTH.format(t='iso', p='([0-9]{4})-([0-9]{2})')} as iso, {_MONTH.format(t='pdf', p='D:([0-9]{4})([0-9]{2})[0-9]{2}')} as pdf,
-      case when rate like '%\\%' escape '\\' then 1 + replace(rate, '%', '')::double / 100 when try_cast(rate as double) is not null then rate::double else 1.0 end::double rate from {_values(DATES, 'id, text, iso, pdf, rate')}""",
+      case when rate like '%\\%' escape '\\' then 1 + replace(rate, '%', '')::double / 100 when try_cast(rate as double) is not null then rate::double else 1.0 end::double rate from (select doc_id id, {filled_sql([d[0] for d in DATES])} as text, {filled_sql([d[1] for d in DATES])} as iso, {filled_sql([d[2] for d in DATES])} as pdf, {nth_sql([d[3] for d in DATES])} as rate from documents)""",
     "tex_to_text": f"select id::bigint id, regexp_replace(regexp_replace(regexp_replace({_chain('text', TEX_RULES)}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') as text from {_formed_sql(TEX)}",
     "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from (select case when doc_id % 3 = 0 then 'figs/f' || doc_id else 'f' || doc_id || '.png' end ref, string_split(text, chr(10))[1] caption from documents where doc_id % 3 < 2)),
       f as (select doc_id num, regexp_extract('figs/f' || doc_id || case when doc_id % 3 = 1 then '.png' else '.pdf' end, '([^/]*)$', 1) name from documents)
