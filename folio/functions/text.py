@@ -170,10 +170,26 @@ def paper_id(url: Column) -> Column:
     return F.regexp_extract(text_or_empty(url), r"([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?", 1)
 
 
+# Rules that take marks of Markdown away, in this order. Lines end at LF alone.
+_BLANK = r"[ \t\f\x0B\u00a0]"
+PLAIN_MARKDOWN = [
+    ("\r\n?", "\n"),
+    (rf"(?md)^{_BLANK}*#{{1,4}}{_BLANK}+", ""),
+    (rf"(?md)^{_BLANK}*>{_BLANK}?", ""),
+    (rf"(?md)^{_BLANK}*[-*]{_BLANK}+", "• "),
+    (rf"(?md)^{_BLANK}*[0-9]+[.)]{_BLANK}+", ""),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"`([^`]+)`", "$1"),
+    (r"\$\$([^$]+?)\$\$", "$1"),
+    (r"\$([^$\n]+?)\$", "$1"),
+    (r"^[ \t\n\r\f\x0B\u00a0]+|[ \t\n\r\f\x0B\u00a0]+\z", ""),
+]
+
+
 def plain_markdown(text: Column) -> Column:
-    """Headings, quotes, list marks, emphasis and code marks removed."""
+    """Headings of up to four signs, quotes, list marks and numbers, emphasis, code and formula marks removed."""
     t = text_or_empty(text)
-    for pattern, by in ((r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*]\s+", "• "), (r"\*\*([^*]+)\*\*", "$1"), (r"`([^`]+)`", "$1"), (r"\$([^$]+)\$", "$1")):
+    for pattern, by in PLAIN_MARKDOWN:
         t = F.regexp_replace(t, pattern, by)
     return t
 

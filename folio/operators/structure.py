@@ -22,22 +22,41 @@ MARKDOWN = [
 BLOCKS = [r"$$L = @@ \theta_i$$", "图注：@@", "表 2：@@", "@@", "Figure 3 shows @@", "- a\n- b\n- @@", r"\frac{a}{b} and \sum x", "@@\n|a|b|\ny"]
 #: Texts, and what stands for dates and rates beside them.
 DATES = [("2023年8月发布\n@@", "2026-01-15T00:00@@", "D:20170612101010@@", "+8%"), ("@@ published 12 Jun 2017", "no @@", "x @@", "-10%"), ("on 2017-06, @@", "@@ 1999-12", "@@ D:20201231", "1.2"), ("@@", "@@", "@@", "x")]
-TEX = ["\\section{Intro}\n@@ We use \\emph{bold} ideas~\\cite{a,b}. % note\n\\subsection{More}\n\\caption{A figure}\n\\begin{equation}x=1\\end{equation}\n\\item @@", "@@ 50\\% text"]
+TEX = [
+    "\\documentclass[11pt]{article}\n  % a note\n\\begin{document}\n\\title{A \\textbf{bold} title}\\begin{abstract}\nShort @@ here.\n\\end{abstract}\n\\section{Intro} % more\nWe use \\emph{it}~\\cite{a,b}, \\citep{c} and \\eqref{d}; 50\\% of it.\n\n\n\n\\subsection*{More}\\label{s}\n\\subsubsection{Most}\n\\paragraph{Point} said",
+    "\\begin{figure}[t]\n\\centering\n\\includegraphics[width=2cm]{figs/a.png}\n\\caption{A figure of @x@}\n\\end{figure}\n\\begin{itemize}\n\\item @@\n\\item[b] two {\\small words}\n\\end{itemize}\n\\href{http://a.b/c}{link} and \\url{http://d.e}",
+    "\\begin{equation}x=1\\end{equation}\n\\begin{align*}\na &= b \\\\\n\\end{align*}\n\\begin{gather}c\\end{gather}\\begin{eqnarray}d\\end{eqnarray}\n\\[ e = f \\] with \\( g \\) and \\& \\_ \\# \\{ \\} \\\\ \\alpha \\foo*[x]{kept} \\@bar{@@}\\footnote{gone}",
+    "@@ 50\\% text %%% gone\n\n% line",
+]
 PHRASES = ["真正", "首次", "不存在", "能够被", "被视为"]
 PHRASE_TEXTS = ["真正的问题在于，@@真正关键的是首次做到。", "能够被视为@@", "@@"]
-MARKED = ["## @@\n> quote\n- item @@\n**bold** and `code` and $x$", "@@"]
+MARKED = ["## @@\r\n  ### two\r> quote\n  > more\n- item @@\n  * star\n12. ten\n 3) three\n##### five stays\n**bold\nover** and `code` and $x$ and $$y\nz$$ and $ a\nb $ \n", "@@", "  @@  ", "#### @@\n1.no\n-no\n$$@@$$"]
 
-#: TeX rewritten in this order.
+# Rules that make TeX text, in this order. Lines end at LF alone.
 TEX_RULES = [
-    (r"(?m)(^|[^\\])%.*$", r"\1"),
-    (r"\\section\*?\{([^}]*)\}", r"## \1"),
-    (r"\\subsection\*?\{([^}]*)\}", r"#### \1"),
-    (r"\\caption\{([^}]*)\}", r"图注：\1"),
-    (r"(?s)\\begin\{equation\*?\}(.*?)\\end\{equation\*?\}", r"$$\1$$"),
-    (r"\\item\s*", "- "),
-    (r"~?\\(?:cite|ref|label)[a-z]*\{[^}]*\}", ""),
-    (r"\\(?:emph|textbf|textit|texttt)\{([^}]*)\}", r"\1"),
-    (r"\\([%&_#$])", r"\1"),
+    (r"(?md)^\s*%[^\n]*$", ""),
+    (r"(?md)(^|[^\\])%[^\n]*$", "$1"),
+    (r"\\(?:sub)+section\*?\{([^{}]*)\}", "\n\n#### $1\n"),
+    (r"\\section\*?\{([^{}]*)\}", "\n\n## $1\n"),
+    (r"\\paragraph\*?\{([^{}]*)\}", "\n\n**$1**："),
+    (r"\\caption\*?\{([^{}]*)\}", "\n图注：$1\n"),
+    (r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", "\n\n## 摘要\n$1\n"),
+    (r"(?s)\\begin\{(equation|equation\*|align|align\*|gather|gather\*|eqnarray)\}(.*?)\\end\{\1\}", "\n\n\\$$2\\$\n\n"),
+    (r"(?s)\\\[(.*?)\\\]", "\n\n\\$$1\\$\n"),
+    (r"\\\(([^\n]*?)\\\)", " \\$$1\\$ "),
+    (r"\\item\s*", "\n- "),
+    (r"\\includegraphics(?:\[[^\]]*\])?\{([^}]*)\}", "（图：$1）"),
+    (r"\\href\{([^}]*)\}\{([^}]*)\}", "$2（$1）"),
+    (r"\\(?:textbf|textit|emph|texttt|textrm|textsc|textsf|mbox|mathrm|mathbf|mathit|operatorname|url)\s*", ""),
+    (r"\\(?:label|ref|eqref|autoref|cite|citep|citet|nocite|bibliography|bibliographystyle|footnote|thanks|vspace|hspace|noindent|centering|small|large|footnotesize|tiny|bigskip|medskip|smallskip|newpage|clearpage|index|protect|makeatletter|makeatother)\*?(?:\[[^\]]*\])?(?:\{[^{}]*\})?", ""),
+    (r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?", "\n"),
+    (r"\\[a-zA-Z@]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", "$1"),
+    (r"\\[a-zA-Z@]+\*?(?:\[[^\]]*\])?", " "),
+    (r"\\([\\%&_#{}])", "$1"),
+    (r"[{}]", ""),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"^[ \t\n\r\f\x0B\u00a0]+|[ \t\n\r\f\x0B\u00a0]+\z", ""),
 ]
 
 
@@ -129,9 +148,11 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tex_text(text: Column) -> Column:
+    """TeX as text: headings, captions, lists and formulas keep marks, commands go."""
+    text = X.text_or_empty(text)
     for pattern, by in TEX_RULES:
-        text = F.regexp_replace(text, pattern, by.replace("$", "\\$").replace(r"\1", "$1"))
-    return X.normalize_text(text)
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def tex_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,12 +192,40 @@ _BLOCKS_SQL = f"""with recursive v as (select * from {_formed_sql(MARKDOWN, 'doc
 """
 
 
-def _chain(t: str, rules: list[tuple[str, str]]) -> str:
-    for pattern, by in rules:
-        t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+def _steps(t: str, steps: list[tuple[str, str]]) -> str:
+    """Rewriting in SQL; a replacement's line feeds are chr(10)."""
+    for pattern, by in steps:
+        pattern, by = ("'" + x.replace("'", "''") + "'" for x in (pattern, by))
+        by = by.replace("\n", "' || chr(10) || '")
+        t = f"regexp_replace({t}, {pattern}, {by}, 'g')"
     return t
 
 
+def _tex_sql() -> str:
+    """As in the survey: 1-2 comments, 3 headings, 4-6 paragraphs, captions, abstract, 7-9 formulas, 10-12 lists, pictures and links,
+    13-16 commands that go with or without their argument, 17-18 any other command, 19-20 escapes and braces, then blanks. RE2 has no
+    look-behind and no references, so each kind of formula is a step."""
+    formulas = [(rf"(?s)\\begin\{{{name}\}}(.*?)\\end\{{{name}\}}", "\n\n$\\1$\n\n") for name in ("equation", r"equation\*", "align", r"align\*", "gather", r"gather\*", "eqnarray")]
+    style = "textbf textit emph texttt textrm textsc textsf mbox mathrm mathbf mathit operatorname url".split()
+    gone = "label ref eqref autoref cite citep citet nocite bibliography bibliographystyle footnote thanks vspace hspace noindent centering small large footnotesize tiny bigskip medskip smallskip newpage clearpage index protect makeatletter makeatother".split()
+    steps = [(r"(?m)^\s*%.*$", ""), (r"(?m)(^|[^\\])%.*$", r"\1")]
+    steps += [(r"\\(?:sub){1,}section[*]?\{([^{}]*)\}", "\n\n#### \\1\n"), (r"\\section[*]?\{([^{}]*)\}", "\n\n## \\1\n")]
+    steps += [(r"\\paragraph[*]?\{([^{}]*)\}", "\n\n**\\1**："), (r"\\caption[*]?\{([^{}]*)\}", "\n图注：\\1\n"), (r"(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}", "\n\n## 摘要\n\\1\n")]
+    steps += formulas + [(r"(?s)\\\[(.*?)\\\]", "\n\n$\\1$\n"), (r"\\\((.*?)\\\)", " $\\1$ ")]
+    steps += [(r"\\item\s*", "\n- "), (r"\\includegraphics(?:\[[^\]]*\])?\{([^}]*)\}", "（图：\\1）"), (r"\\href\{([^}]*)\}\{([^}]*)\}", "\\2（\\1）")]
+    steps += [(rf"\\(?:{'|'.join(style)})\s*", ""), (rf"\\(?:{'|'.join(gone)})[*]?(?:\[[^\]]*\])?(?:\{{[^{{}}]*\}})?", ""), (r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?", "\n")]
+    steps += [(r"\\[a-zA-Z@]+[*]?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1"), (r"\\[a-zA-Z@]+[*]?(?:\[[^\]]*\])?", " "), (r"\\([\\%&_#{}])", r"\1"), ("[{}]", "")]
+    return _steps("text", [*steps, ("[ \t]+", " "), ("\\n{3,}", "\n\n"), (r"^[ \t\n\r\f\v\x{00a0}]+|[ \t\n\r\f\v\x{00a0}]+$", "")])
+
+
+def _marked_sql() -> str:
+    """Line by line: heading of one to four signs, quote, item, number; then bold, code, and two kinds of formulas over the whole."""
+    blank = r"[ \t\f\v\x{00a0}]"
+    by_line = _steps("line", [(rf"^{blank}*#{{1,4}}{blank}+", ""), (rf"^{blank}*>{blank}?", ""), (rf"^{blank}*[-*]{blank}+", "• "), (rf"^{blank}*[0-9]+[.)]{blank}+", "")])
+    lines = f"array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda line: {by_line}), chr(10))"
+    return _steps(lines, [(r"\*\*([^*]+)\*\*", r"\1"), ("`([^`]+)`", r"\1"), (r"\$\$([^$]+?)\$\$", r"\1"), (r"\$([^$\n]+?)\$", r"\1"), (r"^[ \t\n\r\f\v\x{00a0}]+|[ \t\n\r\f\v\x{00a0}]+$", "")])
+
+
 def _phrase_sql() -> str:
     text, out = "text", []
     for p in sorted(PHRASES, key=lambda p: -len(p)):
@@ -193,10 +242,10 @@ SQL = {
     "block_types": f"select id::bigint id, {TYPE_SQL.format(t='text')} as type from {_formed_sql(BLOCKS)}",
     "date_forms": f"""select id::bigint id, {_date_sql('text')} as found, {_MONTH.format(t='iso', p='([0-9]{4})-([0-9]{2})')} as iso, {_MONTH.format(t='pdf', p='D:([0-9]{4})([0-9]{2})[0-9]{2}')} as pdf,
       case when rate like '%\\%' escape '\\' then 1 + replace(rate, '%', '')::double / 100 when try_cast(rate as double) is not null then rate::double else 1.0 end::double rate from (select doc_id id, {filled_sql([d[0] for d in DATES])} as text, {filled_sql([d[1] for d in DATES])} as iso, {filled_sql([d[2] for d in DATES])} as pdf, {nth_sql([d[3] for d in DATES])} as rate from documents)""",
-    "tex_to_text": f"select id::bigint id, regexp_replace(regexp_replace(regexp_replace({_chain('text', TEX_RULES)}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') as text from {_formed_sql(TEX)}",
+    "tex_to_text": f"select id::bigint id, {_tex_sql()} as text from {_formed_sql(TEX)}",
     "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from (select case when doc_id % 3 = 0 then 'figs/f' || doc_id else 'f' || doc_id || '.png' end ref, string_split(text, chr(10))[1] caption from documents where doc_id % 3 < 2)),
       f as (select doc_id num, regexp_extract('figs/f' || doc_id || case when doc_id % 3 = 1 then '.png' else '.pdf' end, '([^/]*)$', 1) name from documents)
       select num::bigint num, coalesce(a.caption, b.caption, name) caption from f left join c a on a.ref = name left join c b on b.ref = regexp_replace(name, '\.[^.]*$', '')""",
     "phrase_hits": "select id::bigint id, phrase, n from (" + _phrase_sql() + ")",
-    "plain_markdown": "select id::bigint id, " + _chain("text", [(r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^\s*[-*]\s+", "• "), (r"\*\*([^*]+)\*\*", r"\1"), (r"`([^`]+)`", r"\1"), (r"\$([^$]+)\$", r"\1")]) + f" as text from {_formed_sql(MARKED)}",
+    "plain_markdown": f"select id::bigint id, {_marked_sql()} as text from {_formed_sql(MARKED)}",
 }
