@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import articles as A
+from folio.functions.addresses import resolve
 from folio.operators.documents import table
 
 _BLOCKS = pa.list_(pa.struct([(c, pa.string()) for c in ("path", "type", "text")]))
@@ -54,5 +55,18 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "title", "byline", F.md5("excerpt").alias("excerpt_md5"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"), "institution", "date", (F.length("text") >= 80).alias("enough"))
 
 
-QUERIES = {"page_blocks": page_blocks, "page_articles": page_articles}
+#: Ways to write a link, of which a page's links take one each in turn.
+FORMS = ["{}", ".{}", "..{}", "../..{}/./x/../", "?q={}", "#{}", "//other.example{}", "g:{}", "a/..{}"]
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, written in several ways and resolved against its page's address."""
+    links = F.regexp_extract_all("html", F.lit(r'(?i)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(links).alias("pos", "href"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.pmod(F.col("page_id") + F.col("pos"), F.lit(len(FORMS))) + 1).cast("int"))
+    rows = rows.select("page_id", F.col("pos").cast("long").alias("pos"), "url", F.replace(form, F.lit("{}"), F.col("href")).alias("reference"))
+    return rows.select("page_id", "pos", "reference", resolve(F.col("url"), F.col("reference")).alias("address"))
+
+
+QUERIES = {"page_blocks": page_blocks, "page_articles": page_articles, "page_links": page_links}
 SQL: dict[str, str] = {}
