@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators.documents import table
-from folio.operators.search import _ID, _ONE_LINE, LINES, feeds, hit_papers, work_papers
+from folio.operators.search import _ID, _ONE_LINE, feeds, hit_papers, work_papers
 from folio.sources import search as S
 
 # Classes of an edition's title and names, and how many names are kept.
@@ -84,10 +84,10 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BARE = r"trim(regexp_replace(regexp_replace({t}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 QUERIES = {"search_cascade": search_cascade, "page_meta": page_meta}
 SQL = {
-    "search_cascade": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))[1:{LINES}]) line, unnest(range({LINES})) k from documents),
+    "search_cascade": f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) k from documents),
       atom as (select doc_id, {_ID.format(i="doc_id + k")} paper, {_ONE_LINE.format(t="line")} title from l where line is not null and {_ONE_LINE.format(t="line")} <> ''),
-      work as (select doc_id, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="string_split(text, chr(10))[1]")} title from documents where doc_id % 3 < 2 and text is not null),
-      hit as (select doc_id, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="coalesce(string_split(text, chr(10))[1], '')")} title from documents where doc_id % 2 = 0),
+      work as (select doc_id, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="text")} title from documents where doc_id % 3 < 2 and text is not null),
+      hit as (select doc_id, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="coalesce(text, '')")} title from documents where doc_id % 2 = 0),
       r as (select *, 0 k from atom where doc_id % 4 = 0 union all select *, 1 from atom where doc_id % 8 = 1 union all select *, 2 from work union all select *, 3 from hit),
       b as (select *, min(k) over (partition by doc_id) best from r), c as (select doc_id, k, count(*) n, min((paper, title)) f from b where k = best group by all)
       select d.doc_id, {list(STEPS)}[k + 1] source, coalesce(n, 0)::bigint n_papers, f[1] paper, md5(f[2]) title_md5,

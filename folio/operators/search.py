@@ -9,7 +9,6 @@ from folio.functions import text as X
 from folio.operators.documents import table
 from folio.sources import search as S
 
-LINES = 3
 MOST_RESULTS = 60
 DAYS = 30
 # A script is long enough with so many characters or scenes, and how long its title may be.
@@ -26,11 +25,11 @@ def _own_id(i: Column) -> Column:
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as Atom feeds: an entry for each of the first lines, by authors named by their first words."""
-    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, LINES)
+    """All documents as Atom feeds: an entry for each line, by authors named by its words."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def entry(line: Column, k: Column) -> Column:
-        names = F.transform(F.slice(F.split(line, " "), 1, 5), lambda w: F.concat(F.lit("<author><name>"), w, F.lit("</name></author>")))
+        names = F.transform(F.split(line, " "), lambda w: F.concat(F.lit("<author><name>"), w, F.lit("</name></author>")))
         return F.concat(
             F.lit("<entry>\n<id>http://arxiv.org/abs/"), _own_id(F.col("doc_id") + k), F.lit("v"), k + 1, F.lit("</id>\n<published>"), _day(F.col("doc_id")), F.lit("T01:02:03Z</published>\n<title>"), line, F.lit("\n  </title>"), F.array_join(names, "\n"), F.lit("</entry>")
         )
@@ -50,13 +49,13 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda a, b: F.struct(a.alias("landing_page_url"), b.alias("pdf_url"))
     work = F.struct(
         F.when(third == 0, F.concat(F.lit("https://doi.org/10.48550/arXiv."), _own_id(i))).otherwise(F.lit("https://doi.org/10.1/x")).alias("doi"),
-        F.when(third == 1, F.split("text", "\n")[0]).alias("display_name"),
-        F.split("text", "\n")[0].alias("title"),
+        F.when(third == 1, F.col("text")).alias("display_name"),
+        F.col("text").alias("title"),
         F.when(i % 7 > 0, _day(i)).alias("publication_date"),
         F.array(place(F.lit("https://example.org/a"), none), place(none, F.when(third == 1, F.concat(F.lit("http://arxiv.org/pdf/"), _own_id(i), F.lit("v2"))))).alias("locations"),
-        F.transform(F.slice(F.split("text", " "), 1, 4), lambda w: F.struct(F.struct(w.alias("display_name")).alias("author"))).alias("authorships"),
+        F.transform(F.split("text", " "), lambda w: F.struct(F.struct(w.alias("display_name")).alias("author"))).alias("authorships"),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(work).alias("work"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.to_json(work).alias("work"))
 
 
 def work_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,7 @@ def work_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recent_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest papers of each source among its works of the last DAYS before its newest one, or among all if it has none that is recent; MOST_RESULTS at most."""
-    rows = work_papers(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows = works(spark, sf_dir).select("doc_id", "source", S.work_paper(F.col("work")).alias("p")).where("p is not null").select("doc_id", "source", "p.paper", "p.published")
     newest = rows.agg(F.max("published")).select(F.date_format(F.date_sub(F.col("max(published)").cast("date"), DAYS), "yyyy-MM-dd").alias("since"))
     marked = rows.crossJoin(F.broadcast(newest)).withColumn("recent", S.recent_or_any(F.col("published"), F.col("since")))
     some = marked.groupBy(F.col("source").alias("_source")).agg(F.max("recent").alias("any"))
@@ -76,8 +75,8 @@ def recent_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hit_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    names = F.transform(F.slice(F.split("text", " "), 1, 4), lambda w: F.struct(w.alias("name")))
-    hit = F.struct(F.split("text", "\n")[0].alias("title"), F.when(i % 5 > 0, _day(i)).alias("publicationDate"), names.alias("authors"), F.struct(F.when(i % 2 == 0, F.concat(_own_id(i), F.lit("v1"))).alias("ArXiv")).alias("externalIds"))
+    names = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("name")))
+    hit = F.struct(F.col("text").alias("title"), F.when(i % 5 > 0, _day(i)).alias("publicationDate"), names.alias("authors"), F.struct(F.when(i % 2 == 0, F.concat(_own_id(i), F.lit("v1"))).alias("ArXiv")).alias("externalIds"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.to_json(hit).alias("hit"))
     return rows.select("doc_id", S.hit_paper(F.col("hit")).alias("p")).where("p is not null").select("doc_id", "p.*")
 
@@ -130,21 +129,21 @@ _ID = "'24' || lpad((({i}) % 12 + 1)::varchar, 2, '0') || '.' || lpad((({i}) % 1
 _DAY = "'2024-' || lpad((({i}) % 12 + 1)::varchar, 2, '0') || '-' || lpad((({i}) % 28 + 1)::varchar, 2, '0')"
 _ONE_LINE = r"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
 _URLS = f"'{S.ABSTRACT}' || paper url, '{S.PDF}' || paper pdf_url"
-_AUTHORS = f"array_to_string(list_filter(string_split({{t}}, ' ')[1:{{n}}], lambda w: w <> '')[1:{S.MOST_AUTHORS}], ', ')"
-_WORKS = f"""works as (select doc_id, source, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="string_split(text, chr(10))[1]")} title, case when doc_id % 7 > 0 then {_DAY.format(i="doc_id")} else '' end published, {_AUTHORS.format(t="text", n=4)} authors
+_AUTHORS = f"array_to_string(list_filter(string_split({{t}}, ' '), lambda w: w <> '')[1:{S.MOST_AUTHORS}], ', ')"
+_WORKS = f"""works as (select doc_id, source, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="text")} title, case when doc_id % 7 > 0 then {_DAY.format(i="doc_id")} else '' end published, {_AUTHORS.format(t="text")} authors
   from documents where doc_id % 3 < 2 and text is not null)"""
 _SCENES = """a as (select conv_id, turn, trim(coalesce(text, '')) narration, case when turn % 3 < 2 then turn end fig from conversations where trim(coalesce(text, '')) <> ''),
   b as (select a.conv_id, row_number() over (partition by a.conv_id order by turn) - 1 pos, narration, case when exists (select 1 from conversations f where f.conv_id = a.conv_id and f.turn = a.fig and f.role = 'user') then fig end figure from a)"""
 QUERIES = {f.__name__: f for f in (atom_papers, work_papers, recent_papers, hit_papers, scene_visuals, scripts)}
 SQL = {
-    "atom_papers": f"""with a as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))[1:{LINES}]) line, unnest(range({LINES})) k from documents),
-      b as (select doc_id, k, line, {_ID.format(i="doc_id + k")} paper, {_ONE_LINE.format(t="line")} title, {_DAY.format(i="doc_id")} published, {_AUTHORS.format(t="line", n=5)} authors from a where line is not null)
+    "atom_papers": f"""with a as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) k from documents),
+      b as (select doc_id, k, line, {_ID.format(i="doc_id + k")} paper, {_ONE_LINE.format(t="line")} title, {_DAY.format(i="doc_id")} published, {_AUTHORS.format(t="line")} authors from a where line is not null)
       select doc_id, row_number() over (partition by doc_id order by k) - 1 pos, paper, title, published, authors, {_URLS} from b where title <> ''""",
     "work_papers": f"with {_WORKS} select doc_id, paper, title, published, authors, {_URLS} from works",
     "recent_papers": f"""with {_WORKS}, m as (select *, published = '' or published >= strftime((select max(published) from works)::date - interval {DAYS} day, '%Y-%m-%d') recent from works),
       n as (select *, bool_or(recent) over (partition by source) any_ from m)
       select source, rank, doc_id, paper, published from (select *, row_number() over (partition by source order by published desc, doc_id desc) rank from n where recent or not any_) where rank <= {MOST_RESULTS}""",
-    "hit_papers": f"""with a as (select doc_id, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="coalesce(string_split(text, chr(10))[1], '')")} title, case when doc_id % 5 > 0 then {_DAY.format(i="doc_id")} else '' end published, {_AUTHORS.format(t="coalesce(text, '')", n=4)} authors from documents where doc_id % 2 = 0)
+    "hit_papers": f"""with a as (select doc_id, {_ID.format(i="doc_id")} paper, {_ONE_LINE.format(t="coalesce(text, '')")} title, case when doc_id % 5 > 0 then {_DAY.format(i="doc_id")} else '' end published, {_AUTHORS.format(t="coalesce(text, '')")} authors from documents where doc_id % 2 = 0)
       select doc_id, paper, title, published, authors, {_URLS} from a""",
     "scene_visuals": f"""with {_SCENES}, p as (select conv_id, count(*) filter (role = 'assistant') pages from conversations where conv_id % 3 = 0 group by conv_id),
       c as (select b.*, max(pos) over (partition by b.conv_id) last_, coalesce(pages, 0) pages from b left join p using (conv_id)),
