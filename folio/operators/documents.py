@@ -68,7 +68,7 @@ def structure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("term"))
+    terms = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("term"))
     return terms.groupBy(F.trim("term").alias("term")).agg(F.count("*").cast("long").alias("n"))
 
 
@@ -294,7 +294,7 @@ SQL = {
     "chunks": _CHUNKS + f"select doc_id, idx::bigint idx, 'c' || (idx + 1) chunk_id, length(text)::bigint chars, {TYPE_SQL.format(t='text')} as type, md5(text) text_md5 from chunk",
     "chunk_terms": _CHUNKS + _terms_sql("chunk", "doc_id, idx", 5),
     "structure_stats": _CHUNKS + "select doc_id, count(*)::bigint chunk_count, sum(length(text))::bigint chars, max(length(text))::bigint longest from chunk group by doc_id",
-    "glossary": f"select term, count(*)::bigint n from (select unnest({_TOKENS.format(t='text')}) term from benchmark) group by term",
+    "glossary": f"select term, count(*)::bigint n from (select unnest({_TOKENS.format(t='text')}) term from documents) group by term",
     "related": f"""with a as ({_terms_sql('benchmark', 'item_id', TOP_TERMS)}), b as ({_terms_sql('documents', 'doc_id', TOP_TERMS)}),
       w as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(left(string_split(coalesce(text, ''), chr(10))[1], {TITLE_CHARS})), '[^a-z0-9一-鿿]+'), lambda w: length(w) >= 3))) word from benchmark),
       t as (select doc_id, lower(left(string_split(coalesce(text, ''), chr(10))[1], {TITLE_CHARS})) title from documents),

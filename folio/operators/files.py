@@ -138,12 +138,15 @@ def main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edition_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The authors of all documents as HTML editions, by marked persons, as a list, or unnamed, a third each."""
-    third, words = F.pmod("doc_id", F.lit(3)), F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 6)
-    persons = F.array_join(F.transform(words, lambda w, i: F.concat(F.lit('<span class="a ltx_personname">'), w, F.lit(" <b>"), i, F.lit('</b><sup>1</sup>† <em class="ltx_note">x</em></span>'))), "")
+    """The authors of all lines of documents as HTML editions, by marked persons, as a list, or unnamed, a third each."""
+    third, words = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(3)), F.split("line", r"\s+")
+    noted = lambda i: F.when(i % 8 == 0, F.concat(F.lit("<b>"), i, F.lit('</b><sup>1</sup>† <em class="ltx_note">x</em>'))).otherwise(i.cast("string"))
+    persons = F.array_join(F.transform(words, lambda w, i: F.concat(F.lit('<span class="ltx_personname">'), w, F.lit(" "), noted(i), F.lit("</span>"))), "")
     listed = F.concat(F.lit("\n Authors: "), F.array_join(words, " &amp; "), F.lit("<sup>2</sup> ‡ "))
     html = F.when(third == 0, F.concat(F.lit('<div class="ltx_authors">'), persons, F.lit("</div>"))).when(third == 1, F.concat(F.lit('<div class="ltx_authors b">'), listed, F.lit("</div>"))).otherwise("<div>none</div>")
-    return table(spark, sf_dir, "documents").select("doc_id", html.alias("html")).select("doc_id", author_names(F.col("html")).alias("authors"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    # bound once, or the markup is made again for each use
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.transform(F.array(html), author_names)[0].alias("authors"))
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +166,7 @@ _FILES = r"""f as (select doc_id // 5 paper, 'src/p' || (doc_id % 5) || case whe
   i as (select paper, path main, unnest(regexp_extract_all(content, '\\(?:input|include)\{([^}]+)\}', 1)) name, unnest(range(len(regexp_extract_all(content, '\\(?:input|include)\{([^}]+)\}')))) pos from m),
   j as (select paper, main, pos, case when ends_with(trim(name), '.tex') then trim(name) else trim(name) || '.tex' end name from i where name is not null),
   h as (select j.paper, pos, arg_min(t.content, n) part from j join t on t.paper = j.paper and t.path <> main and ends_with(t.path, j.name) group by j.paper, pos)"""
-_WORDS = r"(select *, string_split_regex(coalesce(text, ''), '\s+')[1:6] w from documents)"
+_WORDS = r"(select *, string_split_regex(line, '\s+') w from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) pos from documents))"
 QUERIES = {f.__name__: f for f in (item_lines, main_files, edition_authors, uploads)}
 SQL = {
     "item_lines": rf"""with w as (select doc_id, unnest(string_split(coalesce(text, ''), ' ')) w, unnest(range(len(string_split(coalesce(text, ''), ' ')))) k from documents),
@@ -176,7 +179,7 @@ SQL = {
       z as (select doc_id, page, coalesce(sum(c) over (partition by doc_id order by page rows between unbounded preceding and 1 preceding), 0) + page - 2 read from (select doc_id, page, sum(length(text) + 1) c from k group by all))
       select doc_id, page, row_number() over (partition by doc_id, page order by line) as line, md5(text) text_md5 from k join z using (doc_id, page) where read <= {MOST_CHARS}""",
     "main_files": f"with {_FILES} select m.paper, m.path main, count(h.pos)::bigint + 1 parts, md5(m.content || coalesce(string_agg(chr(10) || chr(10) || part, '' order by pos), '')) text_md5 from m left join h using (paper) group by m.paper, m.path, m.content",
-    "edition_authors": rf"""select doc_id, case doc_id % 3 when 0 then array_to_string(list_transform(w, lambda x, i: trim(regexp_replace(x || ' ' || (i - 1), '{NAME_SIGNS}', '', 'g'))), ', ')
+    "edition_authors": rf"""select doc_id, pos, case (doc_id + pos) % 3 when 0 then array_to_string(list_transform(w, lambda x, i: trim(regexp_replace(x || ' ' || (i - 1), '{NAME_SIGNS}', '', 'g'))), ', ')
       when 1 then trim(regexp_replace(array_to_string(w, ' & '), '{NAME_SIGNS}', '', 'g')) else '' end authors from {_WORDS}""",
     "uploads": rf"""with a as (select doc_id, case when doc_id % 50 = 0 then ' ' || chr(13) || chr(10) || ' ' when doc_id % 3 = 0 then '## ' || coalesce(text, '') when doc_id % 3 = 1 then chr(13) || chr(10) || '  ' || chr(13) || chr(10) || replace(coalesce(text, ''), chr(10), chr(13) || chr(10)) else '2024-03 ' || coalesce(text, '') end || repeat('图', doc_id % 40) t from documents),
       b as (select *, replace(t, chr(13) || chr(10), chr(10)) u from a),

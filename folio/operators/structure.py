@@ -164,7 +164,7 @@ def figure_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     # a third of the captions name the file without its extension, a third with it, and a third are missing
     ref = F.when(i % 3 == 0, F.concat(F.lit("figs/f"), i)).otherwise(F.concat(F.lit("f"), i, F.lit(".png")))
-    captions = docs.where(i % 3 < 2).select(F.regexp_extract(ref, "([^/]*)$", 1).alias("ref"), F.split("text", "\n")[0].alias("caption"))
+    captions = docs.where(i % 3 < 2).select(F.regexp_extract(ref, "([^/]*)$", 1).alias("ref"), F.col("text").alias("caption"))
     figures = docs.select(i.alias("num"), F.concat(F.lit("figs/f"), i, F.when(i % 3 == 1, ".png").otherwise(".pdf")).alias("path"))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     rows = figures.select("num", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
@@ -243,7 +243,7 @@ SQL = {
     "date_forms": f"""select id::bigint id, {_date_sql('text')} as found, {_MONTH.format(t='iso', p='([0-9]{4})-([0-9]{2})')} as iso, {_MONTH.format(t='pdf', p='D:([0-9]{4})([0-9]{2})[0-9]{2}')} as pdf,
       case when rate like '%\\%' escape '\\' then 1 + replace(rate, '%', '')::double / 100 when try_cast(rate as double) is not null then rate::double else 1.0 end::double rate from (select doc_id id, {filled_sql([d[0] for d in DATES])} as text, {filled_sql([d[1] for d in DATES])} as iso, {filled_sql([d[2] for d in DATES])} as pdf, {nth_sql([d[3] for d in DATES])} as rate from documents)""",
     "tex_to_text": f"select id::bigint id, {_tex_sql()} as text from {_formed_sql(TEX)}",
-    "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from (select case when doc_id % 3 = 0 then 'figs/f' || doc_id else 'f' || doc_id || '.png' end ref, string_split(text, chr(10))[1] caption from documents where doc_id % 3 < 2)),
+    "figure_captions": rf"""with c as (select regexp_extract(ref, '([^/]*)$', 1) ref, caption from (select case when doc_id % 3 = 0 then 'figs/f' || doc_id else 'f' || doc_id || '.png' end ref, text caption from documents where doc_id % 3 < 2)),
       f as (select doc_id num, regexp_extract('figs/f' || doc_id || case when doc_id % 3 = 1 then '.png' else '.pdf' end, '([^/]*)$', 1) name from documents)
       select num::bigint num, coalesce(a.caption, b.caption, name) caption from f left join c a on a.ref = name left join c b on b.ref = regexp_replace(name, '\.[^.]*$', '')""",
     "phrase_hits": "select id::bigint id, phrase, n from (" + _phrase_sql() + ")",
