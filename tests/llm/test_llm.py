@@ -719,6 +719,15 @@ def test_one_of_each_with_null_and_repeated_ids(spark, edges, empty):
         assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted({rows[k] for k in (0, 2, 3, 6, 7)}, key=repr)
 
 
+def test_one_of_each_with_a_column_of_maps(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "the same words stand in both of these rows", {"a": 1}), (2, "the same words stand in both of these rows", None), (3, "other words are in this row, and none of theirs", {"b": 2})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>")
+    got = pipeline.one_of_each(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
