@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,30 @@ def normalize_text(text: Column) -> Column:
     return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+#: So many states are found together, so that adding one to those found copies few.
+SCAN_GROUP = 256
+
+
+def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states of a fold over an array, one behind each item. `items` is named in lambdas: bind it first."""
+    none = F.filter(F.array(start), lambda _: F.lit(False))
+
+    def along(group: Column, state: Column) -> Column:
+        first = F.struct(state.alias("at"), none.alias("out"))
+        return F.aggregate(group, first, lambda s, x: bound(step(s["at"], x), lambda at: F.struct(at.alias("at"), F.concat(s["out"], F.array(at)).alias("out"))))
+
+    starts = F.sequence(F.lit(0), F.floor(F.size(items) / SCAN_GROUP).cast("int"))
+    groups = F.transform(starts, lambda k: F.slice(items, k * SCAN_GROUP + 1, F.lit(SCAN_GROUP)))
+    whole = F.struct(start.alias("at"), F.filter(F.array(none), lambda _: F.lit(False)).alias("out"))
+    add = lambda s, group: bound(along(group, s["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out")))
+    return F.flatten(F.aggregate(groups, whole, add)["out"])
+
+
 def visible_length(text: Column) -> Column:
     return F.length(F.regexp_replace(text_or_empty(text), r"\s", "")).cast("long")
 
@@ -106,9 +132,17 @@ def split_clean(clean: Column, budget: int) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).when(F.length(clean) <= budget, F.array(clean)).otherwise(cut)
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text_or_empty(text), r"^\s+|\s+$", "")
+
+
 def block_type(text: Column, otherwise: str = "paragraph") -> Column:
     """formula, figure, table or list by its marks, in this order."""
-    t = F.regexp_replace(text_or_empty(text), r"^\s+|\s+$", "")
+    return trimmed_type(trimmed(text), otherwise)
+
+
+def trimmed_type(t: Column, otherwise: str = "paragraph") -> Column:
+    """As above, of text without white space around it."""
     macros = r"\\(?:frac|sum|argmax|argmin|mathbb|mathcal|hat|theta|alpha|beta|nabla|prod|int|sqrt|log|exp|softmax)\b"
     formula = t.rlike(r"(?s)\$\$.*\$\$|\\begin\{(?:equation|align|gather|eqnarray)") | ((count_matches(t, macros) >= 2) & (F.length(t) < 600))
     return (
@@ -209,16 +243,23 @@ def count_phrases(text: Column, phrases: list[str]) -> list[tuple[str, Column]]:
     return out
 
 
-def terms_of(text: Column, limit: int) -> Column:
-    """The most frequent terms within a text, by count, then length, then first place: runs of its sorted tokens, no shuffle."""
+def ranked_terms(text: Column, limit: int) -> Column:
+    """The most frequent terms within a text as structs of term and n, by count, then length, then first place: runs of its sorted
+    tokens, no shuffle."""
 
     def counted(sorted_: Column) -> Column:
         size = F.size(sorted_)
         starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(sorted_, i)["term"] != F.get(sorted_, i - 1)["term"]))
-        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size))
-        runs = F.zip_with(starts, ends, lambda a, b: F.struct((a - b).alias("n"), (-F.length(F.get(sorted_, a)["term"])).alias("size"), F.get(sorted_, a)["pos"].alias("pos"), F.get(sorted_, a)["term"].alias("term")))
-        return F.transform(F.slice(F.array_sort(runs), 1, limit), lambda r: r["term"])
+        return bound(starts, lambda s: F.transform(F.slice(F.sort_array(runs(sorted_, s)), 1, limit), lambda r: F.struct(r["term"].alias("term"), (-r["n"]).cast("long").alias("n"))))
 
-    placed = F.array_sort(F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    def runs(sorted_: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(sorted_)))
+        return F.zip_with(starts, ends, lambda a, b: bound(F.get(sorted_, a), lambda x: F.struct((a - b).alias("n"), (-F.length(x["term"])).alias("size"), x["pos"].alias("pos"), x["term"].alias("term"))))
+
+    placed = F.sort_array(F.transform(tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
     # bound once; an array without tokens has no runs
-    return F.flatten(F.transform(F.filter(F.array(placed), lambda s: F.size(s) > 0), counted))
+    return F.flatten(F.transform(F.filter(F.array(placed), lambda s: F.size(s) > 0), lambda s: counted(s)))
+
+
+def terms_of(text: Column, limit: int) -> Column:
+    return F.transform(ranked_terms(text, limit), lambda r: r["term"])

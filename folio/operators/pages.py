@@ -32,10 +32,15 @@ def _each(make, kinds: list[pa.DataType]):
     return run
 
 
+def block_lists(rows: DataFrame, key: str) -> DataFrame:
+    """key and the array of the blocks (path, type and text) of `html`."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "html").mapInArrow(_each(lambda html: (A.blocks(html),), [_BLOCKS]), f"`{key}` {kind}, blocks array<struct<path string, type string, text string>>")
+
+
 def blocks_of(rows: DataFrame, key: str) -> DataFrame:
     """key, pos, path, type and text of each block of `html`."""
-    kind = rows.schema[key].dataType.simpleString()
-    lists = rows.select(key, "html").mapInArrow(_each(lambda html: (A.blocks(html),), [_BLOCKS]), f"`{key}` {kind}, blocks array<struct<path string, type string, text string>>")
+    lists = block_lists(rows, key)
     return lists.select(key, F.posexplode("blocks").alias("pos", "b")).select(key, F.col("pos").cast("long").alias("pos"), "b.path", "b.type", "b.text")
 
 

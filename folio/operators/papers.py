@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.functions.text import bound
 from folio.operators.documents import BUDGET, NORM, TYPE_SQL, chunks_sql, table
 from folio.operators.records import SEGMENT, _page_text_sql, page_text
-from folio.operators.structure import BODY, SEP, headed
+from folio.operators.structure import BODY, SEP, blocks_in, marked_heading, stands_alone
 
 # Headings of plain text, numbered or named, and the longest line that is one.
 NUMBERED_HEADING = r"^\s*([0-9]{1,2}(?:\.[0-9]{1,2}){0,2})\.?\s+([A-Z][A-Za-z0-9\-图\s]{2,60})$"
@@ -28,52 +29,50 @@ NAMES = ("Introduction", "Results:", "相关工作")
 
 
 def plain_heading(line: Column) -> tuple[Column, Column]:
-    """Level (0: none) and title of a line of plain text that is a heading."""
-    s = F.regexp_replace(line, r"^\s+|\s+$", "")
-    number, name = F.regexp_extract(s, NUMBERED_HEADING, 1), F.trim(F.regexp_extract(s, NUMBERED_HEADING, 2))
-    numbered = (number != "") & (F.length(s) <= HEADING_CHARS) & (X.count_matches(name, "[A-Za-z]") >= 3)
-    named = s.rlike(NAMED_HEADING) & (F.length(s) <= HEADING_CHARS)
-    level = F.when(numbered, F.size(F.split(number, r"\."))).when(named, 1).otherwise(0)
-    return level, F.when(numbered, F.concat_ws(" ", number, name)).when(named, F.regexp_replace(s, "[:：]$", ""))
+    """Level (0: none) of a line of plain text, and its title where it is a heading."""
+    number, name = lambda s: F.regexp_extract(s, NUMBERED_HEADING, 1), lambda s: F.trim(F.regexp_extract(s, NUMBERED_HEADING, 2))
+    numbered = lambda s: (number(s) != "") & (X.count_matches(name(s), "[A-Za-z]") >= 3)
+    level = lambda s: F.when(F.length(s) > HEADING_CHARS, 0).when(numbered(s), F.size(F.split(number(s), r"\."))).when(s.rlike(NAMED_HEADING), 1).otherwise(0)
+    title = lambda s: F.when(numbered(s), F.concat_ws(" ", number(s), name(s))).otherwise(F.regexp_replace(s, "[:：]$", ""))
+    return bound(X.trimmed(line), level), bound(X.trimmed(line), title)
 
 
-def marked_heading(line: Column) -> tuple[Column, Column]:
-    """Level (0: none) and title of a Markdown-like line that is a heading of two to four signs."""
-    signs = F.length(F.regexp_extract(line, r"^(#{2,4})\s+.+$", 1))
-    return F.when(signs > 0, signs - 1).otherwise(0), F.trim(F.regexp_extract(line, r"^#{2,4}\s+(.+)$", 1))
+BLOCKS = "array<struct<pos: int, path: string, type: string, text: string>>"
 
 
-def paper_blocks(rows: DataFrame) -> DataFrame:
-    """doc_id, kind, pos, path, type and text of the blocks of texts: of kind tex under Markdown-like headings, captions and formulas
-    alone; of kind pdf under numbered or named headings; of any other kind whole and untyped."""
+def with_blocks(rows: DataFrame) -> DataFrame:
+    """doc_id, kind and the blocks (pos, path, type and text) of texts: of kind tex under Markdown-like headings, captions and formulas
+    alone; of kind pdf under numbered or named headings; of any other kind whole and untyped. A text is worked on within its row."""
     clean = rows.select("doc_id", "kind", X.normalize_text(F.col("text")).alias("text"))
-    headed_kinds = F.col("kind").isin("tex", "pdf")
-    lines = clean.where(headed_kinds).select("doc_id", "kind", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    t, tex = F.trim("line"), F.col("kind") == "tex"
-    (a, a_title), (b, b_title) = marked_heading(F.col("line")), plain_heading(F.col("line"))
-    alone = tex & (t.rlike("^图注[:：]") | (t.rlike(r"^\$\$.*\$\$\s*$") & (F.length(t) < 1200)))
-    lines = lines.withColumns({"level": F.when(tex, a).otherwise(b), "title": F.when(tex, a_title).otherwise(b_title), "alone": alone})
-    along = Window.partitionBy("doc_id").orderBy("pos")
-    opens = (F.col("level") > 0) | F.col("alone") | F.coalesce(F.lag("alone").over(along), F.lit(False))
-    placed = headed(lines, "doc_id").withColumn("block", F.sum(opens.cast("int")).over(along)).where("level = 0")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    blocks = placed.groupBy("doc_id", "kind", "block").agg(F.first("path").alias("path"), F.min("pos").alias("pos"), joined.alias("text"))
-    blocks = blocks.select("doc_id", "kind", "pos", "path", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
-    blocks = blocks.select("doc_id", "kind", "pos", "path", X.block_type(F.col("text")).alias("type"), "text")
-    whole = clean.where(~headed_kinds).select("doc_id", "kind", F.lit(0).alias("pos"), F.lit(BODY).alias("path"), F.lit(None).cast("string").alias("type"), "text")
-    return blocks.unionByName(whole).where("text <> ''")
-
-
-def assembled(blocks: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Chunks of blocks: idx and section_id (by first appearance of the section's path), path, type and text. Headings are none."""
-    clean = blocks.where(F.coalesce("type", F.lit("")) != "heading").withColumn("clean", X.normalize_text(F.col("text"))).where("clean <> ''")
-    pieces = clean.select("doc_id", "kind", "pos", "path", "type", F.posexplode(X.split_clean(F.col("clean"), budget)).alias("part", "text"))
-    along = Window.partitionBy("doc_id").orderBy("pos", "part")
-    first = F.min("pos").over(Window.partitionBy("doc_id", "path"))
-    chunks = pieces.withColumn("idx", F.row_number().over(along) - 1).withColumn("first", first)
-    section = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))
-    kind = F.coalesce("type", X.block_type(F.col("text")))
-    return chunks.select("doc_id", "kind", F.col("idx").cast("long").alias("idx"), F.concat(F.lit("s"), section).alias("section_id"), "path", kind.alias("type"), "text")
+    tex = blocks_in(F.col("text"), marked_heading, stands_alone)
+    pdf = blocks_in(F.col("text"), plain_heading, lambda _: F.lit(False))
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.lit(BODY).alias("path"), F.lit(None).cast("string").alias("type"), F.col("text").alias("text")))
+    none = F.array().cast(BLOCKS)
+    blocks = F.when(F.col("text") == "", none).when(F.col("kind") == "tex", tex).when(F.col("kind") == "pdf", pdf).otherwise(whole)
+    return clean.select("doc_id", "kind", blocks.alias("blocks"))
+
+
+def chunks_in(blocks: Column, budget: int = BUDGET) -> Column:
+    """Chunks of an array of blocks: section (from 1, by first appearance of its path), path, type and text. Headings are none.
+
+    A block's path is looked for among the different ones of its row.
+    """
+    clean = F.transform(F.filter(blocks, lambda b: F.coalesce(b["type"], F.lit("")) != "heading"), lambda b: F.struct(b["path"].alias("path"), b["type"].alias("type"), X.normalize_text(b["text"]).alias("text")))
+    kind = lambda b, t: F.coalesce(b["type"], bound(X.trimmed(t), X.trimmed_type))
+
+    def numbered(clean: Column, paths: Column) -> Column:
+        placed = F.transform(clean, lambda b: F.struct(F.array_position(paths, b["path"]).alias("section"), b.alias("b")))
+        piece = lambda p, t: F.struct(p["section"].alias("section"), p["b"]["path"].alias("path"), kind(p["b"], t).alias("type"), t.alias("text"))
+        return F.flatten(F.transform(placed, lambda p: F.transform(X.split_clean(p["b"]["text"], budget), lambda t: piece(p, t))))
+
+    filled = F.filter(clean, lambda b: b["text"] != "")
+    return bound(filled, lambda c: bound(F.array_distinct(F.transform(c, lambda b: b["path"])), lambda paths: numbered(c, paths)))
+
+
+def assembled(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Chunks of rows of doc_id, kind and blocks: idx and section_id, path, type and text. No row meets another, whatever its id."""
+    chunks = rows.select("doc_id", "kind", F.posexplode(chunks_in(F.col("blocks"), budget)).alias("idx", "c"))
+    return chunks.select("doc_id", "kind", F.col("idx").cast("long").alias("idx"), F.concat(F.lit("s"), F.col("c.section")).alias("section_id"), "c.path", "c.type", "c.text")
 
 
 def sections_of(chunks: DataFrame) -> DataFrame:
@@ -104,16 +103,16 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paper_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = assembled(paper_blocks(manuscripts(spark, sf_dir)))
+    chunks = assembled(with_blocks(manuscripts(spark, sf_dir)))
     return chunks.select("doc_id", "kind", "idx", "section_id", "path", "type", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections_of(assembled(paper_blocks(manuscripts(spark, sf_dir))))
+    return sections_of(assembled(with_blocks(manuscripts(spark, sf_dir))))
 
 
 def paper_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries_of(assembled(paper_blocks(manuscripts(spark, sf_dir))))
+    return summaries_of(assembled(with_blocks(manuscripts(spark, sf_dir))))
 
 
 def best_edition(rows: DataFrame, key: str) -> DataFrame:

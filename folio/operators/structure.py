@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.functions.text import bound
 from folio.operators.documents import NORM, TYPE_SQL, _date_sql, table
 
 SEP, BODY = "›", "正文"
-#: The deepest level of headings.
-LEVELS = 4
 #: Where a form takes the text of a document.
 HOLE = "@@"
 MARKDOWN = [
@@ -92,37 +93,63 @@ def filled_sql(forms: list[str]) -> str:
     return f"replace({nth_sql(forms)}, '{HOLE}', coalesce(text, ''))"
 
 
-def headed(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with the `path` of headings that each stands under. lines: key, pos, level (0: no heading) and title.
+def marked_heading(line: Column) -> tuple[Column, Column]:
+    """Level (0: none) and title of a Markdown-like line that is a heading of two to four signs."""
+    signs = F.length(F.regexp_extract(line, r"^(#{2,4})\s+.+$", 1))
+    return F.when(signs > 0, signs - 1).otherwise(0), F.trim(F.regexp_extract(line, r"^#{2,4}\s+(.+)$", 1))
+
+
+def stands_alone(line: Column) -> Column:
+    """Whether a line is a caption or a formula that is a block of its own."""
+    return bound(F.trim(line), lambda t: t.rlike("^图注[:：]") | (t.rlike(r"^\$\$.*\$\$\s*$") & (F.length(t) < 1200)))
+
 
-    A heading of level d leaves d - 1 of the headings above it and stands behind those. So its depth is one more than that of the
-    heading before, but d at most: the least, over it and all headings before, of their level plus the number of headings since.
+def blocks_in(text: Column, heading: Callable[[Column], tuple[Column, Column]], alone: Callable[[Column], Column]) -> Column:
+    """The blocks of a text in normal form within its row: an array of pos (its first line), path, type and text.
+
+    A block ends before a heading, and before and behind a line that stands alone. A heading of level d leaves d - 1 of the open
+    headings and stands behind those. Only these lines go through the fold; all else is slices of the lines.
     """
-    along = Window.partitionBy(key).orderBy("pos")
-    is_head = F.col("level") > 0
-    n = F.sum(is_head.cast("int")).over(along)
-    rows = lines.withColumn("_n", n).withColumn("_gap", F.min(F.when(is_head, F.col("level") - F.col("_n"))).over(along))
-    rows = rows.withColumn("_depth", F.when(is_head, F.col("_n") + F.least(F.lit(0), F.col("_gap"))))
-    open_ = F.last("_depth", ignorenulls=True).over(along)
-    names = [F.last(F.when(F.col("_depth") == k, F.col("title")), ignorenulls=True).over(along) for k in range(1, LEVELS + 1)]
-    rows = rows.withColumns({"_open": open_} | {f"_h{k}": name for k, name in enumerate(names, 1)})
-    path = F.concat_ws(SEP, *(F.when(F.col("_open") >= k, F.col(f"_h{k}")) for k in range(1, LEVELS + 1)))
-    return rows.withColumn("path", F.when(F.col("_open").isNull(), BODY).otherwise(path)).drop("_n", "_gap", "_depth", "_open", *(f"_h{k}" for k in range(1, LEVELS + 1)))
+
+    def cut(lines: Column, first: Column, past: Column, path: Column) -> Column:
+        body = X.trimmed(F.array_join(F.slice(lines, first + 1, F.greatest(past - first, F.lit(0))), "\n"))
+        return F.struct(first.cast("int").alias("pos"), path.alias("path"), body.alias("text"))
+
+    def named(lines: Column) -> Column:
+        marks = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), heading(line)[0].alias("level"), alone(line).alias("alone")))
+        marks = F.filter(marks, lambda m: (m["level"] > 0) | m["alone"])
+        return F.transform(marks, lambda m: F.struct(m["pos"].alias("pos"), m["level"].alias("level"), F.when(m["level"] > 0, heading(F.get(lines, m["pos"]))[1]).alias("title")))
+
+    def placed(lines: Column, marks: Column) -> Column:
+        under = lambda open_, m: F.when(m["level"] > 0, F.concat(F.slice(open_, F.lit(1), m["level"] - 1), F.array(m["title"]))).otherwise(open_)
+        opened = X.scanned(marks, F.array().cast("array<string>"), under)
+        past = lambda i: F.coalesce(F.get(marks, i + 1)["pos"], F.size(lines))
+        path = lambda open_: F.when(F.size(open_) == 0, BODY).otherwise(F.array_join(open_, SEP))
+        each = F.transform(
+            opened,
+            lambda open_, i: bound(
+                F.struct(F.get(marks, i).alias("m"), path(open_).alias("path")),
+                lambda x: F.concat(
+                    F.when(x["m"]["level"] == 0, F.array(cut(lines, x["m"]["pos"], x["m"]["pos"] + 1, x["path"]))).otherwise(F.array_repeat(cut(lines, F.lit(0), F.lit(0), F.lit("")), F.lit(0))),
+                    F.array(cut(lines, x["m"]["pos"] + 1, past(i), x["path"])),
+                ),
+            ),
+        )
+        return F.concat(F.array(cut(lines, F.lit(0), past(F.lit(-1)), F.lit(BODY))), F.flatten(each))
+
+    blocks = bound(F.split(text, "\n"), lambda lines: bound(named(lines), lambda marks: placed(lines, marks)))
+    typed = lambda b: F.struct(b["pos"].alias("pos"), b["path"].alias("path"), X.trimmed_type(b["text"]).alias("type"), b["text"].alias("text"))
+    return F.transform(F.filter(blocks, lambda b: b["text"] != ""), typed)
 
 
 def section_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of Markdown-like text under their headings: doc_id, pos, path, type, text. Headings of depth d keep d - 2 of those above."""
-    lines = rows.select("doc_id", F.posexplode(F.split(X.normalize_text(F.col("text")), "\n")).alias("pos", "line"))
-    level = F.length(F.regexp_extract("line", r"^(#{2,4})\s+.+$", 1))
-    title = F.trim(F.regexp_extract("line", r"^#{2,4}\s+(.+)$", 1))
-    alone = F.trim("line").rlike("^图注[:：]") | (F.trim("line").rlike(r"^\$\$.*\$\$\s*$") & (F.length(F.trim("line")) < 1200))
-    marked = lines.withColumns({"level": F.greatest(F.lit(0), level - 1), "title": title, "alone": alone})
-    along = Window.partitionBy("doc_id").orderBy("pos")
-    opens = (F.col("level") > 0) | F.col("alone") | F.coalesce(F.lag("alone").over(along), F.lit(False))
-    placed = headed(marked, "doc_id").withColumn("block", F.sum(opens.cast("int")).over(along)).where("level = 0")
-    blocks = placed.groupBy("doc_id", "block").agg(F.first("path").alias("path"), F.min("pos").alias("pos"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    t = F.regexp_replace("text", r"^\s+|\s+$", "")
-    return blocks.select("doc_id", F.col("pos").cast("long").alias("pos"), "path", X.block_type(t).alias("type"), t.alias("text")).where("text <> ''")
+    """Blocks of Markdown-like text under their headings: doc_id, pos, path, type, text. Headings of depth d keep d - 2 of those above.
+
+    Each text is worked on within its row, whatever its doc_id; null is empty and has none.
+    """
+    clean = rows.select("doc_id", X.normalize_text(F.col("text")).alias("text"))
+    blocks = clean.select("doc_id", F.explode(blocks_in(F.col("text"), marked_heading, stands_alone)).alias("b"))
+    return blocks.select("doc_id", F.col("b.pos").cast("long").alias("pos"), "b.path", "b.type", "b.text")
 
 
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators.documents import NORM, TOP_TERMS, _terms_sql, table
-from folio.operators.pages import blocks_of
-from folio.operators.papers import _PAPER, assembled, manuscripts, paper_blocks
+from folio.operators.pages import block_lists
+from folio.operators.papers import _PAPER, assembled, manuscripts, with_blocks
 from folio.operators.structure import BODY
 from folio.sources.atom import escaped
 
@@ -26,20 +26,20 @@ def branch_of(chunks: Column) -> Column:
 def structures(rows: DataFrame) -> DataFrame:
     """The chunks of each row of rows (id, kind, text, text_lines, html, structure: JSON), by the one source that is used.
 
-    id, kind (of the source), idx, section_id, path, type, text, numbers and terms. Rows are told apart by their place, whatever
-    their id; a structure that can't be read is none.
+    id, kind (of the source), idx, section_id, path, type, text, numbers and terms. No row meets another, whatever its id; a structure
+    that can't be read is none.
     """
-    own = F.struct(F.monotonically_increasing_id().alias("n"), F.col("id"))
     given = F.from_json("structure", GIVEN)["chunks"]
-    rows = rows.select(own.alias("doc_id"), branch_of(given).alias("branch"), F.coalesce("text", F.lit("")).alias("text"), "text_lines", "html", given.alias("chunks"))
+    rows = rows.select(F.col("id").alias("doc_id"), branch_of(given).alias("branch"), F.coalesce("text", F.lit("")).alias("text"), "text_lines", "html", given.alias("chunks"))
     of = lambda name: rows.where(F.col("branch") == name)
     kept = of("given").select("doc_id", F.lit("given").alias("kind"), F.posexplode("chunks").alias("idx", "c"))
     kept = kept.select("doc_id", "kind", F.col("idx").cast("long").alias("idx"), "c.section_id", "c.path", "c.type", "c.text")
     pages = of("html").select("doc_id", "html")
-    html = blocks_of(pages, "doc_id").select("doc_id", F.lit("html").alias("kind"), F.col("pos").cast("int").alias("pos"), "path", "type", "text")
+    placed = F.transform("blocks", lambda b, i: F.struct(i.alias("pos"), b["path"].alias("path"), b["type"].alias("type"), b["text"].alias("text")))
+    html = block_lists(pages, "doc_id").select("doc_id", F.lit("html").alias("kind"), placed.alias("blocks"))
     texts = rows.where(F.col("branch").isin("tex", "pdf", "text")).select("doc_id", F.col("branch").alias("kind"), F.when(F.col("branch") == "pdf", F.col("text_lines")).otherwise(F.col("text")).alias("text"))
-    chunks = assembled(paper_blocks(texts).unionByName(html)).unionByName(kept)
-    return chunks.select("doc_id.id", "kind", "idx", "section_id", "path", "type", "text", X.numbers(F.col("text")).alias("numbers"), X.terms_of(F.col("text"), TOP_TERMS).alias("terms"))
+    chunks = assembled(with_blocks(texts).unionByName(html)).unionByName(kept)
+    return chunks.select(F.col("doc_id").alias("id"), "kind", "idx", "section_id", "path", "type", "text", X.numbers(F.col("text")).alias("numbers"), X.terms_of(F.col("text"), TOP_TERMS).alias("terms"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
