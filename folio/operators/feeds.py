@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators.documents import table
@@ -12,6 +12,24 @@ TTL = "10 minutes"
 ENDS = ("purchase", "error")
 
 
+def states_at(rows: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """job_id, at and the last event before the end (`last`, null: none) by then, of subscribers by when their job had an event.
+
+    Events and subscribers pass one window, never each other. It spans an hour of a job, and what came before is carried from hour
+    to hour, so that a busy job is many small windows.
+    """
+    state = F.when(~F.col("ends"), F.struct("ts", "event_id", "event"))
+    events = rows.select("job_id", F.col("ts").alias("at"), state.alias("state"), F.lit(1).alias("n"))
+    nothing = F.lit(None).cast(events.schema["state"].dataType).alias("state")
+    both = events.unionByName(subscribers.select("job_id", "at", nothing, F.lit(0).alias("n"))).withColumn("hour", F.date_trunc("hour", "at"))
+    hours = both.groupBy("job_id", "hour").agg(F.max("state").alias("state"), F.sum("n").alias("n"))
+    before = Window.partitionBy("job_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("job_id", "hour", F.max("state").over(before).alias("old_state"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("old_n"))
+    within = Window.partitionBy("job_id", "hour").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select("job_id", "hour", "at", "n", F.max("state").over(within).alias("state"), F.sum("n").over(within).alias("new_n")).where("n = 0")
+    return seen.join(hours, ["job_id", "hour"]).where("new_n + old_n > 0").select("job_id", "at", F.coalesce("state", "old_state").alias("last"))
+
+
 def job_feeds(events: DataFrame, subscribers: DataFrame, ends: tuple[str, ...] = ENDS, ttl: str = TTL) -> DataFrame:
     """job_id, at, event_id (null: the snapshot), kind and stage of what each subscriber gets.
 
@@ -22,12 +40,14 @@ def job_feeds(events: DataFrame, subscribers: DataFrame, ends: tuple[str, ...] =
     rows = events.where("job_id is not null and ts is not null").withColumn("ends", F.coalesce(F.col("event").isin(*ends), F.lit(False)))
     end = rows.where("ends").groupBy("job_id").agg(F.min(F.struct("ts", "event_id", "event")).alias("end"))
     known = subscribers.join(end, "job_id", "left").where(F.col("end").isNull() | (F.col("at") <= F.col("end.ts") + F.expr(f"interval {ttl}")))
-    named = F.when(~F.col("ends"), F.struct("ts", "event_id", "event"))
-    shots = known.join(rows, "job_id").where("ts <= at").groupBy("job_id", "at").agg(F.max(named).alias("last"), F.first("end").alias("end"))
+    shots = known.join(states_at(rows, known), ["job_id", "at"])
     none = F.lit(None).cast("long").alias("event_id")
     snapshot = shots.select("job_id", "at", none, F.lit("snapshot").alias("kind"), F.col("last.event").alias("stage"))
     ended = shots.where("end.ts <= at").select("job_id", "at", "end.event_id", F.lit("end").alias("kind"), F.col("end.event").alias("stage"))
-    live = shots.where("end is null or end.ts > at").join(rows, "job_id").where((F.col("ts") > F.col("at")) & (F.col("end").isNull() | (F.struct("ts", "event_id") <= F.struct("end.ts", "end.event_id"))))
+    waiting = shots.where("end is null or end.ts > at")
+    # events before a job's first live subscriber don't travel; the rest is what is sent
+    later = rows.join(waiting.groupBy("job_id").agg(F.min("at").alias("first")), "job_id").where("ts > first").drop("first")
+    live = waiting.join(later, "job_id").where((F.col("ts") > F.col("at")) & (F.col("end").isNull() | (F.struct("ts", "event_id") <= F.struct("end.ts", "end.event_id"))))
     return snapshot.unionByName(ended).unionByName(live.select("job_id", "at", "event_id", F.when(F.col("ends"), "end").otherwise("stage").alias("kind"), F.col("event").alias("stage")))
 
 
