@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folio.functions.text import text_or_empty, truncate_visible, visible_length
+from folio.functions.text import bound, text_or_empty, truncate_visible, visible_length
 
 # Words that are no terms when they stand alone.
 NO_TERMS = (
@@ -41,6 +41,11 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
+def letter_words(pattern: str) -> str:
+    """As above, of a pattern that starts and ends with letters: half of each border is plain then."""
+    return r"(?<!\w)" + pattern.removeprefix(r"\b").removesuffix(r"\b") + r"(?!\w)"
+
+
 def strip(t: Column) -> Column:
     return F.regexp_replace(t, EDGES, "")
 
@@ -69,24 +74,24 @@ def title(text: Column) -> Column:
         t = F.regexp_replace(t, pattern, "")
 
     def head_of(t: Column) -> Column:
-        head = F.split(t, ascii_words(HEAD_END), 2)[0]
+        # an address is looked for at the starts of runs of its signs alone, where the first one is found
+        head = F.split(t, ascii_words(HEAD_END.replace(r"[\w.+-]+@", r"(?<![\w.+-])[\w.+-]++@", 1)), 2)[0]
         for pattern in HEAD_DATES:
             head = F.regexp_replace(head, ascii_words(pattern), "")
         # only a head with Chinese in it is a title
-        return F.when(head.rlike("[一-鿿]"), strip(head))
+        return F.when(t.rlike("[一-鿿]"), bound(head, lambda head: F.when(head.rlike("[一-鿿]"), strip(head))))
 
     def chosen(both: Column) -> Column:
         t, head = both["t"], both["head"]
-        cut = F.regexp_extract(head, CHINESE_TITLE, 1)
-        chinese = one_line(F.when(cut != "", cut).otherwise(head))
-        chinese = F.when(F.length(chinese).between(2, 80), chinese)
-        found = [F.nullif(F.regexp_extract(t, ascii_words(p), 1), F.lit("")) for p in (CASED_TITLE, UPPER_TITLE)]
+        cut = bound(F.regexp_extract(head, CHINESE_TITLE, 1), lambda cut: one_line(F.when(cut != "", cut).otherwise(head)))
+        chinese = bound(cut, lambda c: F.when(F.length(c).between(2, 80), c))
+        found = [bound(F.regexp_extract(t, letter_words(p), 1), lambda w: F.when(w != "", w)) for p in (CASED_TITLE, UPPER_TITLE)]
         piece = F.filter(F.split(t, r"\s{2,}"), lambda s: (F.length(s) > 2) & (F.length(s) < 140))
+        # each form is tried where those before it found nothing
         return F.coalesce(chinese, *found, F.left(F.coalesce(F.get(piece, F.lit(0)), t), F.lit(100)))
 
-    # Bound to a variable, the text and its head are computed once rather than for each of their uses.
-    bound = F.transform(F.array(strip(t)), lambda t: F.struct(t.alias("t"), head_of(t).alias("head")))
-    return F.transform(bound, chosen)[0]
+    # Bound, the text and its head are computed once rather than for each of their uses.
+    return bound(strip(t), lambda t: bound(F.struct(t.alias("t"), head_of(t).alias("head")), chosen))
 
 
 def truncate_title(text: Column, most: int) -> Column:
