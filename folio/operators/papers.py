@@ -29,11 +29,11 @@ NAMES = ("Introduction", "Results:", "相关工作")
 
 
 def plain_heading(line: Column) -> tuple[Column, Column]:
-    """Level (0: none) of a line of plain text, and its title where it is a heading."""
+    """Level (0: none) and title of a line of plain text that is a heading."""
     number, name = lambda s: F.regexp_extract(s, NUMBERED_HEADING, 1), lambda s: F.trim(F.regexp_extract(s, NUMBERED_HEADING, 2))
     numbered = lambda s: (number(s) != "") & (X.count_matches(name(s), "[A-Za-z]") >= 3)
     level = lambda s: F.when(F.length(s) > HEADING_CHARS, 0).when(numbered(s), F.size(F.split(number(s), r"\."))).when(s.rlike(NAMED_HEADING), 1).otherwise(0)
-    title = lambda s: F.when(numbered(s), F.concat_ws(" ", number(s), name(s))).otherwise(F.regexp_replace(s, "[:：]$", ""))
+    title = lambda s: F.when(F.length(s) > HEADING_CHARS, None).when(numbered(s), F.concat_ws(" ", number(s), name(s))).when(s.rlike(NAMED_HEADING), F.regexp_replace(s, "[:：]$", ""))
     return bound(X.trimmed(line), level), bound(X.trimmed(line), title)
 
 
