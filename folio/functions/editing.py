@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import text_or_empty
 
-#: What typography leaves alone: fenced code, pictures, addresses, code in a line; and the mark that stands for them meanwhile.
+# What typography leaves alone and what it rewrites.
+#: Fenced code, pictures, addresses, code in a line; and the mark that stands for them meanwhile.
 MARK = "\x01"
 PROTECTED = r"```[\s\S]*?```|!\[[^\]]*\]\([^)]+\)|https?://[^\s\"'<>()]+|`[^`\n]+`|" + MARK
 _CHINESE, _PLAIN = "[㐀-䶿一-鿿]", "[A-Za-z0-9]"
@@ -23,7 +24,7 @@ INSTITUTIONS = [
     rf"(?i)\b(?:{'|'.join(KNOWN_INSTITUTIONS)})\b",
     f"[一-鿿]{{2,12}}(?:{'|'.join(INSTITUTION_ENDS_CHINESE)})",
 ]
-#: Addresses and their labels, which are no part of a name.
+# Addresses and their labels, which are no part of a name, and where names are looked for.
 CONTACTS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?i)\bEmail\b[^,，\s]*"]
 FRONT = 3000
 

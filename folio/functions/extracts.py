@@ -15,6 +15,7 @@ NO_TERMS = (
     "university institute google microsoft openai deepmind meta email one two three four five both each all some such other another same different several many most more less only very just too present paper study "
     "author authors et al following figure fig tab table tables"
 ).split()
+# Acronyms and words in title case, and how many terms are kept.
 ACRONYM = r"\b[A-Z]{2,8}\b"
 TITLED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\b"
 MOST_TERMS = 60

@@ -31,6 +31,7 @@ ITEM = ('<li style="margin:4px 0;">', "</li>")
 QUOTE = ('<blockquote style="border-left:4px solid {accent};background:{bg};color:#555;padding:10px 14px;border-radius:0 6px 6px 0;margin:1em 0;">', "</blockquote>")
 DEEPEST = 4
 
+# Lines of a heading, an item, a quotation, and a table's separator and edges.
 HEADING, BULLET, NUMBER, QUOTED = r"^(#{1,4})\s+(.+)$", r"^[-*]\s+(.+)$", r"^[0-9]+[.)]\s+(.+)$", r"^>\s?(.+)$"
 SEPARATOR = r"^\|?(?:\s*:?-{2,}:?\s*\|)*\s*:?-{2,}:?\s*\|?$"
 CELL_ENDS = r"^\|?\s*|\s*\|?$"
