@@ -31,6 +31,12 @@ def test_chunks_keep_the_budget_and_the_text(spark):
     assert "".join("".join(pieces).split()) == "".join(text.split())
 
 
+def test_sentences_keep_digits_that_equal_their_place(spark):
+    said = [f"{i} are {i * 111} of {i}!" for i in range(13)]
+    assert value(spark, X.sentences(F.lit(" ".join(said)))) == said
+    assert value(spark, X.split_by_budget(F.lit("a" * 9 + "! call +1 11"), 10)) == ["a" * 9 + "!", "call +1 11"]
+
+
 def test_dates_and_rates(spark):
     assert value(spark, X.first_date(F.lit("published 12 Jun 2017"))) == "2017年6月"
     assert [value(spark, X.rate(F.lit(t))) for t in ("+8%", "-10%", "1.2", "x")] == [1.08, 0.9, 1.2, 1.0]
