@@ -1,9 +1,10 @@
 """Parsing of search results, and headings of plain text, on forms written by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.operators.papers import best_edition, plain_heading
-from folio.operators.search import checked_scenes, visuals
+from folio.operators.search import checked_scenes, hit_papers, newest_of, recent_papers, visuals, work_papers
 from folio.sources import search as S
 
 
@@ -31,6 +32,36 @@ def test_works_and_hits(spark):
     assert value(spark, S.hit_paper(F.lit('{"title":"T","externalIds":{}}'))) is None
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("query", [work_papers, hit_papers])
+def test_json_is_parsed_once(spark, query):
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_recent_papers_are_made_once(spark):
+    rows = recent_papers(spark, SF)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("from_json") == 1
+
+
+def test_newest_papers_of_a_source(spark):
+    days = ["2024-05-01", "2024-04-30", "2024-01-01", "2023-01-01"]
+    rows = [("new", i, f"p{i}", days[i % 4]) for i in range(400)] + [("old", i, f"p{i}", days[2 + i % 2]) for i in range(400, 600)]
+    rows += [("undated", i, f"p{i}", "" if i < 670 else days[3]) for i in range(600, 700)] + [(None, 700, "p700", days[1]), (None, 701, "p701", days[2])]
+    got = newest_of(spark.createDataFrame(rows, "source string, doc_id long, paper string, published string")).collect()
+    want = []
+    for source in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == source]
+        recent = [r for r in own if r[3] == "" or r[3] >= "2024-04-01"]
+        best = sorted(recent or own, key=lambda r: (r[3], r[1]), reverse=True)[:60]
+        want += [(source, k + 1, r[1], r[2], r[3]) for k, r in enumerate(best)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_plain_headings(spark):
     lines = ["1 Introduction", "2.1 Model Details", "3.2.1. Deep One", "Abstract", "引言：", "1 a lower start", "2 Ends with a stop.", "2 Ab", "", "4 " + "A" * 90]
     rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
