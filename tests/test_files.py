@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folio.operators.feeds import job_feeds
-from folio.operators.files import author_names, is_chinese, item_lines, main_tex, pdf_lines, upload
+from folio.operators.files import author_names, edition_authors, is_chinese, item_lines, main_tex, pdf_lines, upload
 from folio.operators.html import markdown_to_html
 
 ITEMS = "doc_id long, page long, item long, str string, y double, eol boolean"
@@ -35,6 +35,11 @@ def test_words_of_pages_go_through_no_shuffle(spark):
     assert plan.count("Exchange") == 1 and plan.count("Window ") == 1
 
 
+def test_authors_are_found_once(spark):
+    plan = edition_authors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ltx_personname(?:") == 1 and plan.count("ltx_authors(?:") == 1
+
+
 def test_main_file_and_its_inputs(spark):
     main = "\\begin{document} \\input{a}\\include{ sub/b.tex }\\input{gone}\\input{a}\\input{main}"
     rows = [(1, "x/main.tex", main), (1, "x/a.tex", "A"), (1, "y/a.TEX", "no"), (1, "y/aa.tex", "longer"), (1, "x/sub/b.tex", None), (1, "z.tex", "z" * 500), (2, "b.tex", "same"), (2, "a.tex", "same"), (3, "a.cls", "none"), (None, "n.tex", "n")]
