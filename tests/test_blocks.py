@@ -87,3 +87,11 @@ def test_states_of_a_fold(spark):
     rows = spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("a"))
     assert rows.select(X.scanned(F.col("a"), F.lit(0), lambda s, x: s + x).alias("s")).first().s == [k * (k + 1) // 2 for k in range(1, n + 1)]
     assert rows.select(X.scanned(F.array().cast("array<int>"), F.lit(0), lambda s, x: s + x).alias("s")).first().s == []
+
+
+@pytest.mark.parametrize("kind", ["tex", "pdf", "text"])
+def test_chunks_of_papers_keep_digits_at_their_end(spark, kind):
+    text = "word " * 400 + "is here! call +1 (409) 555-8231"
+    rows = spark.createDataFrame([(1, kind, text)], "doc_id long, kind string, text string")
+    got = assembled(with_blocks(rows)).orderBy("idx").collect()
+    assert len(got) == 2 and got[-1]["text"].endswith("555-8231")
