@@ -29,6 +29,20 @@ def test_matches_sql(spark, name, tmp_path):
     assert con.sql("select * from got except all select * from wanted").fetchall() == []
 
 
+@pytest.mark.parametrize("name", ["paper_sections"])
+def test_papers_keep_digits_that_equal_their_place(spark, name, tmp_path):
+    said = " ".join(f"{i} and {i * 11} are so many words of {i}!" for i in range(60)) + " call +1 (409) 555-8231"
+    rows = [(i, "\n".join([said] * (1 + i % 2 * 5))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    registry.QUERIES[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    con.sql(f"create table want as {registry.SQL[name]}")
+    columns = ", ".join(f'"{r[0]}"' for r in con.sql("describe want").fetchall())
+    want, got = (con.sql(f"select {columns} from {source}").fetchall() for source in ("want", f"'{tmp_path}/out/*.parquet'"))
+    assert len(want) >= 30 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_entry_imports_and_flagship_runs(spark):
     import __spark_entry__ as entry
 
