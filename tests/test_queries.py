@@ -29,7 +29,7 @@ def test_matches_sql(spark, name, tmp_path):
     assert con.sql("select * from got except all select * from wanted").fetchall() == []
 
 
-@pytest.mark.parametrize("name", ["paper_sections"])
+@pytest.mark.parametrize("name", ["paper_sections", "paper_structures"])
 def test_papers_keep_digits_that_equal_their_place(spark, name, tmp_path):
     said = " ".join(f"{i} and {i * 11} are so many words of {i}!" for i in range(60)) + " call +1 (409) 555-8231"
     rows = [(i, "\n".join([said] * (1 + i % 2 * 5))) for i in range(30)]
