@@ -57,23 +57,43 @@ def in_order(name: str) -> list[str]:
     return WORD_LISTS[name] if name == OVERLAPPING else sorted(WORD_LISTS[name], key=len, reverse=True)
 
 
-def word_hits(text: Column, name: str) -> Column:
-    """Array of (word, n) of the words of a list that occur, most frequent first, then as looked for."""
-    words, t = in_order(name), text_or_empty(text)
-    start = F.struct(t.alias("rest"), F.array().cast("array<struct<less:bigint,pos:int,word:string>>").alias("hits"))
+def outside_ascii(text: Column) -> Column:
+    """A text's characters outside ASCII, each run of others as one mark that no word holds."""
+    return F.regexp_replace(text_or_empty(text), r"[\x00-\x7f]+", "\x01")
+
+
+def word_hits(text: Column, name: str, outside: Column | None = None) -> Column:
+    """Array of (word, n) of the words of a list that occur, most frequent first, then as looked for.
+
+    Words without ASCII characters are looked for in `outside` alone, the text by `outside_ascii`: name it once for several lists.
+    """
+    listed = list(enumerate(in_order(name)))
+    plain, others = [x for x in listed if x[1].isascii()], [x for x in listed if not any(c.isascii() for c in x[1])]
+    if len(plain) + len(others) < len(listed):  # a word of both kinds may take places from either
+        plain, others = listed, []
+    overlap = name == OVERLAPPING
+    found = lambda o: F.concat(_hits(text_or_empty(text), plain, overlap), _hits(o, others, overlap))
+    hits = bound(outside_ascii(text), found) if outside is None else found(outside)
+    return F.transform(F.sort_array(hits), lambda h: F.struct(h["word"].alias("word"), (-h["less"]).alias("n")))
+
+
+def _hits(text: Column, listed: list[tuple[int, str]], overlap: bool) -> Column:
+    """Hits of words with their places in a list. Taking words never makes another one, so only those that the text holds are taken."""
+    none = F.array().cast("array<struct<less:bigint,pos:int,word:string>>")
+    if not listed:
+        return none
+    start = F.struct(text.alias("rest"), none.alias("hits"))
 
     def take(state: Column, w: Column) -> Column:
         rest = state["rest"]
         bare = F.replace(rest, w["word"], F.lit(""))
         n = F.floor((F.length(rest) - F.length(bare)) / F.length(w["word"])).cast("long")
-        left = rest if name == OVERLAPPING else F.replace(rest, w["word"], F.lit("\x01"))
+        left = rest if overlap else F.replace(rest, w["word"], F.lit("\x01"))
         hit = F.array(F.struct((-n).alias("less"), w["pos"].alias("pos"), w["word"].alias("word")))
         return F.struct(left.alias("rest"), F.when(n > 0, F.concat(state["hits"], hit)).otherwise(state["hits"]).alias("hits"))
 
-    listed = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(w).alias("word")) for i, w in enumerate(words)))
-    found = F.aggregate(listed, start, take, lambda s: F.transform(F.sort_array(s["hits"]), lambda h: F.struct(h["word"].alias("word"), (-h["less"]).alias("n"))))
-    # Most texts hold none of the words: plain searches tell so at a fraction of a fold's time.
-    return F.when(reduce(or_, (F.contains(t, F.lit(w)) for w in words)), found).otherwise(F.array().cast("array<struct<word:string,n:bigint>>"))
+    words = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(w).alias("word")) for i, w in listed))
+    return F.aggregate(F.filter(words, lambda w: F.contains(text, w["word"])), start, take, lambda s: s["hits"])
 
 
 def total(hits: Column) -> Column:

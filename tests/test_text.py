@@ -1,5 +1,8 @@
 """Goldens of the text functions."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,37 @@ def test_warnings_of_a_profile(spark):
     metrics = D.with_style(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {r.doc_id: {(w.rule, w.level) for w in r.warnings} for r in warned(metrics).where("profile = 'deepread'").collect()}
     assert found == {1: set(), 2: {("caution", "info"), ("boundary", "info")}, 3: {("boundary", "info")}, 4: {("stock", "warn")}}
+
+
+def test_word_hits_as_by_taking_words_in_turn(spark):
+    rng = random.Random(3)
+    some = [w for words in S.WORD_LISTS.values() for w in words] + list("被认为被视真正的é的 ab\n\x01") + ["SOTA", "state-of-the-", "state-of-the-art", "关键在", "不是"]
+    rows = [(i, "".join(rng.choice(some) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(200, None)]
+    frame = spark.createDataFrame(rows, "id long, t string").withColumn("outside", S.outside_ascii(F.col("t")))
+    for r in frame.select("t", *(S.word_hits(F.col("t"), name, o).alias(f"{name}{k}") for name in S.WORD_LISTS for k, o in enumerate((None, F.col("outside"))))).collect():
+        for name in S.WORD_LISTS:
+            t, hits = r.t or "", []
+            for pos, w in enumerate(S.in_order(name)):
+                hits += [(-t.count(w), pos, w)] if w in t else []
+                t = t if name == S.OVERLAPPING else t.replace(w, "\x01")
+            want = [(w, -n) for n, _, w in sorted(hits)]
+            assert [list(map(tuple, r[f"{name}{k}"])) for k in (0, 1)] == [want, want]
+
+
+def test_word_hits_of_long_texts_take_few_passes(spark):
+    words = "，".join(words[0] for words in S.WORD_LISTS.values())
+    rows = spark.range(0, 64, 1, 4).select(F.concat(F.repeat(F.lit("plain words of it "), 20000), F.lit(words)).alias("t")).cache()
+    outside = rows.withColumn("outside", S.outside_ascii(F.col("t")))
+    hits = outside.select(*(S.word_hits(F.col("t"), name, F.col("outside")).alias(name) for name in S.WORD_LISTS))
+    one = rows.select(F.length(F.regexp_replace("t", "[^a-z]+", "")))
+
+    def seconds(frame):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            frame.write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    rows.count()
+    assert seconds(hits) < 6 * seconds(one)
